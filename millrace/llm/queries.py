@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from millrace.llm import quality_rules
 from millrace.llm.language_id import op2_language_id
 
-QUERIES = {"op2_language_id": op2_language_id}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op2_language_id": op2_language_id, "op8_quality_rules": quality_rules.op8_quality_rules}
+ORACLE_SQL: dict[str, str] = {"op8_quality_rules": quality_rules.ORACLE_SQL}
