@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._kernels import chunks
+from millrace.llm._kernels import CHUNK, chunks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text") -> DataFrame:
+def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, column: str = "text", size: int = CHUNK) -> DataFrame:
     """``fn`` on slices of whole rows of ``df``, bounded by the bytes of ``column``; it returns a dict of columns.
 
     The plan stays a narrow stage: no shuffle, nothing held beyond a slice.
@@ -24,7 +24,7 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, column):
+            for part in chunks(batch, column, size):
                 yield pa.RecordBatch.from_pydict(fn(part))
 
     return df.mapInArrow(go, schema)

@@ -6,7 +6,7 @@ negation, *report* marks one after a verb of saying or inside an open quotation,
 four words of the person it is aimed at. Their composition is one machine that gives each matched word a
 factor; a clause scores the sum of factor times the word's own weight, a text the sum of its clauses.
 
-The insult lexemes (words, or stems of 4 to 6 letters) and their weights are learned from labelled rows:
+The insult lexemes (words, or stems of 4 to 8 letters) and their weights are learned from labelled rows:
 a lexeme enters if most labelled rows that hold it are toxic and it explains toxic rows that no lexeme before
 it explains, so words that merely stand beside an insult don't enter. The curve from score to probability is
 fitted on the same rows. Fitting uses a sample of at most about SAMPLE_ROWS labelled rows, drawn by
@@ -32,7 +32,7 @@ from millrace.llm import _kernels as K
 from millrace.llm._spark import crc_mod, cut, map_chunks, table
 
 SAMPLE_ROWS = 30_000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 MAX_LEXEMES = 4_000
 
 TARGET = frozenset("you your yours yourself u he she they him them his her their du dich dir dein deine ihr euch er sie tu te toi ton ta tes vous votre il elle ils elles tú ti tu usted ustedes él ella ellos eres es are".split())
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     sample = cut(sample_labelled(docs, labels, key, text, label, rows))
     total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bad, good = total.get(1, 0), total.get(0, 0)
+    bad = total.get(1, 0)
     if not bad:
         return Model({})
 
@@ -190,8 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return {"row": pa.array(ids[r]), "h": pa.array(h.view(np.int64)), "name": pa.array(names, pa.string())}
 
     toxic = sample.where("y = 1").select("text")
-    held = map_chunks(toxic, positive, "row long, h long, name string").distinct()
-    least = max(3, bad // 500)
+    held = map_chunks(toxic, positive, "row long, h long, name string", size=K.CHUNK // 4).distinct()
+    least = max(4, bad // 500)
     common = held.groupBy("h").agg(F.count("*").alias("pos"), F.min("name").alias("name")).where(F.col("pos") >= least)
     cand = common.toPandas().sort_values("name", kind="stable").reset_index(drop=True)
     if cand.empty:
@@ -205,18 +205,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         found, n = np.unique(h, return_counts=True)
         return {"h": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))}
 
-    neg = map_chunks(sample.where("y = 0").select("text"), negative, "h long, n long").groupBy("h").agg(F.sum("n").alias("neg"))
+    neg = map_chunks(sample.where("y = 0").select("text"), negative, "h long, n long", size=K.CHUNK // 2).groupBy("h").agg(F.sum("n").alias("neg"))
     cand = cand.merge(neg.toPandas(), on="h", how="left").fillna({"neg": 0}).sort_values("name", kind="stable").reset_index(drop=True)
-    cand = cand[cand["pos"] >= 4 * cand["neg"] * min(1.0, bad / max(good, 1)) + 0][lambda x: x["pos"] >= 3 * x["neg"]].reset_index(drop=True)
+    cand = cand[cand["pos"] >= 3 * cand["neg"]].reset_index(drop=True)
     if cand.empty:
         return Model({})
     pure = np.sort(cand["h"].to_numpy().view(np.uint64))
     shared2 = spark.sparkContext.broadcast(pure)
-    hold = map_chunks(toxic, lambda part: _held(part, shared2.value), "row long, h long").distinct().toPandas()
+    hold = map_chunks(toxic, lambda part: _held(part, shared2.value), "row long, h long", size=K.CHUNK // 2).distinct().toPandas()
     chosen = _cover(hold, cand, least)
     words = {}
     for i in chosen:
-        p = (cand["pos"][i] + 0.5) / (cand["pos"][i] + cand["neg"][i] + 1.0)
+        p = (cand["pos"][i] + 0.5) / (cand["pos"][i] + cand["neg"][i] + 3.5)  # shrunk: few rows prove little
         words[cand["name"][i]] = float(2 * p - 1)
     model = Model(words)
     scored = score(sample.select("text", "y"), model, key="y", raw=True).groupBy("y", F.round("raw", 2).alias("raw")).agg(F.count("*").alias("n")).toPandas()
@@ -241,20 +241,28 @@ def _held(part: pa.RecordBatch, among: np.ndarray) -> dict:
 
 
 def _cover(hold, cand, least: int) -> list[int]:
-    """Lexemes in the order of toxic rows newly explained, until fewer than ``least`` are; ties go to whole words, then longer stems."""
+    """Lexemes in the order of toxic rows newly explained (counted down by the share of clean rows), until fewer than ``least``
+    are; ties go to whole words, then longer stems. Then the words that stand in many toxic rows, a quarter of the usual number
+    of a lexeme chosen so far, and in hardly a clean one: rows that hold several insults explain each of them."""
     rows = np.unique(hold["row"].to_numpy(), return_inverse=True)[1]
     place = {h: i for i, h in enumerate(cand["h"])}
     lex = np.array([place[h] for h in hold["h"]])
     rank = np.array([(len(n) if n[-1] == "*" else 100 + len(n)) for n in cand["name"]])
+    pos, neg = cand["pos"].to_numpy(), cand["neg"].to_numpy()
+    pure = (pos + 0.5) / (pos + neg + 1)
     left, out = np.ones(len(rows), bool), []
     while len(out) < MAX_LEXEMES:
         new = np.bincount(lex[left], minlength=len(cand))
-        if new.max(initial=0) < least:
+        gain = np.where(new >= least, new * pure, 0)
+        if not gain.any():
             break
-        ties = np.flatnonzero(new == new.max())
+        ties = np.flatnonzero(gain >= gain.max() * 0.98)
         best = int(ties[np.argmax(rank[ties])])
         out.append(best)
         left &= ~np.isin(rows, rows[lex == best])
+    if out:
+        sure = (pos >= max(least, 0.25 * np.median(pos[out]))) & (100 * neg <= pos) & (rank > 100)
+        out += [int(i) for i in np.flatnonzero(sure) if i not in set(out)][: MAX_LEXEMES - len(out)]
     return out
 
 
