@@ -1,0 +1,30 @@
+"""Connected components of an edge table, for the operators on pairs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm._spark import cut
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, root) for every vertex of ``edges`` (a long, b long): root is the smallest id of its component.
+
+    Labels spread by minimum over neighbours and then jump to their label's label, so the number of rounds follows
+    the logarithm of the longest path. Every step is an equi-join or an aggregate with map-side combining, so a hub
+    of any degree is summed before it is shuffled; each round is written to the shared checkpoint folder.
+    """
+    both = edges.where("a <> b").select("a", "b").distinct()
+    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("id"), "root"))
+    for _ in range(rounds):
+        near = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "m").alias("m"))
+        jump = step.select(F.col("id").alias("m"), F.col("m").alias("far"))
+        new = cut(step.join(jump, "m", "left").select("id", F.col("root").alias("old"), F.least("m", F.coalesce("far", "m")).alias("root")))
+        changed = new.where("old <> root").limit(1).count()
+        label = new.select("id", "root")
+        if not changed:
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
