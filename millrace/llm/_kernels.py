@@ -170,3 +170,9 @@ def segment_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, off[:-1][full], axis=0)
     return out
+
+
+def offsets_of(lists: pa.Array) -> np.ndarray:
+    """Offsets of a list column without nulls, from 0."""
+    o = lists.offsets.to_numpy().astype(np.int64)
+    return o - o[0]
