@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard_join, mixing, quality_rules, substring_dedup
+from millrace.llm import jaccard_join, mixing, piece_codec, quality_rules, substring_dedup
 from millrace.llm.language_id import op2_language_id
 from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_piece_codec": piece_codec.op4_piece_codec,
     "op5_mixing": mixing.op5_mixing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,

@@ -278,40 +278,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", raw: bool = False) -> DataFrame:
-    """One row per document: key, score (probability), n_clauses, spans of the matched clauses; with raw, also the plain sum.
-
-    One narrow pass: a hash filter finds texts with a listed word or stem, and only these are parsed."""
-    spark = docs.sparkSession
-    words = sorted(model.words) + sorted(THREAT)
-
-    def hashed(w: str) -> np.uint64:
+class Scorer:
+    """Clause scores of texts: a hash filter finds texts with a listed word or stem, and only these are parsed."""
+
+    def __init__(self, model: Model) -> None:
+        words = sorted(model.words) + sorted(THREAT)
+        self.model = model
+        self.known = np.unique(np.array([self._hash(w) for w in words], np.uint64))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[self._low(self.known)] = True
+        self.lengths = sorted({len(w) - 1 for w in words if w.endswith("*")})
+
+    @staticmethod
+    def _hash(w: str) -> np.uint64:
         cps = np.frombuffer(w.rstrip("*").encode("utf-32-le"), np.uint32)
         return K.span_hashes(cps, np.array([0]), np.array([len(cps)]), seed=len(w) - 1 if w.endswith("*") else 0)[0]
 
-    known = np.unique(np.array([hashed(w) for w in words], np.uint64))
-    bits = np.zeros(1 << 20, bool)
-    bits[(known & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-    lengths = sorted({len(w) - 1 for w in words if w.endswith("*")})
-    shared = spark.sparkContext.broadcast((model, known, bits, lengths))
+    @staticmethod
+    def _low(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << 20) - 1)).astype(np.int64)
 
-    def go(part: pa.RecordBatch) -> dict:
-        model, known, bits, lengths = shared.value
-        cps, off = K.codepoints(part.column("text"))
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """The sum and the matched clauses of every row."""
+        cps, off = K.codepoints(text)
         low = K.lower_map()[cps]
         s, e, per = K.runs(K.word_mask()[cps], off)
         hit = np.zeros(len(s), bool)
-        for n in (0, *lengths):
+        for n in (0, *self.lengths):
             at = np.flatnonzero(e - s >= max(n, 1))
             h = K.span_hashes(low, s[at], s[at] + n if n else e[at], seed=n)
-            at = at[ok] if (ok := bits[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]).any() else at[:0]
-            hit[at[_isin(h[ok], known)]] = True
-        rows = np.flatnonzero(K.row_sums(hit, per))
-        raw_, found = np.zeros(part.num_rows), [[] for _ in range(part.num_rows)]
-        for r in rows:
-            found[r] = clauses(cps[off[r] : off[r + 1]].tobytes().decode("utf-32-le", "replace"), model.weight)
-            raw_[r] = sum(c[2] for c in found[r])
-        p = model.probability(raw_)
+            maybe = self.bits[self._low(h)]
+            hit[at[maybe][_isin(h[maybe], self.known)]] = True
+        rows = len(off) - 1
+        raw, found = np.zeros(rows), [[] for _ in range(rows)]
+        for r in np.flatnonzero(K.row_sums(hit, per)):
+            found[r] = clauses(cps[off[r] : off[r + 1]].tobytes().decode("utf-32-le", "replace"), self.model.weight)
+            raw[r] = sum(c[2] for c in found[r])
+        return raw, found
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", raw: bool = False) -> DataFrame:
+    """One row per document: key, score (probability), n_clauses, spans of the matched clauses; with raw, also the plain sum.
+
+    One narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))
+
+    def go(part: pa.RecordBatch) -> dict:
+        raw_, found = shared.value(part.column("text"))
+        p = shared.value.model.probability(raw_)
         spans = pa.array([[{"start": a, "end": b, "score": w} for a, b, w in f] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
         out = {"key": part.column("key"), "score": pa.array(p), "n_clauses": pa.array([len(f) for f in found], pa.int32()), "spans": spans}
         return out | ({"raw": pa.array(raw_)} if raw else {})
@@ -322,6 +336,24 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return out.withColumnRenamed("key", key)
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``limit``, in one narrow pass: texts are scored in place and rows filtered
+    where they are read, so nothing is joined or shuffled."""
+    rest = docs.columns
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
+    at = f"c{rest.index(text)}"
+    shared = docs.sparkSession.sparkContext.broadcast(Scorer(model))
+    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
+
+    def go(batches):
+        for batch in batches:
+            for part in K.chunks(batch, at):
+                raw, _ = shared.value(part.column(at))
+                yield part.filter(pa.array(shared.value.model.probability(raw) < limit))
+
+    return rows.mapInArrow(go, kinds).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_mod("doc_id", 5) != 0)
