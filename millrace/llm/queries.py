@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from millrace.llm import jaccard_join, mixing, piece_codec, quality_rules, substring_dedup
+from millrace.llm import chat_format, fingerprints, jaccard_join, mixing, piece_codec, quality_rules, substring_dedup
 from millrace.llm.language_id import op2_language_id
 from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_chat_format": chat_format.op3_chat_format,
     "op4_piece_codec": piece_codec.op4_piece_codec,
     "op5_mixing": mixing.op5_mixing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.ORACLE_SQL,
     "op5_mixing": mixing.ORACLE_SQL,
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
