@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, fingerprints, jaccard_join, mixing, piece_codec, quality_rules, substring_dedup
+from millrace.llm import chat_format, fingerprints, jaccard_join, mixing, perplexity, piece_codec, quality_rules, substring_dedup
 from millrace.llm.language_id import op2_language_id
 from millrace.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_perplexity": perplexity.op1_perplexity,
     "op2_language_id": op2_language_id,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_piece_codec": piece_codec.op4_piece_codec,
