@@ -28,7 +28,7 @@ OTHER = "other"
 ROUNDS = 40
 SOURCES = {f"src{i}": 0.049 for i in range(20)}
 LANGS = {"en": 0.4, "de": 0.19, "fr": 0.19, "es": 0.19}
-TOPICS = {"note": 0.2, "article": 0.5, "long_read": 0.3}
+TOPICS = {"note": 0.03, "article": 0.47, "long_read": 0.5}
 TARGETS = {"source": SOURCES, "lang": LANGS, "topic": TOPICS}
 
 
