@@ -2,32 +2,229 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.operators import counts as C
+from millrace.operators import graph as G
+from millrace.operators import index as I
+from millrace.operators import spam as S
 from millrace.operators import warehouse as W
+from millrace.sources.derived import CUSTOMER, NATION, SUPPLIER, trade_graph
+from millrace.sources.files import with_offsets
 from millrace.sources.tables import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
 
-def _of(fn, *names, **more):
+
+def _of(fn, *names, **more) -> Query:
     return lambda spark, d: fn(*(table(spark, d, n) for n in names), **more)
 
 
-QUERIES = {
-    "q1_count_by_day": _of(W.count_shipped, "lineitem", when="1996-11-01"),
-    "q1_count_by_month": _of(W.count_shipped, "lineitem", when="1996-11"),
-    "q1_count_by_year": _of(W.count_shipped, "lineitem", when="1996"),
-    "q2_order_lookup_top20": _of(W.order_lookup, "lineitem", "orders", when="1996-11"),
-    "q3_part_supplier_top20": _of(W.part_supplier, "lineitem", "part", "supplier", when="1996-11"),
-    "q4_nation_counts": _of(W.nation_counts, "lineitem", "orders", "customer", "nation", when="1996-11"),
-    "q5_monthly_two_nations": _of(W.monthly_by_nation, "lineitem", "orders", "customer"),
-}
+# Star schema -----------------------------------------------------------------------------------------------------------
 
 _NOV = "l_shipdate >= TIMESTAMP '1996-11-01' AND l_shipdate < TIMESTAMP '1996-12-01'"
+register("q1_count_by_day", _of(W.count_shipped, "lineitem", when="1996-11-01"), "SELECT count(*) AS answer FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-11-01' AND l_shipdate < TIMESTAMP '1996-11-02'")
+register("q1_count_by_month", _of(W.count_shipped, "lineitem", when="1996-11"), f"SELECT count(*) AS answer FROM lineitem WHERE {_NOV}")
+register("q1_count_by_year", _of(W.count_shipped, "lineitem", when="1996"), "SELECT count(*) AS answer FROM lineitem WHERE year(l_shipdate) = 1996")
+register("q2_order_lookup_top20", _of(W.order_lookup, "lineitem", "orders", when="1996-11"), f"SELECT o_orderpriority, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_NOV} ORDER BY o_orderkey, o_orderpriority LIMIT 20")
+register("q3_part_supplier_top20", _of(W.part_supplier, "lineitem", "part", "supplier", when="1996-11"), f"SELECT l_orderkey, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE {_NOV} ORDER BY 1, 2, 3 LIMIT 20")
+register("q4_nation_counts", _of(W.nation_counts, "lineitem", "orders", "customer", "nation", when="1996-11"), f"SELECT n_nationkey, n_name, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE {_NOV} GROUP BY 1, 2 ORDER BY 1, 2")
+register("q5_monthly_two_nations", _of(W.monthly_by_nation, "lineitem", "orders", "customer"), "SELECT strftime(l_shipdate, '%Y-%m') AS ym, c_nationkey, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (3, 24) GROUP BY 1, 2 ORDER BY 1, 2")
+
+# Words and lines -------------------------------------------------------------------------------------------------------
+
+
+def _lines(name: str, key: str, fn) -> Query:
+    return lambda spark, d: fn(T.lines(table(spark, d, name), key))
+
+
+def _norm(t: str) -> str:
+    return rf"list_transform(list_filter(string_split_regex(lower({t}), '[ \t\n\r\f]+'), lambda x: x <> ''), lambda x: regexp_replace(x, '(^[^a-z]+|[^a-z]+$)', '', 'g'))"
+
+
+def _tok(t: str) -> str:
+    return f"list_filter({_norm(t)}, lambda x: x <> '')"
+
+
+def _sql_lines(name: str, key: str) -> str:
+    return f"l AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line FROM {name} WHERE text IS NOT NULL)"
+
+
+def _sql_sets(name: str, key: str) -> str:
+    cap = "list_filter(list_concat(t[1:99], list_filter(t[100:], lambda x: x <> '')[1:1]), lambda x: x <> '')"
+    return f"{_sql_lines(name, key)}, s AS MATERIALIZED (SELECT row_number() OVER () AS i, list_distinct({cap}) AS t FROM (SELECT {_norm('line')} AS t FROM l)), w AS (SELECT i, unnest(t) AS word FROM s)"
+
+
+_FREQ = "f AS (SELECT word, count(*) AS n FROM w GROUP BY 1)"
+_PAIRS = "p AS (SELECT a.word AS x, b.word AS y, count(*) AS n FROM w a JOIN w b ON a.i = b.i AND a.word <> b.word GROUP BY 1, 2), pmi AS (SELECT x, y, p.n, log10(p.n * (SELECT count(*) FROM l) / (a.n * b.n)) AS pmi FROM p JOIN f a ON a.word = x JOIN f b ON b.word = y)"
+register("word_count", _of(C.word_count, "documents"), f"SELECT word, count(*) AS n FROM (SELECT unnest({_tok('text')}) AS word FROM documents) GROUP BY 1")
+register("line_frequency", _lines("documents", "doc_id", C.line_frequency), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ} SELECT * FROM f")
+register("line_total", _lines("documents", "doc_id", C.line_total), f"WITH {_sql_lines('documents', 'doc_id')} SELECT '*' AS word, count(*) AS n FROM l")
+register("line_counts", _lines("benchmark", "item_id", C.line_counts), f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ} SELECT * FROM f UNION ALL SELECT '*', count(*) FROM l")
+register("cooccurrence_pairs", _lines("benchmark", "item_id", C.cooccurrence), f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n FROM p WHERE x < y")
+register("pmi_pairs", _lines("benchmark", "item_id", lambda l: C.pmi_pairs(l).withColumn("pmi", F.round("pmi", 6))), f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n, round(pmi, 6) AS pmi FROM pmi")
+
+
+def _stripe_view(df: DataFrame, key: str, *more: str) -> DataFrame:
+    v = F.map_values("stripe")
+    return df.select(key, *more, F.size("stripe").cast("long").alias("size"), F.array_join(F.array_sort(F.map_keys("stripe")), " ").alias("words"), F.round(F.array_max(v), 6).alias("highest"), F.round(F.array_min(v), 6).alias("lowest"))
+
+
+register(
+    "pmi_stripes",
+    _lines("benchmark", "item_id", lambda l: _stripe_view(C.pmi_stripes(C.pmi_pairs(l)), "x")),
+    f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS size, string_agg(y, ' ' ORDER BY y) AS words, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi GROUP BY 1",
+)
+register(
+    "pmi_profile",
+    _lines("documents", "doc_id", lambda l: C.pmi_pairs(l).groupBy("x").agg(F.count("*").alias("partners"), F.sum("n").alias("together"), F.round(F.max("pmi"), 6).alias("highest"), F.round(F.min("pmi"), 6).alias("lowest"))),
+    f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS partners, sum(n)::BIGINT AS together, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi GROUP BY 1",
+)
+_BIG = f"{_sql_lines('documents', 'doc_id')}, t AS (SELECT {_tok('line')} AS t FROM l), g AS (SELECT t[i] AS w1, t[i + 1] AS w2 FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t)), b AS (SELECT w1, w2, count(*) AS n FROM g GROUP BY 1, 2), m AS (SELECT w1, sum(n)::BIGINT AS total FROM b GROUP BY 1)"
+register("bigram_counts", _lines("documents", "doc_id", C.bigrams), f"WITH {_BIG} SELECT * FROM b")
+register("bigram_marginals", _lines("documents", "doc_id", lambda l: C.bigram_marginals(C.bigrams(l))), f"WITH {_BIG} SELECT * FROM m")
+register(
+    "bigram_pairs",
+    _lines("documents", "doc_id", lambda l: C.bigram_pairs(C.bigrams(l)).withColumn("value", F.round("value", 6))),
+    f"WITH {_BIG} SELECT w1, w2, round(n / total, 6) AS value, false AS is_marginal FROM b JOIN m USING (w1) UNION ALL SELECT w1, '*', total::DOUBLE, true FROM m",
+)
+register(
+    "bigram_stripes",
+    _lines("documents", "doc_id", lambda l: _stripe_view(C.bigram_stripes(C.bigrams(l)), "w1", "total")),
+    f"WITH {_BIG} SELECT w1, total, count(*) AS size, string_agg(w2, ' ' ORDER BY w2) AS words, round(max(n / total), 6) AS highest, round(min(n / total), 6) AS lowest FROM b JOIN m USING (w1) GROUP BY 1, 2",
+)
+register(
+    "line_offsets",
+    lambda spark, d: with_offsets(table(spark, d, "documents")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("offset").cast("long").alias("offset")),
+    "WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)) "
+    "SELECT doc_id, line_no::BIGINT AS line_no, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM l",
+)
+
+# Index -----------------------------------------------------------------------------------------------------------------
+
+
+def _index(fn) -> Query:
+    return lambda spark, d: fn(I.postings(table(spark, d, "documents")))
+
+
+_POST = f"i AS (SELECT term, docno, count(*)::INTEGER AS tf FROM (SELECT doc_id AS docno, unnest({_tok('text')}) AS term FROM documents) GROUP BY 1, 2)"
+register("postings", _index(lambda i: i), f"WITH {_POST} SELECT * FROM i")
+register("term_df", _index(I.document_frequency), f"WITH {_POST} SELECT term, count(*) AS df FROM i GROUP BY 1")
+register("gap_postings", _index(I.gap_postings), f"WITH {_POST} SELECT term, docno, tf, docno - lag(docno, 1, 0) OVER (PARTITION BY term, docno // {I.BLOCK} ORDER BY docno) AS gap FROM i")
+register("gap_roundtrip", _index(lambda i: I.decode_lists(I.posting_lists(i))), f"WITH {_POST} SELECT * FROM i")
+register(
+    "posting_lists",
+    _index(lambda i: I.posting_lists(i).select("term", "block", F.array_join(F.transform("postings", lambda e: F.concat_ws(":", e["gap"], e["tf"])), " ").alias("postings"))),
+    f"WITH {_POST}, g AS (SELECT *, docno // {I.BLOCK} AS block, docno - lag(docno, 1, 0) OVER (PARTITION BY term, docno // {I.BLOCK} ORDER BY docno) AS gap FROM i) SELECT term, block, string_agg(gap || ':' || tf, ' ' ORDER BY docno) AS postings FROM g GROUP BY 1, 2",
+)
+
+
+def _flag(term: str) -> str:
+    return f"list_contains(t, '{term}')"
+
+
+_DOCS = f"d AS (SELECT doc_id AS docno, text, {_tok('text')} AS t FROM documents)"
+for _name, _query, _where in (
+    ("boolean_and", "the of AND", f"{_flag('the')} AND {_flag('of')}"),
+    ("boolean_or", "der la OR", f"{_flag('der')} OR {_flag('la')}"),
+    ("boolean_nested", "the de AND la der OR AND", f"({_flag('the')} AND {_flag('de')}) AND ({_flag('la')} OR {_flag('der')})"),
+    ("boolean_absent", "zebra", _flag("zebra")),
+):
+    register(_name, (lambda q: _index(lambda i: I.boolean_query(i, q)))(_query), f"WITH {_DOCS} SELECT docno FROM d WHERE {_where}")
+register(
+    "boolean_snippets",
+    lambda spark, d: I.with_snippets(I.boolean_query(I.postings(table(spark, d, "documents")), "the de AND"), table(spark, d, "documents")),
+    f"WITH {_DOCS} SELECT docno, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS snippet FROM d WHERE {_flag('the')} AND {_flag('de')} ORDER BY 1",
+)
+
+# Graph -----------------------------------------------------------------------------------------------------------------
+
+SOURCES = [1, 2]
+
+
+def _graph(fn) -> Query:
+    return lambda spark, d: fn(*trade_graph(spark, d))
+
+
+_EDGES = (
+    f"e AS MATERIALIZED (SELECT DISTINCT o_custkey + {CUSTOMER} AS src, l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT DISTINCT l_partkey, l_suppkey + {SUPPLIER} FROM lineitem"
+    f" UNION ALL SELECT s_suppkey + {SUPPLIER}, s_nationkey + {NATION} FROM supplier), v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), dg AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e)"
+)
+
+
+def _sql_ppr(n: int) -> str:
+    a, out = G.ALPHA, [_EDGES, f"r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS rank FROM v WHERE id IN ({', '.join(map(str, SOURCES))}))"]
+    for k in range(n):
+        out.append(f"c{k} AS MATERIALIZED (SELECT source, dst AS id, sum(rank / deg) AS m FROM r{k} JOIN dg ON r{k}.id = src GROUP BY 1, 2)")
+        out.append(f"x{k} AS (SELECT source, id, {1 - a} * m AS rank FROM c{k} UNION ALL SELECT s.source, s.source, {a} + {1 - a} * greatest(0, 1 - coalesce((SELECT sum(m) FROM c{k} WHERE c{k}.source = s.source), 0)) FROM (SELECT source FROM r0) s)")
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT source, id, sum(rank) AS rank FROM x{k} GROUP BY 1, 2)")
+    return "WITH " + ", ".join(out)
+
+
+def _sql_pagerank(n: int) -> str:
+    a, out = G.ALPHA, [_EDGES, "n AS (SELECT count(*)::DOUBLE AS n FROM v)", "r0 AS (SELECT id, 1.0 / n AS rank FROM v, n)"]
+    for k in range(n):
+        out.append(f"c{k} AS MATERIALIZED (SELECT v.id, coalesce(sum(rank / deg), 0) AS m FROM v LEFT JOIN (SELECT dst, rank, deg FROM r{k} JOIN dg ON r{k}.id = src) ON dst = v.id GROUP BY 1)")
+        out.append(f"r{k + 1} AS MATERIALIZED (SELECT id, {a} / n + {1 - a} * (m + greatest(0, 1 - (SELECT sum(m) FROM c{k})) / n) AS rank FROM c{k}, n)")
+    return "WITH " + ", ".join(out)
+
+
+def _sql_components(rounds: int = 10) -> str:
+    out = [_EDGES, "u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)", "k0 AS (SELECT id, id AS root FROM v)"]
+    for k in range(rounds):
+        out.append(f"k{k + 1} AS MATERIALIZED (SELECT k.id, least(any_value(k.root), min(o.root)) AS root FROM k{k} k JOIN u ON u.a = k.id JOIN k{k} o ON o.id = u.b GROUP BY 1)")
+    return f"WITH {', '.join(out)} SELECT id, root FROM k{rounds}"
+
+
+def _rounded(df: DataFrame, c: str = "rank") -> DataFrame:
+    return df.withColumn(c, F.round(c, 9))
+
+
+register("graph_build", _graph(lambda v, e: G.initial_ranks(v, SOURCES)), f"WITH {_EDGES} SELECT s.id AS source, v.id, CASE WHEN s.id = v.id THEN 1.0::DOUBLE ELSE 0 END AS rank FROM v, (VALUES {', '.join(f'({s}::BIGINT)' for s in SOURCES)}) s(id)")
+register("graph_stats", _graph(G.stats), f"WITH {_EDGES} SELECT (SELECT count(*) FROM v) AS n_nodes, count(*) AS n_edges, count(DISTINCT src) AS n_active FROM e")
+for _n in (1, 3):
+    register(f"ppr_iter{_n}", (lambda n: _graph(lambda v, e: _rounded(G.personalized_pagerank(v, e, SOURCES, n))))(_n), f"{_sql_ppr(_n)} SELECT source, id, round(rank, 9) AS rank FROM r{_n}")
+register(
+    "ppr_topk",
+    _graph(lambda v, e: _rounded(G.top_k(G.personalized_pagerank(v, e, SOURCES, 3).withColumn("rank", F.round("rank", 12)), 20))),
+    f"{_sql_ppr(3)}, t AS (SELECT source, id, round(rank, 12) AS rank FROM r3) SELECT source, place::INTEGER AS place, id, round(rank, 9) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank DESC, id) AS place FROM t) WHERE place <= 20",
+)
+register("pagerank_uniform", _graph(lambda v, e: _rounded(G.pagerank(v, e, 3))), f"{_sql_pagerank(3)} SELECT id, round(rank, 9) AS rank FROM r3")
+register("weak_components", _graph(lambda v, e: G.components(e)), _sql_components())
+register("range_partition_ids", lambda spark, d: table(spark, d, "orders").select("o_orderkey", G.range_part("o_orderkey", 1_500_000, 16).alias("part")), "SELECT o_orderkey, (floor(o_orderkey / 1500000.0::DOUBLE * 16) % 16)::INTEGER AS part FROM orders")
+
+# Spam ------------------------------------------------------------------------------------------------------------------
+
+
+def _spam(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").where("toxic IS NOT NULL")
+    return docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").select(F.col("doc_id").cast("string").alias("docid"), S.label_of("toxic").alias("label"), S.hashed_features("text").alias("features"))
+
+
+def _models(spark: SparkSession) -> DataFrame:
+    """Three stated models over the feature space, without weights for features divisible by 5. Weights are sums of powers of two, so scores are exact."""
+    ids = spark.range(S.SPACE).where("id % 5 <> 0").select(F.col("id").cast("int").alias("feature"), F.explode(F.array(*map(F.lit, range(3)))).alias("model_id"))
+    return ids.withColumn("weight", ((F.col("feature").cast("long") * (2 * F.col("model_id") + 3)) % 17 - 8) / 1024)
+
 
-ORACLE_SQL = {
-    "q1_count_by_day": "SELECT count(*) AS answer FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-11-01' AND l_shipdate < TIMESTAMP '1996-11-02'",
-    "q1_count_by_month": f"SELECT count(*) AS answer FROM lineitem WHERE {_NOV}",
-    "q1_count_by_year": "SELECT count(*) AS answer FROM lineitem WHERE year(l_shipdate) = 1996",
-    "q2_order_lookup_top20": f"SELECT o_orderpriority, o_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_NOV} ORDER BY o_orderkey, o_orderpriority LIMIT 20",
-    "q3_part_supplier_top20": f"SELECT l_orderkey, p_name, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE {_NOV} ORDER BY 1, 2, 3 LIMIT 20",
-    "q4_nation_counts": f"SELECT n_nationkey, n_name, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE {_NOV} GROUP BY 1, 2 ORDER BY 1, 2",
-    "q5_monthly_two_nations": "SELECT strftime(l_shipdate, '%Y-%m') AS ym, c_nationkey, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (3, 24) GROUP BY 1, 2 ORDER BY 1, 2",
-}
+_FEAT = f"x AS MATERIALIZED (SELECT doc_id::VARCHAR AS docid, CASE WHEN toxic = 1 THEN 'spam' ELSE 'ham' END AS label, list_transform({_tok('text')}, lambda y: ('0x' || substr(md5(y), 1, 5))::INTEGER) AS f FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL)"
+_SCORES = f"{_FEAT}, o AS (SELECT docid, unnest(f)::BIGINT AS i FROM x), s AS (SELECT docid, " + ", ".join(f"sum(CASE WHEN i % 5 <> 0 THEN ((i * {2 * m + 3}) % 17 - 8) / 1024.0::DOUBLE ELSE 0 END) AS s{m}" for m in range(3)) + " FROM o GROUP BY 1), z AS (SELECT docid, label, " + ", ".join(f"coalesce(s{m}, 0) AS s{m}" for m in range(3)) + " FROM x LEFT JOIN s USING (docid))"
+_VOTES = "(CASE WHEN s0 > 0 THEN 1 ELSE -1 END + CASE WHEN s1 > 0 THEN 1 ELSE -1 END + CASE WHEN s2 > 0 THEN 1 ELSE -1 END)"
+register("spam_features", lambda spark, d: _spam(spark, d).select("docid", "label", F.array_join(F.col("features").cast("array<string>"), " ").alias("features")), f"WITH {_FEAT} SELECT docid, label, array_to_string(f, ' ') AS features FROM x")
+register("spam_train", lambda spark, d: S.train(_spam(spark, d)).select("feature", F.round("weight", 9).alias("weight")))
+register("spam_score", lambda spark, d: S.score(_spam(spark, d), _models(spark).where("model_id = 0")), f"WITH {_SCORES} SELECT docid, label, s0 AS score, CASE WHEN s0 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
+register("ensemble_average", lambda spark, d: _rounded(S.ensemble(_spam(spark, d), _models(spark)), "score"), f"WITH {_SCORES} SELECT docid, label, round((s0 + s1 + s2) / 3, 9) AS score, CASE WHEN s0 + s1 + s2 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
+for _name, _compat in (("ensemble_vote", False), ("ensemble_vote_compat", True)):
+    register(_name, (lambda c: lambda spark, d: S.ensemble(_spam(spark, d), _models(spark), "vote", reference_compat=c))(_compat), f"WITH {_SCORES} SELECT docid, label, {_VOTES}::DOUBLE AS score, CASE WHEN {_VOTES} {'<' if _compat else '>'} 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")

@@ -1,0 +1 @@
+"""Streaming: the behaviour to be matched has none; every query here is a batch query."""
