@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm._kernels import CHUNK, chunks
+from millrace.plans.lineage import cut
+
+
+__all__ = ["crc_mod", "cut", "map_chunks", "parts", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,19 +33,6 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return df.mapInArrow(go, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, with its lineage cut there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; one under the warehouse is set
-    only where none is named, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints/{uuid4().hex}")
-    return df.checkpoint()
-
-
 def crc_mod(column: str, n: int):
     """crc32 of a key as text, modulo n; null keys count as 'null'."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % n

@@ -11,7 +11,7 @@ There is no topic column in the documents: the query takes a text's length class
 
 Defined results: null source, language and topic are OTHER; a null or empty text has 0 tokens and is kept with the probability of its
 cell; targets of values that don't occur are shared out in proportion; repeated rows are kept or left out together; a null key hashes
-as 'null'; extra columns pass through.
+as 'null'; extra columns pass through, but for those named as outputs, which are replaced.
 """
 
 from __future__ import annotations
@@ -79,6 +79,7 @@ def probabilities(counts: np.ndarray, w: np.ndarray, budget: float | None) -> np
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", weight: str = "n_tokens", budget: float | None = None, seed: int = 11) -> DataFrame:
     """``docs`` with probability (of its cell) and sampled (whether its hash falls below it). The columns named in ``targets`` give the cells."""
+    docs = docs.drop("probability", "sampled")
     values = {c: sorted(t) for c, t in targets.items()}
     cell = {c: F.when(F.col(c).isin(*v), F.col(c)).otherwise(OTHER) for c, v in values.items()}
     axes = {c: [*v, OTHER] for c, v in values.items()}

@@ -12,7 +12,8 @@ decoding returns every text exactly. No piece spans a space that follows another
 apart into segments; equal segments of a slice are filtered once and sampled for each occurrence.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids; repeated rows are encoded alike; a null key
-seeds as 'null'; ids that no piece has are refused by decode; other columns are ignored.
+seeds as 'null'; ids that no piece has are refused by decode; other columns pass through, but for one
+named as the output, which is replaced.
 """
 
 from __future__ import annotations
@@ -273,7 +274,7 @@ def decode_array(v: Vocabulary, ids: np.ndarray, per: np.ndarray) -> pa.Array:
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", seed: int = 7, alpha: float = 1.0) -> DataFrame:
     """``docs`` with ids, a sampled segmentation of the text. One narrow pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the size of the vocabulary file
-    rest = docs.columns
+    rest = [c for c in docs.columns if c != "ids"]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(seed)).alias("seed"))
     at = f"c{rest.index(text)}"
 
@@ -291,7 +292,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """``encoded`` with decoded, the text its ids spell."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    rest = encoded.columns
+    rest = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)])
     at = f"c{rest.index(ids)}"
 

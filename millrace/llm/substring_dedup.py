@@ -11,7 +11,8 @@ Only digests are grouped, with map-side combining, so a unit that a third of all
 what returns to a document is the list of units it is the first to hold. Nothing is joined on a digest.
 
 Defined results: null and empty texts come back as they are; rows that agree in key and text are one row to the ranking and are
-cut alike; null keys rank first; an emptied document stays as a row with an empty text; extra columns pass through.
+cut alike; null keys rank first; an emptied document stays as a row with an empty text; extra columns pass through, but for one named
+as the output, which is replaced.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     every = map_chunks(rank, _digests, f"d1 long, d2 long, key {kind}, tie long, at int")
     winner = every.groupBy("d1", "d2").agg(F.min(F.struct("key", "tie", "at")).alias("w")).select("w.*")
     firsts = winner.groupBy("key", "tie").agg(F.collect_list("at").alias("_firsts")).withColumnRenamed("key", "_key").withColumnRenamed("tie", "_tie")
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, "removed")]
     whole = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)], F.col(text).alias("text"), F.col(key).alias("key"), F.xxhash64(text).alias("tie"))
     both = whole.join(firsts, whole["key"].eqNullSafe(firsts["_key"]) & (whole["tie"] == firsts["_tie"]), "left")
     both = both.select(*[f"c{i}" for i in range(len(rest))], "text", F.coalesce("_firsts", F.array().cast("array<int>")).alias("firsts"))
@@ -129,7 +130,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
     out = map_chunks(both, go, f"{kinds}, text string, removed array<struct<start:int,end:int,words:int>>")
     names = {c: f"c{i}" for i, c in enumerate(rest)} | {text: "text"}
-    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns], "removed")
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns if c in names], "removed")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
