@@ -60,7 +60,9 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 
 def examples(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, example, formatted, loss_start, loss_end): offsets in code points of the only part to train on."""
+    """(key, example, formatted, loss_start, loss_end): offsets in code points of the only part to train on.
+
+    A conversation's examples stand one after another in one partition, in order."""
     kind = conversations.schema[key].dataType.simpleString()
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = conversations.select(F.col(key).alias("key"), F.struct(F.col(turn).alias("n"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
@@ -82,20 +84,30 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     made = examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
-    whole = made.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("example", "formatted", "loss_start", "loss_end"))).alias("e"))
+
+    def digest(key: int, all_: list[dict]) -> tuple:
+        turns = parse(all_[-1]["formatted"])
+        loss = "".join(unescape(e["formatted"][e["loss_start"] : e["loss_end"]]) for e in all_)
+        sha = lambda x: sha256(x.encode()).hexdigest()
+        return (key, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), sum(len(e["formatted"]) for e in all_), len(all_))
+
+    names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples")
 
     def go(batches):
+        held: list[dict] = []
         for batch in batches:
             out = []
-            for k, all_ in zip(batch.column("conv_id").to_pylist(), batch.column("e").to_pylist(), strict=True):
-                turns = parse(all_[-1]["formatted"])
-                loss = "".join(unescape(e["formatted"][e["loss_start"] : e["loss_end"]]) for e in all_)
-                sha = lambda x: sha256(x.encode()).hexdigest()
-                out.append((k, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), sum(len(e["formatted"]) for e in all_), len(all_)))
-            names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples")
+            for e in batch.to_pylist():
+                if held and e["example"] == 0:
+                    out.append(digest(held[0]["conv_id"], held))
+                    held = []
+                held.append(e)
             yield pa.RecordBatch.from_pydict({n: pa.array([o[j] for o in out], pa.string() if "sha" in n else pa.int64()) for j, n in enumerate(names)})
+        if held:
+            o = digest(held[0]["conv_id"], held)
+            yield pa.RecordBatch.from_pydict({n: pa.array([o[j]], pa.string() if "sha" in n else pa.int64()) for j, n in enumerate(names)})
 
-    return whole.mapInArrow(go, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return made.mapInArrow(go, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 
 _E = r"replace(replace(replace({}, '\', '\\'), '###', '\h'), '</turn>', '\t')"
