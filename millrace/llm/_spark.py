@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from millrace.llm._kernels import CHUNK, chunks
 from millrace.plans.lineage import cut
 
-
 __all__ = ["crc_mod", "cut", "map_chunks", "parts", "table"]
 
 

@@ -99,7 +99,7 @@ def edited(text: str, following: str) -> str:
 
 
 def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``fn(key, text, next text)`` -> dict on every row, in descending key order; after the last comes the first.
+    """``fn(key, text, next text)`` -> dict on every row, in descending key order; after the last comes the first. Keys are numbers.
 
     One shuffle: keys are cut into ranges at quantiles, a range's first row is sent to the range before it as well, and each
     range is read in order with one row held. The ranges are many more than the tasks, so they deal evenly.

@@ -135,11 +135,11 @@ def test_perplexity_of_odd_rows(spark, odd):
 
 
 def test_quality_rules(spark, odd):
-    prose = "\n".join("It was a quiet morning and the boats came in one after the other." .replace("quiet", w) for w in ("quiet", "cold", "bright", "grey"))
+    prose = "\n".join("It was a quiet morning and the boats came in one after the other.".replace("quiet", w) for w in ("quiet", "cold", "bright", "grey"))
     nav = "Home | About | Contact | News\nOMG!! WOW!! BUY!! NOW!!\nAll rights reserved by us, as of now"
     docs = spark.createDataFrame([(1, prose), (2, f"{prose}\n{nav}"), (3, f"{nav}\n{nav}\nIt was so."), (4, "too short")], "doc_id int, text string")
     got = {r["doc_id"]: r for r in quality_rules.clean(docs).collect()}
-    assert got[1]["kept"] is False or got[1]["clean_text"] == prose  # its lines repeat windows; cleaning leaves them
+    assert got[1]["clean_text"] == prose and got[1]["base_failed"]  # its lines repeat windows; cleaning leaves them
     assert got[2]["clean_text"] == prose and (got[2]["lines_navigation"], got[2]["lines_punctuation"], got[2]["lines_boilerplate"]) == (1, 1, 1)
     assert not got[3]["kept"] and got[3]["n_dup_lines"] == 3 and got[4]["base_failed"]
     rows = {r["doc_id"]: r for r in quality_rules.clean(odd).collect()}
