@@ -49,13 +49,13 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
     A node hands its rank to its out-edges in equal parts. What doesn't arrive, from nodes without out-edges or at
     nodes without a record, returns to the source, which also gets ``alpha``. start: ranks to resume from.
     """
-    of = _sources(nodes, sources)
     out = cut(with_degree(edges))
-    known = nodes.select(F.col("id")).distinct()
+    known = cut(nodes.select("id").distinct())
+    of = _sources(known, sources)
     ranks = start if start is not None else of.select("source", F.col("source").alias("id"), F.lit(1.0).alias("rank"))
     for _ in range(iterations):
         sent = ranks.join(out, ranks["id"] == out["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
-        came = cut(sent.join(known, "id", "left_semi").select("source", "id", "m"))
+        came = sent.join(known, "id", "left_semi").select("source", "id", "m")  # used twice below; its shuffle is reused within the one job
         mass = of.join(came.groupBy("source").agg(F.sum("m").alias("all")), "source", "left")
         back = mass.select("source", F.col("source").alias("id"), (alpha + (1 - alpha) * F.greatest(F.lit(0.0), 1 - F.coalesce("all", F.lit(0.0)))).alias("rank"))
         moved = came.select("source", "id", ((1 - alpha) * F.col("m")).alias("rank"))
@@ -117,10 +117,10 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 6
     label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("id"), "root"))
     for _ in range(rounds):
         near = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "m").alias("m"))
+        step = cut(label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "m").alias("m")))
         salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-        wanted = step.select(F.col("m").alias("id")).distinct()
-        jump = step.join(wanted, "id", "left_semi").select(F.col("id").alias("m"), F.col("m").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        wanted = step.groupBy(F.col("m").alias("id")).agg(F.count("*").alias("n"))  # summed before it is shuffled, which a semi-join would undo
+        jump = step.join(wanted, "id").select(F.col("id").alias("m"), F.col("m").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         new = cut(step.withColumn("salt", salt).join(jump, ["m", "salt"], "left").select("id", F.col("root").alias("old"), F.least("m", F.coalesce("far", "m")).alias("root")))
         changed = new.where("old <> root").limit(1).count()
         label = new.select("id", "root")
