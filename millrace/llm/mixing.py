@@ -5,17 +5,19 @@ and topic meet the targets; a document is then kept with the probability of its
 tokens, by a hash of its key, so a rerun keeps the same documents. Values that no target names share one cell value,
 OTHER, with the weight the named targets leave over, so the number of cells is bounded by the targets, not by the data:
 the cell table may reach the driver and be broadcast. By default the budget is the largest at which every probability is at most 1.
-With a larger one, cells at 1 stay there and the others take up what they can't.
+With a larger one, cells at 1 stay there and the others take up what they can't. ``share`` states the budget as a share of all
+tokens: scarce cells are then kept whole, so one that holds few tokens doesn't set the size of the sample.
 
 There is no topic column in the documents: the query takes a text's length class as its topic (note, article, long read).
 
 Defined results: null source, language and topic are OTHER; a null or empty text has 0 tokens and is kept with the probability of its
-cell; targets of values that don't occur are shared out in proportion; repeated rows are kept or left out together; a null key hashes
+cell (with ``share``, 1 in a cell without tokens, unless a target there is 0); targets of values that don't occur are shared out in proportion; repeated rows are kept or left out together; a null key hashes
 as 'null'; extra columns pass through, but for those named as outputs, which are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -77,8 +79,9 @@ def probabilities(counts: np.ndarray, w: np.ndarray, budget: float | None) -> np
     return np.minimum(p, 1.0)
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", weight: str = "n_tokens", budget: float | None = None, seed: int = 11) -> DataFrame:
-    """``docs`` with probability (of its cell) and sampled (whether its hash falls below it). The columns named in ``targets`` give the cells."""
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_id", weight: str = "n_tokens", budget: float | None = None, seed: int = 11, share: float | None = None) -> DataFrame:
+    """``docs`` with probability (of its cell) and sampled (whether its hash falls below it). The columns named in ``targets`` give the cells.
+    share: the budget as a share of all tokens, instead of ``budget``."""
     docs = docs.drop("probability", "sampled")
     values = {c: sorted(t) for c, t in targets.items()}
     cell = {c: F.when(F.col(c).isin(*v), F.col(c)).otherwise(OTHER) for c, v in values.items()}
@@ -89,7 +92,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_i
     for r in keyed.collect():  # at most one row per combination of named targets
         counts[tuple(place[c][r[f"_{c}"]] for c in axes)] = float(r["n"] or 0)
     margins = [np.array([targets[c].get(v, 0.0) if v != OTHER else max(0.0, 1 - sum(targets[c].values())) for v in a]) for c, a in axes.items()]
-    p = probabilities(counts, rake(counts, margins), budget)
+    p = probabilities(counts, rake(counts, margins), budget if share is None else share * counts.sum())
+    if share is not None:
+        p = np.where((counts == 0) & (reduce(np.multiply.outer, margins) > 0), 1.0, p)
     known = [(*vs, float(p[tuple(place[c][v] for c, v in zip(axes, vs, strict=True))])) for vs in product(*axes.values())]
     cells = docs.sparkSession.createDataFrame(known, ", ".join(f"_{c} string" for c in axes) + ", probability double")
     tagged = docs.withColumns({f"_{c}": e for c, e in cell.items()})
