@@ -1,7 +1,10 @@
+import random
+from collections import Counter
+
 import numpy as np
 
 import corpus_pipeline as P
-from millrace.llm import mixing
+from millrace.llm import jaccard_join, mixing
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,3 +24,34 @@ def test_share_of_nothing(spark):
     docs = spark.createDataFrame([(1, "", "en", "src0", 0), (2, None, "de", "src1", None)], KINDS)
     assert P.sample_mix(spark, docs, "").count() == 2
     assert np.isfinite(mixing.probabilities(np.zeros((2, 2)), np.zeros((2, 2)), 0.0)).all()
+
+
+def text_of(rng):
+    return " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(60))
+
+
+def test_one_row_of_every_class_where_keys_repeat(spark):
+    rng = random.Random(1)
+    a, b, c, d, e = (text_of(rng) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(1, a), (3, a), (3, b), (4, b), (7, c), (7, near(c)), (3, d), (None, e), (None, near(e)), (None, a), (3, d)]
+    docs = spark.createDataFrame([(k, t, "en", "src0", 1) for k, t in rows], KINDS)
+    got = Counter((r["doc_id"], r["text"]) for r in P.one_of_each_group(spark, docs, "").collect())
+    # 3's unique d stays, b stays once though each of its keys has or is a copy elsewhere, of c and of the null-keyed e one form stays
+    seven = [t for k, t in got if k == 7]
+    none = [t for k, t in got if k is None and t != a]
+    assert got == Counter([(1, a), (3, b), (3, d), (7, seven[0]), (None, none[0]), (None, a)])
+    assert seven[0] in (c, near(c)) and none[0] in (e, near(e))
+
+
+def test_one_key_of_many_texts(spark):
+    """A key that holds most rows, some of them copies: as many rows stay as there are classes."""
+    rng = random.Random(2)
+    texts = [text_of(rng) for _ in range(60)]
+    rows = [(9, t) for t in texts] + [(9, t + " tail") for t in texts[:20]] + [(i, t) for i, t in enumerate(texts[40:50], 100)] + [(1, texts[0])]
+    docs = spark.createDataFrame([(k, t, "en", "src0", 1) for k, t in rows], KINDS)
+    got = P.one_of_each_group(spark, docs, "").collect()
+    assert len(got) == 60 and {r["text"].removesuffix(" tail") for r in got} == set(texts)
+    assert [r["text"] for r in got if r["doc_id"] == 1] == [texts[0]]
+    links = jaccard_join.join(docs).groupBy("doc_id").agg({"n_links": "sum"}).collect()
+    assert {r[0]: r[1] for r in links} == {9: 20 * 2 + 10 + 2, 1: 2, **{i: 1 for i in range(100, 110)}}
