@@ -92,6 +92,11 @@ register(
     _lines("documents", "doc_id", lambda l: C.pmi_pairs(l).groupBy("x").agg(F.count("*").alias("partners"), F.sum("n").alias("together"), F.round(F.max("pmi"), 6).alias("highest"), F.round(F.min("pmi"), 6).alias("lowest"))),
     f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS partners, sum(n)::BIGINT AS together, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi GROUP BY 1",
 )
+# The same over the documents. SQL joins of whole lines with themselves are too slow there; brute force on a small table holds the pairs.
+register("line_counts_documents", _lines("documents", "doc_id", C.line_counts), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ} SELECT * FROM f UNION ALL SELECT '*', count(*) FROM l")
+register("cooccurrence_pairs_documents", _lines("documents", "doc_id", C.cooccurrence))
+register("pmi_pairs_documents", _lines("documents", "doc_id", lambda l: C.pmi_pairs(l).withColumn("pmi", F.round("pmi", 6))))
+register("pmi_stripes_documents", _lines("documents", "doc_id", lambda l: _stripe_view(C.pmi_stripes(C.pmi_pairs(l)), "x")))
 _BIG = f"{_sql_lines('documents', 'doc_id')}, t AS (SELECT {_tok('line')} AS t FROM l), g AS (SELECT t[i] AS w1, t[i + 1] AS w2 FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t)), b AS (SELECT w1, w2, count(*) AS n FROM g GROUP BY 1, 2), m AS (SELECT w1, sum(n)::BIGINT AS total FROM b GROUP BY 1)"
 register("bigram_counts", _lines("documents", "doc_id", C.bigrams), f"WITH {_BIG} SELECT * FROM b")
 register("bigram_marginals", _lines("documents", "doc_id", lambda l: C.bigram_marginals(C.bigrams(l))), f"WITH {_BIG} SELECT * FROM m")
