@@ -1,7 +1,7 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and sentence pieces.
 
-A text is cut into sections (at blank lines), paragraphs (lines) and leaves (up to LEAF characters that end no sentence, FINE in
-paragraphs that start near the beginning, with the punctuation and space after them); the leaves put together are the text again. A leaf's digest covers its characters, a
+A text is cut into sections (at blank lines), paragraphs (lines) and leaves (up to LEAF characters that end no sentence,
+with the punctuation and space after them), wherever they stand; the leaves put together are the text again. A leaf's digest covers its characters, a
 paragraph's its leaves' digests, a section's its paragraphs', the root its sections' and the length. The fingerprint is the
 root and, per leaf, a short digest and a length code in tree order, from which inner branches can be compared: equal roots
 mean equal texts, and descending where branches differ locates an edit.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from difflib import SequenceMatcher
 from hashlib import blake2b, sha256
 
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm._spark import parts, table
 
-LEAF, FINE, FINE_UNTIL = 48, 12, 256
-_LEAVES, _FINE = (re.compile(r"[^.!?\n]{1,%d}(?:[.!?]+[ \t]*)?|[.!?]+[ \t]*" % n) for n in (LEAF, FINE))
+LEAF = 24
+_LEAVES = re.compile(r"[^.!?\n]{1,%d}(?:[.!?]+[ \t]*)?|[.!?]+[ \t]*" % LEAF)
 _BLANK = re.compile(r"(\n[ \t\r]*\n\s*)")
 _CODES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+-"
 _SHORT = 6
@@ -34,18 +35,16 @@ _SHORT = 6
 
 def tree(text: str) -> list[list[list[str]]]:
     """Sections of paragraphs of leaves; what separates two branches ends the first one's last leaf's paragraph as a leaf of its own."""
-    out, at = [], 0
+    out = []
     cut = _BLANK.split(text)
     for i in range(0, len(cut), 2):
         gap = cut[i + 1] if i + 1 < len(cut) else ""
         lines = cut[i].split("\n")
         section = []
         for j, x in enumerate(lines):
-            section.append((_FINE if at < FINE_UNTIL else _LEAVES).findall(x) + ["\n"] * (j + 1 < len(lines)))
-            at += len(x) + 1
+            section.append(_LEAVES.findall(x) + ["\n"] * (j + 1 < len(lines)))
         if gap:
             section[-1].append(gap)
-            at += len(gap)
         out.append(section)
     return out
 
@@ -80,16 +79,25 @@ def likeness(a: str, b: str, seen: tuple[Counter, Counter] | None = None) -> flo
     return 2.0 * weight(x & y) / both if both else 0.0
 
 
+def _changes(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Ranges of ``a`` and of ``b`` between the branches that two lists have in common, in order."""
+    return [(i, j, k, n) for op, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal"]
+
+
 def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) places, in ``a``'s order, whose branches differ between two fingerprints; a missing branch differs too."""
+    """(section, paragraph) places, in ``a``'s order, whose branches differ between two fingerprints. Branches are aligned by digest,
+    so what only moved along is the same; one that ``a`` lacks is told by the place in ``a`` it would have taken."""
     if a.partition(":")[0] == b.partition(":")[0]:
         return []
-    x, y = ([s.split("/") for s in f.partition(":")[2].split("|")] for f in (a, b))
+    x, y = (f.partition(":")[2].split("|") for f in (a, b))
     out = []
-    for i in range(max(len(x), len(y))):
-        s, t = (x[i] if i < len(x) else []), (y[i] if i < len(y) else [])
-        out += [(i, j) for j in range(max(len(s), len(t))) if (s[j] if j < len(s) else None) != (t[j] if j < len(t) else None)]
-    return out
+    for i, j, k, n in _changes(x, y):
+        at = [((s, p), t) for s in range(i, j) for p, t in enumerate(x[s].split("/"))]
+        end = (j - 1, at[-1][0][1] + 1) if at else (i, 0)
+        places = [*(place for place, _ in at), end]
+        for v, w, _, _ in _changes([t for _, t in at], [t for s in y[k:n] for t in s.split("/")]):
+            out += places[v : max(w, v + 1)]
+    return list(dict.fromkeys(out))
 
 
 def edited(text: str, following: str) -> str:
