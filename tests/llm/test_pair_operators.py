@@ -8,29 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, mixing, substring_dedup
-from millrace.llm.components import components
-
-# Components ------------------------------------------------------------------------------------------------------------
-
-
-def test_components_by_union_find(spark):
-    rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 80)] + [(2000 + i, 2001 + i) for i in range(70)] + [(5, 5)]
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        if a != b:
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
-
 
 # Jaccard join ----------------------------------------------------------------------------------------------------------
 
@@ -76,6 +53,7 @@ def corpus(rng, groups, size, words=60):
 @pytest.mark.parametrize("block", [400, 7])
 def test_join_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "REACH", block)
     rng = random.Random(block)
     texts = corpus(rng, 12, 12) + corpus(rng, 60, 1) + ["a b", "a b", "A  b!", "one", "", None, "...", "x " * 3000, "x " * 4000]
     rows = [(i, t) for i, t in enumerate(texts)]
@@ -93,6 +71,24 @@ def test_large_group_is_dealt_in_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("n", [400, 1600, 6400])
+def test_links_grow_with_the_group(spark, n):
+    rows = list(enumerate(corpus(random.Random(n), 1, n, words=120)))
+    sketch = jaccard_join.sketch(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    classes = sketch.dropDuplicates(["d1", "d2"]).withColumn("id", F.xxhash64("d1", "d2")).cache()
+    assert jaccard_join.forest(classes).count() <= 1.1 * classes.count() + 60
+
+
+def test_matches_in_a_long_node_without_its_head():
+    """Two interleaved groups that the head isn't like: each is linked as a whole."""
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(0, 256, (2, 120)).astype(np.uint8)
+    sig = kinds[np.arange(300) % 2]
+    ids = np.arange(300) + 10
+    a, b = jaccard_join._match(np.zeros(300, np.int64), ids, sig, np.full(300, 3), np.zeros((300, 120), np.uint8))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted((int(i), 10 + int(i) % 2) for i in ids if i > 11)
+
+
 def test_join_of_an_empty_table(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
