@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = "[ \\t\\n\\r\\f]+"
-EDGES = "(^[^a-z]+|[^a-z]+$)"
+#: What stands before the first and after the last of a-z in a token that has one.
+EDGES = "(?<![^ \\t\\n\\r\\f])[^a-z \\t\\n\\r\\f]++(?=[a-z])|(?<=[a-z])[^a-z \\t\\n\\r\\f]++(?![^ \\t\\n\\r\\f])"
 CAP = 100
 
 
@@ -14,27 +15,28 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def raw_tokens(text: str | Column) -> Column:
-    """Parts between white space (space, tab, line feed, carriage return, form feed), none empty."""
-    return F.filter(F.split(_col(text), SPACES), lambda x: x != "")
+def _word(x: Column) -> Column:
+    return (x >= "a") & (x < "{")
 
 
-def normalised(text: str | Column) -> Column:
-    """Raw tokens in lower case without what stands before the first and after the last of a-z; may be empty strings."""
-    return F.transform(raw_tokens(F.lower(_col(text))), lambda x: F.regexp_replace(x, EDGES, ""))
+def stripped(text: str | Column) -> Column:
+    """Parts between white space (space, tab, line feed, carriage return, form feed) in lower case, without what stands before
+    the first and after the last of a-z. Parts without any of a-z keep their place and aren't words: they, and an empty part
+    at either end, begin with something else. One regular expression over the whole text."""
+    return F.split(F.regexp_replace(F.lower(_col(text)), EDGES, ""), SPACES)
 
 
 def tokens(text: str | Column) -> Column:
-    """Normalised tokens that aren't empty."""
-    return F.filter(normalised(text), lambda x: x != "")
+    """The words of a text."""
+    return F.filter(stripped(text), _word)
 
 
-def capped_tokens(text: str | Column, cap: int = CAP) -> Column:
-    """Normalised tokens up to and including the first non-empty one at or beyond raw position ``cap`` (from 1)."""
-    t = normalised(text)
-    head = F.slice(t, 1, cap - 1)
-    rest = F.filter(F.slice(t, cap, F.greatest(F.size(t), F.lit(1))), lambda x: x != "")
-    return F.filter(F.concat(head, F.slice(rest, 1, 1)), lambda x: x != "")
+def capped_tokens(parts: str | Column, cap: int = CAP) -> Column:
+    """Of the stripped parts of a text, the words up to and including the first one at or beyond place ``cap`` (from 1; an empty
+    part has no place). Give a column that holds the parts: they are read several times."""
+    t = F.filter(_col(parts), lambda x: x != "")
+    rest = F.filter(F.slice(t, cap, F.greatest(F.size(t), F.lit(1))), _word)
+    return F.when(F.size(_col(parts)) < cap, F.filter(_col(parts), _word)).otherwise(F.concat(F.filter(F.slice(t, 1, cap - 1), _word), F.slice(rest, 1, 1)))
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,7 +45,7 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def bigrams_of(t: Column) -> Column:
-    """Adjacent pairs of an array as structs (w1, w2)."""
+    """Adjacent pairs of an array as structs (w1, w2). Give a column that holds the array: it is read several times."""
     n = F.greatest(F.size(t) - 1, F.lit(0))
     return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
 

@@ -1,6 +1,6 @@
 """Counts over words, lines and neighbouring words.
 
-Every count is an aggregate with map-side combining, so a frequent word is summed before it is shuffled. Totals come back by
+Tokens are projected once, as a column of their own, wherever an expression reads them more than once. Every count is an aggregate with map-side combining, so a frequent word is summed before it is shuffled. Totals come back by
 equi-join, never by a window over one word's rows, so a frequent word's rows can be split over tasks.
 """
 
@@ -20,7 +20,7 @@ def word_count(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _sets(lines: DataFrame, line: str) -> DataFrame:
-    return lines.select(F.array_distinct(T.capped_tokens(line)).alias("t"))
+    return lines.select(T.stripped(line).alias("parts")).select(F.array_distinct(T.capped_tokens("parts")).alias("t"))
 
 
 def line_frequency(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -40,22 +40,27 @@ def line_counts(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def cooccurrence(lines: DataFrame, line: str = "line") -> DataFrame:
     """(x, y, n) for x < y: lines that hold both. The other order has the same count and is added where it is asked for."""
-    t = _sets(lines, line).select(F.array_sort("t").alias("t"))
-    left = t.select(F.posexplode("t").alias("i", "x"), "t")
-    return left.select("x", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    t = _sets(lines, line).where(F.size("t") > 1).select(F.array_sort("t").alias("t"))
+    after = lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    return t.select(F.explode(F.flatten(F.transform("t", after))).alias("p")).groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
 
 
 def pmi_pairs(lines: DataFrame, line: str = "line", frequencies: DataFrame | None = None, min_count: int = 1) -> DataFrame:
     """(x, y, n, pmi) for both orders of every pair of words that share a line: log10 of n * lines / (n(x) * n(y)).
 
-    frequencies: line_counts of the same lines, if they were kept; every word of the pairs must be in it.
+    frequencies: line_counts of the same lines, if they were kept; a word of the pairs that isn't in it fails the query.
+    min_count: pairs that share fewer lines are left out.
     """
     freq = line_counts(lines, line) if frequencies is None else frequencies
     single = freq.where(F.col("word") != TOTAL)
     total = freq.where(F.col("word") == TOTAL).agg(F.max("n").alias("total_lines"))
     pairs = cooccurrence(lines, line).where(F.col("n") >= min_count)
-    with_x = pairs.join(single.select(F.col("word").alias("x"), F.col("n").alias("nx")), "x")
-    with_y = with_x.join(single.select(F.col("word").alias("y"), F.col("n").alias("ny")), "y")
+    how = "inner" if frequencies is None else "left"
+    with_x = pairs.join(single.select(F.col("word").alias("x"), F.col("n").alias("nx")), "x", how)
+    with_y = with_x.join(single.select(F.col("word").alias("y"), F.col("n").alias("ny")), "y", how)
+    if how == "left":
+        held = lambda n, w: F.coalesce(n, F.raise_error(F.concat(F.lit("no line frequency of "), w)).cast("long")).alias(n)
+        with_y = with_y.select("x", "y", "n", held("nx", F.col("x")), held("ny", F.col("y")))
     scored = with_y.crossJoin(F.broadcast(total)).select("x", "y", "n", F.log10(F.col("n") * F.col("total_lines") / (F.col("nx") * F.col("ny"))).alias("pmi"))  # one row
     both = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")
     return scored.select(both, "n", "pmi").select("p.x", "p.y", "n", "pmi")
@@ -68,7 +73,7 @@ def pmi_stripes(pairs: DataFrame) -> DataFrame:
 
 def bigrams(lines: DataFrame, line: str = "line") -> DataFrame:
     """(w1, w2, n): adjacent tokens within a line."""
-    return lines.select(F.explode(T.bigrams_of(T.tokens(line))).alias("b")).groupBy("b.w1", "b.w2").agg(F.count("*").alias("n"))
+    return lines.select(T.tokens(line).alias("t")).select(F.explode(T.bigrams_of(F.col("t"))).alias("b")).groupBy("b.w1", "b.w2").agg(F.count("*").alias("n"))
 
 
 def bigram_marginals(counts: DataFrame) -> DataFrame:

@@ -28,6 +28,19 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(e)  # one row each
 
 
+def message_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row on the messages of an iteration in which every node has rank: mass_messages (one an edge), mass_messages_received
+    (nodes some arrive at), missing_structure (destinations without a record, whose mass is lost and returns to the sources)."""
+    to = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
+    held = to.join(nodes.select("id", F.lit(1).alias("here")).distinct(), "id", "left")
+    return held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mass_messages"), F.count("here").alias("mass_messages_received"), F.count(F.when(F.col("here").isNull(), 1)).alias("missing_structure"))
+
+
+def one_record_each(nodes: DataFrame) -> DataFrame:
+    """``nodes``, checked while they are read: an id with several records fails the query."""
+    return nodes.groupBy("id").agg(F.count("*").alias("n")).select(F.when(F.col("n") == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("several records of node "), F.col("id").cast("string"))).cast("long")).alias("id"))
+
+
 def _sources(nodes: DataFrame, sources: list[int]) -> DataFrame:
     if len(set(sources)) != len(sources):
         raise ValueError("sources must be distinct")
@@ -43,8 +56,9 @@ def initial_ranks(nodes: DataFrame, sources: list[int]) -> DataFrame:
     return nodes.crossJoin(F.broadcast(of)).select("source", "id", F.when(F.col("id") == F.col("source"), 1.0).otherwise(0.0).alias("rank"))  # times the number of sources named
 
 
-def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA, start: DataFrame | None = None) -> DataFrame:
-    """(source, id, rank) of nodes with any rank after a fixed number of iterations, for all sources at once.
+def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA, start: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
+    """(source, id, rank) of nodes with any rank after a number of iterations, for all sources at once; fewer, if no source's
+    ranks change by more than ``tolerance`` in all.
 
     A node hands its rank to its out-edges in equal parts. What doesn't arrive, from nodes without out-edges or at
     nodes without a record, returns to the source, which also gets ``alpha``. start: ranks to resume from.
@@ -59,10 +73,21 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
         mass = of.join(came.groupBy("source").agg(F.sum("m").alias("all")), "source", "left")
         back = mass.select("source", F.col("source").alias("id"), (alpha + (1 - alpha) * F.greatest(F.lit(0.0), 1 - F.coalesce("all", F.lit(0.0)))).alias("rank"))
         moved = came.select("source", "id", ((1 - alpha) * F.col("m")).alias("rank"))
-        ranks = cut(moved.unionByName(back).groupBy("source", "id").agg(F.sum("rank").alias("rank")))
+        new = cut(moved.unionByName(back).groupBy("source", "id").agg(F.sum("rank").alias("rank")))
+        done = tolerance is not None and _largest_change(ranks, new) <= tolerance
+        ranks = new
+        if done:
+            break
     return ranks
 
 
+def _largest_change(old: DataFrame, new: DataFrame) -> float:
+    """Of the sources, the largest sum of absolute differences of rank."""
+    both = old.select("source", "id", F.col("rank").alias("d")).unionByName(new.select("source", "id", (-F.col("rank")).alias("d")))
+    each = both.groupBy("source", "id").agg(F.abs(F.sum("d")).alias("d")).groupBy("source").agg(F.sum("d").alias("d"))
+    return each.agg(F.max("d")).first()[0] or 0.0
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
     """(id, rank) with a uniform jump; rank of nodes without out-edges is spread evenly. Stops early once the ranks' total change is
     at most ``tolerance``, if given."""
@@ -95,6 +120,14 @@ def top_k(ranks: DataFrame, k: int = 100) -> DataFrame:
     return ranks.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("source", "place", "id", "rank")
 
 
+def top_k_lines(top: DataFrame) -> DataFrame:
+    """(source, place, line) of top_k in print order: 'Source:', tab, id; then rank to five places, tab, id; then a blank line."""
+    rows = top.select("source", "place", F.concat(F.format_string("%.5f", F.col("rank")), F.lit("\t"), F.col("id").cast("string")).alias("line"))
+    head = top.groupBy("source").agg(F.max("place").alias("n"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("Source:\t"), F.col("source").cast("string")).alias("line")), F.struct((F.col("n") + 1).alias("place"), F.lit("").alias("line")))).alias("e")
+    return rows.unionByName(head.select("source", ends).select("source", "e.place", "e.line")).orderBy("source", "place")
+
+
 def range_part(column: str, n_nodes: int, parts: int) -> Column:
     """The block of consecutive ids that an id falls in, of ``parts``."""
     return F.pmod(F.floor(F.col(column) / F.lit(float(n_nodes)) * parts), F.lit(parts)).cast("int")

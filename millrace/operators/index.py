@@ -41,10 +41,10 @@ def posting_lists(index: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def decode_lists(lists: DataFrame) -> DataFrame:
-    """(term, docno, tf) back from posting lists: running sums of the gaps."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<docno:bigint,tf:int>>").alias("out"))
-    fold = F.aggregate("postings", zero, lambda a, e: F.struct((a["at"] + e["gap"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + e["gap"]).alias("docno"), e["tf"].alias("tf")))).alias("out")))
-    return lists.select("term", F.explode(fold["out"]).alias("p")).select("term", "p.docno", "p.tf")
+    """(term, docno, tf) back from posting lists: running sums of the gaps, per block."""
+    flat = lists.select("term", "block", F.posexplode("postings").alias("i", "p")).select("term", "block", "i", "p.gap", "p.tf")
+    upto = Window.partitionBy("term", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return flat.select("term", F.sum("gap").over(upto).alias("docno"), "tf")
 
 
 def boolean_query(index: DataFrame, query: str) -> DataFrame:
@@ -61,8 +61,9 @@ def with_snippets(hits: DataFrame, docs: DataFrame, docno: str = "doc_id", text:
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    """Overwrite an index on storage: sorted by term within files, so a lookup skips by the files' statistics."""
-    index.repartition("term").sortWithinPartitions("term", "docno").write.mode("overwrite").parquet(path)
+    """Overwrite an index on storage: sorted by term, so a lookup skips files and row groups by their statistics. Files are ranges of
+    (term, docno), so a term that most documents hold is several files and not one task."""
+    index.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno").write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str, term: str | None = None) -> DataFrame:

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, with its lineage cut there, so a lost executor costs no iteration.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one the cluster names in ``spark.checkpoint.dir``; where none is named, the
+    warehouse's."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; one under the warehouse is set only where none is named.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, with its lineage cut there, so a lost executor costs no iteration."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints/{uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column
 
@@ -39,6 +38,3 @@ def compile_query(query: str) -> Plan:
         raise ValueError("an empty query")
     return Plan(tuple(dict.fromkeys(terms)), stack[-1])
 
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

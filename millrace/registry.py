@@ -13,6 +13,8 @@ from millrace.operators import graph as G
 from millrace.operators import index as I
 from millrace.operators import spam as S
 from millrace.operators import warehouse as W
+from millrace.plans.lineage import fresh_path
+from millrace.sources import files
 from millrace.sources.derived import CUSTOMER, NATION, SUPPLIER, trade_graph
 from millrace.sources.files import with_offsets
 from millrace.sources.tables import table
@@ -72,9 +74,17 @@ _PAIRS = "p AS (SELECT a.word AS x, b.word AS y, count(*) AS n FROM w a JOIN w b
 register("word_count", _of(C.word_count, "documents"), f"SELECT word, count(*) AS n FROM (SELECT unnest({_tok('text')}) AS word FROM documents) GROUP BY 1")
 register("line_frequency", _lines("documents", "doc_id", C.line_frequency), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ} SELECT * FROM f")
 register("line_total", _lines("documents", "doc_id", C.line_total), f"WITH {_sql_lines('documents', 'doc_id')} SELECT '*' AS word, count(*) AS n FROM l")
-register("line_counts", _lines("benchmark", "item_id", C.line_counts), f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ} SELECT * FROM f UNION ALL SELECT '*', count(*) FROM l")
-register("cooccurrence_pairs", _lines("benchmark", "item_id", C.cooccurrence), f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n FROM p WHERE x < y")
-register("pmi_pairs", _lines("benchmark", "item_id", lambda l: C.pmi_pairs(l).withColumn("pmi", F.round("pmi", 6))), f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n, round(pmi, 6) AS pmi FROM pmi")
+register("line_counts", _lines("documents", "doc_id", C.line_counts), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ} SELECT * FROM f UNION ALL SELECT '*', count(*) FROM l")
+#: Pairs that share fewer lines are left out of the listings below; pmi_profile sums up all of them.
+MIN_COUNT = 10
+
+
+def _pmi(lines: DataFrame) -> DataFrame:
+    return C.pmi_pairs(lines, min_count=MIN_COUNT)
+
+
+register("cooccurrence_pairs", _lines("documents", "doc_id", lambda l: C.cooccurrence(l).where(F.col("n") >= MIN_COUNT)), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n FROM p WHERE x < y AND n >= {MIN_COUNT}")
+register("pmi_pairs", _lines("documents", "doc_id", lambda l: _pmi(l).withColumn("pmi", F.round("pmi", 6))), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n, round(pmi, 6) AS pmi FROM pmi WHERE n >= {MIN_COUNT}")
 
 
 def _stripe_view(df: DataFrame, key: str, *more: str) -> DataFrame:
@@ -84,19 +94,14 @@ def _stripe_view(df: DataFrame, key: str, *more: str) -> DataFrame:
 
 register(
     "pmi_stripes",
-    _lines("benchmark", "item_id", lambda l: _stripe_view(C.pmi_stripes(C.pmi_pairs(l)), "x")),
-    f"WITH {_sql_sets('benchmark', 'item_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS size, string_agg(y, ' ' ORDER BY y) AS words, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi GROUP BY 1",
+    _lines("documents", "doc_id", lambda l: _stripe_view(C.pmi_stripes(_pmi(l)), "x")),
+    f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS size, string_agg(y, ' ' ORDER BY y) AS words, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi WHERE n >= {MIN_COUNT} GROUP BY 1",
 )
 register(
     "pmi_profile",
     _lines("documents", "doc_id", lambda l: C.pmi_pairs(l).groupBy("x").agg(F.count("*").alias("partners"), F.sum("n").alias("together"), F.round(F.max("pmi"), 6).alias("highest"), F.round(F.min("pmi"), 6).alias("lowest"))),
     f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS partners, sum(n)::BIGINT AS together, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi GROUP BY 1",
 )
-# The same over the documents. SQL joins of whole lines with themselves are too slow there; brute force on a small table holds the pairs.
-register("line_counts_documents", _lines("documents", "doc_id", C.line_counts), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ} SELECT * FROM f UNION ALL SELECT '*', count(*) FROM l")
-register("cooccurrence_pairs_documents", _lines("documents", "doc_id", C.cooccurrence))
-register("pmi_pairs_documents", _lines("documents", "doc_id", lambda l: C.pmi_pairs(l).withColumn("pmi", F.round("pmi", 6))))
-register("pmi_stripes_documents", _lines("documents", "doc_id", lambda l: _stripe_view(C.pmi_stripes(C.pmi_pairs(l)), "x")))
 _BIG = f"{_sql_lines('documents', 'doc_id')}, t AS (SELECT {_tok('line')} AS t FROM l), g AS (SELECT t[i] AS w1, t[i + 1] AS w2 FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t)), b AS (SELECT w1, w2, count(*) AS n FROM g GROUP BY 1, 2), m AS (SELECT w1, sum(n)::BIGINT AS total FROM b GROUP BY 1)"
 register("bigram_counts", _lines("documents", "doc_id", C.bigrams), f"WITH {_BIG} SELECT * FROM b")
 register("bigram_marginals", _lines("documents", "doc_id", lambda l: C.bigram_marginals(C.bigrams(l))), f"WITH {_BIG} SELECT * FROM m")
@@ -210,6 +215,18 @@ register("pagerank_uniform", _graph(lambda v, e: _rounded(G.pagerank(v, e, 3))),
 register("weak_components", _graph(lambda v, e: G.components(e)), _sql_components())
 register("range_partition_ids", lambda spark, d: table(spark, d, "orders").select("o_orderkey", G.range_part("o_orderkey", 1_500_000, 16).alias("part")), "SELECT o_orderkey, (floor(o_orderkey / 1500000.0::DOUBLE * 16) % 16)::INTEGER AS part FROM orders")
 
+_PARALLEL = _EDGES.replace("SELECT DISTINCT", "SELECT")
+register("ppr_parallel_edges", lambda spark, d: _rounded(G.personalized_pagerank(*trade_graph(spark, d, parallel=True), SOURCES, 3)), f"{_sql_ppr(3).replace(_EDGES, _PARALLEL)} SELECT source, id, round(rank, 9) AS rank FROM r3")
+register(
+    "ppr_topk_lines",
+    _graph(lambda v, e: G.top_k_lines(G.top_k(G.personalized_pagerank(v, e, SOURCES, 3).withColumn("rank", F.round("rank", 12)), 20))),
+    f"{_sql_ppr(3)}, t AS (SELECT source, id, round(rank, 12) AS rank FROM r3), k AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY rank DESC, id)::INTEGER AS place, id, rank FROM t), m AS (SELECT * FROM k WHERE place <= 20) "
+    "SELECT source, place, printf('%.5f', rank) || chr(9) || id AS line FROM m UNION ALL SELECT DISTINCT source, 0, 'Source:' || chr(9) || source FROM m UNION ALL SELECT source, max(place) + 1, '' FROM m GROUP BY 1",
+)
+register("rank_listing", _graph(lambda v, e: _rounded(G.listing(G.pagerank(v, e, 3), log=True))), f"{_sql_pagerank(3)} SELECT id, round(ln(rank), 9) AS rank FROM r3")
+register("graph_messages", _graph(lambda v, e: G.message_stats(v.where(F.col("id") < NATION), e)), f"WITH {_EDGES} SELECT count(*) AS mass_messages, count(DISTINCT CASE WHEN dst < {NATION} THEN dst END) AS mass_messages_received, count(DISTINCT CASE WHEN dst >= {NATION} THEN dst END) AS missing_structure FROM e")
+register("range_layout", _graph(lambda v, e: G.partitioned(G.one_record_each(v), 16)), f"WITH {_EDGES} SELECT id FROM v")
+
 # Spam ------------------------------------------------------------------------------------------------------------------
 
 
@@ -233,3 +250,52 @@ register("spam_score", lambda spark, d: S.score(_spam(spark, d), _models(spark).
 register("ensemble_average", lambda spark, d: _rounded(S.ensemble(_spam(spark, d), _models(spark)), "score"), f"WITH {_SCORES} SELECT docid, label, round((s0 + s1 + s2) / 3, 9) AS score, CASE WHEN s0 + s1 + s2 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
 for _name, _compat in (("ensemble_vote", False), ("ensemble_vote_compat", True)):
     register(_name, (lambda c: lambda spark, d: S.ensemble(_spam(spark, d), _models(spark), "vote", reference_compat=c))(_compat), f"WITH {_SCORES} SELECT docid, label, {_VOTES}::DOUBLE AS score, CASE WHEN {_VOTES} {'<' if _compat else '>'} 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
+
+# Formats on storage: written to the shared folder and read back ---------------------------------------------------------
+
+
+def _stored(name: str, write: Callable[[SparkSession, str, str], None], read: Callable[[SparkSession, str, str], DataFrame]) -> Query:
+    def go(spark: SparkSession, d: str) -> DataFrame:
+        path = fresh_path(spark, name)
+        write(spark, d, path)
+        return read(spark, d, path)
+
+    return go
+
+
+def _write_tbl(spark: SparkSession, d: str, path: str) -> None:
+    c = [F.lit("")] * 16
+    for i, name in ((0, "l_orderkey"), (1, "l_partkey"), (2, "l_suppkey")):
+        c[i] = F.col(name).cast("string")
+    c[10] = F.date_format("l_shipdate", "yyyy-MM-dd")
+    table(spark, d, "lineitem").select(F.concat_ws("|", *c, F.lit(""))).write.text(f"{path}/lineitem.tbl")
+
+
+def _model_parts(spark: SparkSession, d: str, path: str) -> None:
+    for i in range(3):
+        files.write_tuples(_models(spark).where(F.col("model_id") == i).select("feature", "weight"), f"{path}/part-{i:05d}")
+
+
+def _tree(spark: SparkSession, path: str) -> DataFrame:
+    return files.read_text(spark, path)
+
+
+register(
+    "tbl_scan_by_month",
+    _stored("tbl", _write_tbl, lambda spark, d, path: files.read_tbl(spark, path, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("cnt"), F.sum("l_orderkey").alias("orders"), F.sum("l_suppkey").alias("suppliers"))),
+    "SELECT strftime(l_shipdate, '%Y-%m') AS ym, count(*) AS cnt, sum(l_orderkey)::BIGINT AS orders, sum(l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY 1",
+)
+register("adjacency_edges", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d, parallel=True), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path))[1]), f"WITH {_PARALLEL} SELECT src, dst FROM e")
+register("adjacency_nodes", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path))[0]), f"WITH {_EDGES} SELECT id FROM v")
+register("adjacency_nodes_tabs", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path), tabs_only=True)[0]), f"WITH {_EDGES} SELECT id FROM v")
+register(
+    "pmi_from_frequency_file",
+    _stored(
+        "frequencies",
+        lambda spark, d, path: files.write_pairs(C.line_counts(T.lines(table(spark, d, "documents"))).select("word", F.lit(C.TOTAL).alias("all"), "n"), path, key=2),
+        lambda spark, d, path: C.pmi_pairs(T.lines(table(spark, d, "documents")), frequencies=files.parse_line_frequencies(_tree(spark, path)), min_count=MIN_COUNT).withColumn("pmi", F.round("pmi", 6)),
+    ),
+    ORACLE_SQL["pmi_pairs"],
+)
+register("index_lookup", _stored("index", lambda spark, d, path: I.write_index(I.postings(table(spark, d, "documents")), path), lambda spark, d, path: I.read_index(spark, path, "the")), f"WITH {_POST} SELECT * FROM i WHERE term = 'the'")
+register("model_files_vote", _stored("models", _model_parts, lambda spark, d, path: S.ensemble(_spam(spark, d), files.read_models(spark, [f"{path}/part-{i:05d}" for i in range(3)]), "vote")), ORACLE_SQL["ensemble_vote"])

@@ -10,12 +10,14 @@ from millrace.sources.tables import table
 SUPPLIER, CUSTOMER, NATION = 10_000_000_000, 20_000_000_000, 30_000_000_000
 
 
-def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """nodes(id) and distinct edges(src, dst)."""
+def trade_graph(spark: SparkSession, sf_dir: str, parallel: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes(id) and edges(src, dst), distinct ones unless ``parallel``: then one for every line item."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") + CUSTOMER).alias("src"), F.col("l_partkey").alias("dst")).distinct()
-    made = items.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
+    bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") + CUSTOMER).alias("src"), F.col("l_partkey").alias("dst"))
+    made = items.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst"))
+    if not parallel:
+        bought, made = bought.distinct(), made.distinct()
     home = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIER).alias("src"), (F.col("s_nationkey").cast("long") + NATION).alias("dst"))
     edges = bought.unionByName(made).unionByName(home)
     return edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "id"), edges

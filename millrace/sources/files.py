@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,11 +33,23 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, offset, line) of a plain collection: the byte at which each line starts in its file. Files are read whole, one a row."""
+    whole = spark.read.text(plain(path), wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+    return with_offsets(whole, "file")
+
+
+def strict(field: Column, kind: str) -> Column:
+    """``field`` as ``kind``; one that is absent or doesn't parse fails the query."""
+    bad = F.raise_error(F.concat(F.lit(f"not a {kind}: "), F.coalesce(field, F.lit("(absent)"))))
+    return F.coalesce(field.try_cast(kind), bad.cast(kind))
+
+
 def read_tbl(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The used columns of ``folder``/``name``.tbl; a field that doesn't parse fails the read."""
-    used = TBL[name]
-    schema = ", ".join(used.get(i, f"_{i} string") for i in range(max(used) + 1))
-    return spark.read.csv(f"{folder}/{name}.tbl", sep="|", schema=schema, mode="PERMISSIVE", enforceSchema=True).select(*[c.split()[0] for c in used.values()])
+    """The used columns of ``folder``/``name``.tbl; a field that is absent or doesn't parse fails the read."""
+    t = F.split("line", "[|]", -1)
+    used = [(i, *c.split()) for i, c in TBL[name].items()]
+    return read_text(spark, f"{folder}/{name}.tbl").select(*[strict(F.get(t, F.lit(i)), kind).alias(c) for i, c, kind in used])
 
 
 def with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,11 +58,16 @@ def with_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return lines(docs, key, text).select(key, "line_no", F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0)).alias("offset"), "line")
 
 
-def parse_adjacency(rows: DataFrame, line: str = "line") -> tuple[DataFrame, DataFrame]:
-    """nodes(id) and edges(src, dst) of lines 'src dst dst ...'; a lone id is a node without out-edges; blank lines are skipped."""
-    t = rows.select(F.split(F.trim(F.col(line)), "\\s+").cast("array<long>").alias("t")).where(F.trim(F.col(line)) != "")
-    nodes = t.select(F.element_at("t", 1).alias("id"))
+def parse_adjacency(rows: DataFrame, line: str = "line", tabs_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes(id) and edges(src, dst) of lines 'src dst dst ...', separated by any white space; a lone id is a node without out-edges;
+    blank lines are skipped; repeated destinations are parallel edges.
+
+    tabs_only: fields are separated by tabs, and a line with one field adds no node; nodes are those that have an edge."""
+    bare = F.regexp_replace(F.col(line), "^\\s+|\\s+$", "")
+    split = F.filter(F.split(F.col(line), "\t"), lambda x: F.trim(x) != "") if tabs_only else F.split(bare, "\\s+")
+    t = rows.where(bare != "").select(split.alias("f")).select(F.transform("f", lambda x: strict(F.trim(x), "long")).alias("t"))
     edges = t.select(F.element_at("t", 1).alias("src"), F.explode(F.slice("t", 2, F.size("t"))).alias("dst"))
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct() if tabs_only else t.select(F.element_at("t", 1).alias("id"))
     return nodes, edges
 
 
@@ -61,7 +80,13 @@ def parse_features(rows: DataFrame, line: str = "line") -> DataFrame:
 def parse_model(rows: DataFrame, line: str = "line") -> DataFrame:
     """(feature, weight) of lines '(feature,weight)'."""
     t = F.split(F.regexp_replace(F.col(line), "[()]", ""), ",")
-    return rows.select(t[0].cast("int").alias("feature"), t[1].cast("double").alias("weight"))
+    return rows.select(strict(F.get(t, F.lit(0)), "int").alias("feature"), strict(F.get(t, F.lit(1)), "double").alias("weight"))
+
+
+def read_models(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(model_id, feature, weight) of several model files, numbered in the order given."""
+    each = [parse_model(read_text(spark, p)).select(F.lit(i).alias("model_id"), "feature", "weight") for i, p in enumerate(paths)]
+    return reduce(DataFrame.unionByName, each)
 
 
 def parse_line_frequencies(rows: DataFrame, line: str = "line") -> DataFrame:
@@ -70,14 +95,28 @@ def parse_line_frequencies(rows: DataFrame, line: str = "line") -> DataFrame:
     return rows.select(F.regexp_extract(c, r"^\((.*), \*\)\t", 1).alias("word"), F.regexp_extract(c, r"\t(.*)$", 1).cast("double").cast("long").alias("n"))
 
 
-def write_pairs(df: DataFrame, path: str) -> None:
-    """Overwrite a folder of text lines, a row's fields separated by tabs."""
-    df.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns])).write.mode("overwrite").text(path)
+def _shown(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Fields as text; a null one is written 'null', so that no field vanishes."""
+    return [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
+
+
+def write_pairs(df: DataFrame, path: str, key: int = 1) -> None:
+    """Overwrite a folder of text lines, a row's fields separated by tabs. The first ``key`` columns are the key: of two or more
+    it is written '(a, b)'."""
+    names = df.columns
+    first = F.concat(F.lit("("), F.concat_ws(", ", *_shown(df, names[:key])), F.lit(")")) if key > 1 else _shown(df, names[:1])[0]
+    df.select(F.concat_ws("\t", first, *_shown(df, names[key:]))).write.mode("overwrite").text(path)
 
 
 def write_tuples(df: DataFrame, path: str) -> None:
     """Overwrite a folder of text lines '(a,b,...)'."""
-    df.select(F.concat(F.lit("("), F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns]), F.lit(")"))).write.mode("overwrite").text(path)
+    df.select(F.concat(F.lit("("), F.concat_ws(",", *_shown(df, df.columns)), F.lit(")"))).write.mode("overwrite").text(path)
+
+
+def write_adjacency(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Overwrite a folder of adjacency lines, a node's destinations separated by tabs; a node without out-edges is a line of its own."""
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("dst")).cast("array<string>"), "\t").alias("to"))
+    nodes.select("id").distinct().join(out, "id", "left").select(F.concat_ws("\t", F.col("id").cast("string"), "to")).write.mode("overwrite").text(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

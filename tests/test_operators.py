@@ -74,7 +74,7 @@ def test_bigrams(spark, lines):
 def test_token_cap(spark):
     words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(99)]
     df = spark.createDataFrame([(" ".join([*words, "123", "alpha", "beta"]),), ("one two",), ("",), (None,)], "t string")
-    a, b, c, d = [r[0] for r in df.select(T.capped_tokens("t")).collect()]
+    a, b, c, d = [r[0] for r in df.select(T.stripped("t").alias("t")).select(T.capped_tokens("t")).collect()]
     assert a == [*words, "alpha"] and b == ["one", "two"] and c == [] and d is None
 
     def loop(raw):
@@ -90,7 +90,7 @@ def test_token_cap(spark):
 
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a", "bb", "7", "c1"]) for _ in range(rng.choice([5, 99, 100, 101, 140]))) for _ in range(40)]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.capped_tokens("t")).collect()]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.stripped("t").alias("t")).select(T.capped_tokens("t")).collect()]
     assert got == [loop(t) for t in texts]
 
 
@@ -228,6 +228,60 @@ def test_files(spark, tmp_path):
         files.plain("/data/collection.gz")
 
 
+def test_strict_tables(spark, tmp_path):
+    for text in ("abc|BAD\n", "7\n"):
+        (tmp_path / "nation.tbl").write_text(text)
+        with pytest.raises(Exception, match="not a"):
+            files.read_tbl(spark, str(tmp_path), "nation").collect()
+
+
+def test_adjacency_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(x,) for x in ("\t1 2", "\t", "", "3", " 4\t5  5 ")], "line string")
+    nodes, edges = files.parse_adjacency(rows)
+    assert sorted(r[0] for r in nodes.collect()) == [1, 3, 4] and sorted(map(tuple, edges.collect())) == [(1, 2), (4, 5), (4, 5)]
+    nodes, edges = files.parse_adjacency(spark.createDataFrame([("1\t2\t3",), ("4",), ("\t",)], "line string"), tabs_only=True)
+    assert sorted(r[0] for r in nodes.collect()) == [1, 2, 3] and edges.count() == 2
+    with pytest.raises(Exception, match="not a"):
+        files.parse_adjacency(spark.createDataFrame([("1 x",)], "line string"))[1].collect()
+
+
+def test_writers_keep_nulls_and_pair_keys(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 3)], "a int, b int, c int")
+    read = lambda name: [r[0] for r in spark.read.text(str(tmp_path / name)).collect()]
+    files.write_pairs(df, str(tmp_path / "x"))
+    files.write_pairs(df, str(tmp_path / "y"), key=2)
+    files.write_tuples(df, str(tmp_path / "z"))
+    assert (read("x"), read("y"), read("z")) == (["1\tnull\t3"], ["(1, null)\t3"], ["(1,null,3)"])
+
+
+def test_collection_offsets(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("é\n\nxy\n", encoding="utf-8")
+    got = files.read_collection(spark, str(tmp_path / "a.txt")).orderBy("line_no").select("offset", "line").collect()
+    assert [tuple(r) for r in got] == [(0, "é"), (3, ""), (4, "xy"), (7, "")]
+
+
+def test_pairs_need_their_frequencies(spark, lines):
+    freq = C.line_counts(lines).where("word <> 'quick'")
+    with pytest.raises(Exception, match="no line frequency of quick"):
+        C.pmi_pairs(lines, frequencies=freq).collect()
+
+
+def test_long_posting_lists_decode(spark):
+    index = spark.range(300_000).select(F.lit("the").alias("term"), (F.col("id") * 2 + 1).alias("docno"), F.lit(1).alias("tf"))
+    got = I.decode_lists(I.posting_lists(index)).agg(F.count("*"), F.sum("docno"), F.max("docno")).first()
+    assert tuple(got) == (300_000, 300_000**2, 599_999)
+
+
+def test_personalized_pagerank_to_convergence(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 1), (3, 5), (4, 1)], "src long, dst long")
+    early = table(G.personalized_pagerank(nodes, edges, [1], 60, tolerance=1e-3), "id", "rank")
+    late = table(G.personalized_pagerank(nodes, edges, [1], 20), "id", "rank")
+    assert early.keys() == late.keys() and all(abs(early[k] - late[k]) < 5e-3 for k in late)
+    with pytest.raises(Exception, match="several records"):
+        G.one_record_each(nodes.union(nodes)).collect()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     lines = T.lines(none)

@@ -8,14 +8,15 @@ LINES = ["the quick brown fox the", "the lazy dog", "", "fox fox quick", "a dog
 
 
 def test_pairs_and_stripes_run_over_documents(spark, tmp_path):
-    """They were registered over the benchmark table only, which this folder doesn't have."""
-    docs = [(1, "\n".join(LINES)), (2, "the fox\nlazy dog"), (3, None)]
+    """All lines of all documents; pairs in fewer than MIN_COUNT lines are left out."""
+    docs = [(1, "\n".join(LINES)), (2, "the fox\nlazy dog"), (3, None), (4, "\n".join(["the fox"] * 7 + ["a lazy dog"] * 9))]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     sets = [set(x.split()) for _, t in docs if t is not None for x in t.split("\n")]
     n = Counter(w for s in sets for w in s)
-    pair = Counter(p for s in sets for p in permutations(s, 2))
+    pair = {p: c for p, c in Counter(p for s in sets for p in permutations(s, 2)).items() if c >= registry.MIN_COUNT}
+    assert pair
     pmi = {(x, y): round(math.log10(c * len(sets) / (n[x] * n[y])), 6) for (x, y), c in pair.items()}
-    got = {name: registry.QUERIES[f"{name}_documents"](spark, str(tmp_path)).collect() for name in ("line_counts", "cooccurrence_pairs", "pmi_pairs", "pmi_stripes")}
+    got = {name: registry.QUERIES[name](spark, str(tmp_path)).collect() for name in ("line_counts", "cooccurrence_pairs", "pmi_pairs", "pmi_stripes")}
     assert {r["word"]: r["n"] for r in got["line_counts"]} == {**n, "*": len(sets)}
     assert {(r["x"], r["y"]): r["n"] for r in got["cooccurrence_pairs"]} == {p: c for p, c in pair.items() if p[0] < p[1]}
     assert {(r["x"], r["y"]): (r["n"], round(r["pmi"], 6)) for r in got["pmi_pairs"]} == {p: (c, pmi[p]) for p, c in pair.items()}
