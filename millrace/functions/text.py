@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = "[ \\t\\n\\r\\f]+"
-#: What stands before the first and after the last of a-z in a token that has one.
-EDGES = "(?<![^ \\t\\n\\r\\f])[^a-z \\t\\n\\r\\f]++(?=[a-z])|(?<=[a-z])[^a-z \\t\\n\\r\\f]++(?![^ \\t\\n\\r\\f])"
+#: From the first to the last of a-z in a part between white space.
+WORD = "[a-z](?:[^ \\t\\n\\r\\f]*[a-z])?"
 CAP = 100
 
 
@@ -15,28 +15,23 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _word(x: Column) -> Column:
-    return (x >= "a") & (x < "{")
-
-
-def stripped(text: str | Column) -> Column:
-    """Parts between white space (space, tab, line feed, carriage return, form feed) in lower case, without what stands before
-    the first and after the last of a-z. Parts without any of a-z keep their place and aren't words: they, and an empty part
-    at either end, begin with something else. One regular expression over the whole text."""
-    return F.split(F.regexp_replace(F.lower(_col(text)), EDGES, ""), SPACES)
+def tokens(text: str | Column) -> Column:
+    """The words of a text: its parts between white space (space, tab, line feed, carriage return, form feed) in lower case, without what
+    stands before the first and after the last of a-z; parts without any of a-z are none. One regular expression over the text."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
 
 
-def tokens(text: str | Column) -> Column:
-    """The words of a text."""
-    return F.filter(stripped(text), _word)
+def capped_tokens(text: str | Column, cap: int = CAP) -> Column:
+    """The words up to and including the first one at or beyond part ``cap`` (from 1; parts that aren't words count)."""
+    space, part = "[ \\t\\n\\r\\f]", "[^ \\t\\n\\r\\f]"
+    head = f"^{space}*+(?:{part}++{space}++){{0,{cap - 1}}}[^a-z]*+{part}*+"
+    return tokens(F.regexp_extract(F.lower(_col(text)), head, 0))
 
 
-def capped_tokens(parts: str | Column, cap: int = CAP) -> Column:
-    """Of the stripped parts of a text, the words up to and including the first one at or beyond place ``cap`` (from 1; an empty
-    part has no place). Give a column that holds the parts: they are read several times."""
-    t = F.filter(_col(parts), lambda x: x != "")
-    rest = F.filter(F.slice(t, cap, F.greatest(F.size(t), F.lit(1))), _word)
-    return F.when(F.size(_col(parts)) < cap, F.filter(_col(parts), _word)).otherwise(F.concat(F.filter(F.slice(t, 1, cap - 1), _word), F.slice(rest, 1, 1)))
+def each(df: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """``keep`` and one row per element of an array of no nulls, as ``name``. Spark would filter on the array's size before it explodes it,
+    and so compute it twice; the outer form with a filter behind it computes it once."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

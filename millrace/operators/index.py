@@ -18,7 +18,7 @@ BLOCK = 1 << 20
 
 def postings(docs: DataFrame, docno: str = "doc_id", text: str = "text") -> DataFrame:
     """(term, docno, tf)."""
-    return docs.select(F.col(docno).alias("docno"), F.explode(T.tokens(text)).alias("term")).groupBy("term", "docno").agg(F.count("*").cast("int").alias("tf"))
+    return T.each(docs.withColumn("docno", F.col(docno)), T.tokens(text), "term", "docno").groupBy("term", "docno").agg(F.count("*").cast("int").alias("tf"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def train(documents: DataFrame, shards: int = 1, seed: int | None = None, delta:
 
 def score(documents: DataFrame, model: DataFrame) -> DataFrame:
     """(docid, label, score, prediction): the sum of the weights of all feature occurrences, 0 for unknown ones; spam above 0."""
-    hits = documents.select("docid", F.explode("features").alias("feature")).join(model.select("feature", "weight"), "feature").groupBy("docid").agg(F.sum("weight").alias("s"))
+    hits = T.each(documents, F.col("features"), "feature", "docid").join(model.select("feature", "weight"), "feature").groupBy("docid").agg(F.sum("weight").alias("s"))
     s = F.coalesce("s", F.lit(0.0))
     return documents.select("docid", "label").join(hits, "docid", "left").select("docid", "label", s.alias("score"), verdict(s).alias("prediction"))
 
@@ -71,7 +71,7 @@ def ensemble(documents: DataFrame, models: DataFrame, method: str = "average", m
     """
     if method not in ("average", "vote"):
         raise ValueError(f"no such method: {method}")
-    exploded = documents.select("docid", F.explode("features").alias("feature"))
+    exploded = T.each(documents, F.col("features"), "feature", "docid")
     parts = exploded.join(models.select("model_id", "feature", "weight"), "feature").groupBy("docid").agg(*[F.sum(F.when(F.col("model_id") == i, F.col("weight"))).alias(f"s{i}") for i in model_ids])
     each = [F.coalesce(f"s{i}", F.lit(0.0)) for i in model_ids]
     joined = documents.select("docid", "label").join(parts, "docid", "left")

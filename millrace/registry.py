@@ -83,7 +83,7 @@ def _pmi(lines: DataFrame) -> DataFrame:
     return C.pmi_pairs(lines, min_count=MIN_COUNT)
 
 
-register("cooccurrence_pairs", _lines("documents", "doc_id", lambda l: C.cooccurrence(l).where(F.col("n") >= MIN_COUNT)), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n FROM p WHERE x < y AND n >= {MIN_COUNT}")
+register("cooccurrence_pairs", _lines("documents", "doc_id", lambda l: C.cooccurrence(l, min_count=MIN_COUNT)), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n FROM p WHERE x < y AND n >= {MIN_COUNT}")
 register("pmi_pairs", _lines("documents", "doc_id", lambda l: _pmi(l).withColumn("pmi", F.round("pmi", 6))), f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, y, n, round(pmi, 6) AS pmi FROM pmi WHERE n >= {MIN_COUNT}")
 
 

@@ -74,7 +74,7 @@ def test_bigrams(spark, lines):
 def test_token_cap(spark):
     words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(99)]
     df = spark.createDataFrame([(" ".join([*words, "123", "alpha", "beta"]),), ("one two",), ("",), (None,)], "t string")
-    a, b, c, d = [r[0] for r in df.select(T.stripped("t").alias("t")).select(T.capped_tokens("t")).collect()]
+    a, b, c, d = [r[0] for r in df.select(T.capped_tokens("t")).collect()]
     assert a == [*words, "alpha"] and b == ["one", "two"] and c == [] and d is None
 
     def loop(raw):
@@ -90,7 +90,7 @@ def test_token_cap(spark):
 
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a", "bb", "7", "c1"]) for _ in range(rng.choice([5, 99, 100, 101, 140]))) for _ in range(40)]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.stripped("t").alias("t")).select(T.capped_tokens("t")).collect()]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.capped_tokens("t")).collect()]
     assert got == [loop(t) for t in texts]
 
 
@@ -262,7 +262,7 @@ def test_collection_offsets(spark, tmp_path):
 
 def test_pairs_need_their_frequencies(spark, lines):
     freq = C.line_counts(lines).where("word <> 'quick'")
-    with pytest.raises(Exception, match="no line frequency of quick"):
+    with pytest.raises(Exception, match="no line frequency"):
         C.pmi_pairs(lines, frequencies=freq).collect()
 
 
