@@ -1,11 +1,18 @@
-"""Substring dedup by hashing the units of lines and paragraphs.
+"""Substring dedup by hashing lines and what stands inside them.
 
-A unit is a sentence: it ends at a line break or at terminal punctuation, so that passages set into the middle of a line are
-found too. Where a sentence holds a capitalised word after its first, its *tail* from there on is hashed as well: a passage that
-begins within someone else's sentence begins with a tail. Units are normalised (lower-cased runs of letters, marks and numbers)
-and digested to 128 bits; digests are grouped over all documents, and the earliest occurrence, by the ranking columns and then by
-position, is kept. Consecutive later occurrences form a run; a run of MIN_WORDS words or more is removed, with
-its offsets in the original text retained. Shorter runs (a lone "Yes.") stay, so plain prose isn't thinned out.
+Units are normalised (lower-cased runs of letters, marks and numbers) and digested to 128 bits; digests are grouped over all
+documents, and the earliest occurrence, by the ranking columns and then by position, is kept; the others are removed, with their
+offsets in the original text retained.
+
+* A *line* that an earlier one equals is removed whatever its length.
+* Passages also repeat inside lines, with other text around them. A line is therefore read as sentences, up to terminal punctuation;
+  where a sentence holds a capitalised word after its first, its *tail* from there on is hashed as well, as a passage that
+  begins within someone else's sentence begins with a tail. Consecutive repeated sentences (the first of them may be a tail), over line ends too, form a
+  run, and one of RUN_WORDS words or more is removed. A shorter run that isn't a whole line stays: that two texts share "Yes." doesn't
+  make it a passage. A repeated line of RUN_WORDS words or more is such a run, so only shorter lines have digests of their own.
+
+What isn't found: the part of a passage before its first and after its last sentence end or capitalised word, and so a passage inside a line
+that has neither.
 
 Only digests are grouped, with map-side combining, so a unit that a third of all documents share is summed before it is shuffled;
 what returns to a document is the list of units it is the first to hold. Nothing is joined on a digest.
@@ -27,7 +34,8 @@ from pyspark.sql import functions as F
 from millrace.llm import _kernels as K
 from millrace.llm._spark import map_chunks, table
 
-MIN_WORDS = 8
+RUN_WORDS = 8
+_LINE = 1 << 30  # places of lines are written as place - _LINE, beside those of sentences
 STOPS = ".!?。！？\n"
 
 
@@ -37,8 +45,9 @@ def _upper() -> np.ndarray:
 
 
 def units(text: pa.Array) -> dict:
-    """Sentences and tails of every row. start: first word of each unit, counted over the slice; end: word after it;
-    sentence: whether it is one, and not a tail; row; d1, d2: its digests. Words: ws, we (code points), per row; off: rows."""
+    """Sentences, tails and short lines of every row. start: first word of each unit, counted over the slice; end: word after it;
+    kind: 0 a sentence, 1 a tail, 2 a line; row; d1, d2: its digests; tail_of, line_of: the sentence a tail is in, or a line starts with.
+    Words: ws, we (code points), per row; off: rows."""
     cps, off = K.codepoints(text)
     low = K.lower_map()[cps]
     ws, we, words = K.runs(K.word_mask()[cps], off)
@@ -53,33 +62,52 @@ def units(text: pa.Array) -> dict:
     of = np.cumsum(new) - 1
     last = np.append(first[1:], len(ws))
     tail = np.flatnonzero(~new & _upper()[cps[ws]])
-    start = np.concatenate([first, tail])
-    end = np.concatenate([last, last[of[tail]]])
+    breaks = np.zeros(len(cps) + 1, np.int64)
+    np.cumsum(cps == 10, out=breaks[1:])
+    begins = new.copy()
+    begins[1:] &= breaks[ws[1:]] > breaks[we[:-1]]
+    begins[words[:-1][np.diff(words) > 0]] = True
+    line = np.flatnonzero(begins)
+    line_end = np.append(line[1:], len(ws))
+    short = line_end - line < RUN_WORDS
+    line, line_end = line[short], line_end[short]
+    start = np.concatenate([first, tail, line])
+    end = np.concatenate([last, last[of[tail]], line_end])
+    kind = np.repeat([0, 1, 2], [len(first), len(tail), len(line)])
+    digest = lambda seed: np.where(kind == 2, K.span_hashes(h, start, end, seed=seed + 2), K.span_hashes(h, start, end, seed=seed))
     return {
-        "start": start, "end": end, "sentence": np.arange(len(start)) < len(first), "row": np.searchsorted(words, start, "right") - 1, "tail_of": of[tail],
-        "d1": K.span_hashes(h, start, end, seed=1), "d2": K.span_hashes(h, start, end, seed=2), "ws": ws, "we": we, "words": words, "off": off,
+        "start": start, "end": end, "kind": kind, "row": np.searchsorted(words, start, "right") - 1, "tail_of": of[tail], "line_of": of[line],
+        "d1": digest(1), "d2": digest(2), "ws": ws, "we": we, "words": words, "off": off,
     }
 
 
 def _digests(part: pa.RecordBatch) -> dict:
     u = units(part.column("text"))
     row = pa.array(u["row"])
-    return {"d1": pa.array(u["d1"].view(np.int64)), "d2": pa.array(u["d2"].view(np.int64)), "key": part.column("key").take(row), "tie": part.column("tie").take(row), "at": pa.array((u["start"] - u["words"][u["row"]]).astype(np.int32))}
+    return {"d1": pa.array(u["d1"].view(np.int64)), "d2": pa.array(u["d2"].view(np.int64)), "key": part.column("key").take(row), "tie": part.column("tie").take(row), "at": pa.array((u["start"] - u["words"][u["row"]] - _LINE * (u["kind"] == 2)).astype(np.int32))}
 
 
 def removals(text: pa.Array, firsts: pa.Array) -> list[list[tuple[int, int, int]]]:
     """Per row, (start, end, words) of each run to remove, in code points of the original text."""
     u = units(text)
     rows = len(text)
-    won = np.zeros(len(u["ws"]) + 1, bool)
+    won, won_line = np.zeros(len(u["ws"]) + 1, bool), np.zeros(len(u["ws"]) + 1, bool)
     size = np.diff(K.offsets_of(firsts))
     flat = firsts.flatten().to_numpy()
-    won[flat + np.repeat(u["words"][:-1], size)] = True
-    n = int(u["sentence"].sum())
+    base = np.repeat(u["words"][:-1], size)
+    won[(flat + base)[flat >= 0]] = True
+    won_line[(flat + _LINE + base)[flat < 0]] = True
+    n = int((u["kind"] == 0).sum())
     first, last, row = u["start"][:n], u["end"][:n], u["row"][:n]
+    line = u["kind"] == 2
+    whole = np.zeros(n + 1, np.int64)  # sentences of repeated short lines
+    again = ~won_line[u["start"][line]]
+    np.add.at(whole, u["line_of"][again], 1)
+    np.add.at(whole, np.searchsorted(first, u["end"][line][again]), -1)
+    whole = np.cumsum(whole) > 0
     dup = ~won[first]
     lead = first.copy()  # where the removed part of a sentence starts: at its first word, or at its longest repeated tail
-    tails = u["start"][n:]
+    tails = u["start"][u["kind"] == 1]
     again = ~won[tails] & ~dup[u["tail_of"]]
     has_tail = np.zeros(n, bool)
     for s, t in zip(u["tail_of"][again][::-1], tails[again][::-1], strict=True):
@@ -93,12 +121,17 @@ def removals(text: pa.Array, firsts: pa.Array) -> list[list[tuple[int, int, int]
     ends = np.zeros(len(begin), np.int64)
     np.maximum.at(ends, run[part], np.flatnonzero(part))
     for b, e in zip(begin, ends, strict=True):
-        r = row[b]
-        count = int(last[e] - lead[b])
-        if count >= MIN_WORDS:
+        if last[e] - lead[b] >= RUN_WORDS:
+            parts = [(b, e)]
+        else:
+            at = np.flatnonzero(whole[b : e + 1]) + b
+            cut = np.flatnonzero(np.diff(at) > 1)
+            parts = list(zip(at[np.append(0, cut + 1)], at[np.append(cut, -1)], strict=True)) if len(at) else []
+        for x, y in parts:
+            r = row[x]
             base = u["off"][r]
-            stop = u["ws"][last[e]] if last[e] < u["words"][r + 1] else u["off"][r + 1]
-            out[r].append((int(u["ws"][lead[b]] - base), int(stop - base), count))
+            stop = u["ws"][last[y]] if last[y] < u["words"][r + 1] else u["off"][r + 1]
+            out[r].append((int(u["ws"][lead[x]] - base), int(stop - base), int(last[y] - lead[x])))
     return out
 
 

@@ -116,7 +116,7 @@ def test_signatures_estimate_similarity():
 
 def brute_dedup(rows):
     """Unit by unit, in rank order, with plain strings."""
-    seen, out = set(), []
+    seen, seen_lines, out = set(), set(), []
     stops = set(substring_dedup.STOPS)
     for key, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         words = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
@@ -140,6 +140,17 @@ def brute_dedup(rows):
                 marks.append((si, tails[0]) if tails else None)
             new |= {plain(s[wi:]) for x, wi in flat if x == si}
         seen |= new
+        lines = []  # sentences of each line
+        for si, x in enumerate(sentences):
+            if not si or "\n" in text[sentences[si - 1][-1][1] : x[0][0]]:
+                lines.append([])
+            lines[-1].append(si)
+        whole = set()
+        for x in lines:
+            said = tuple(w for si in x for w in plain(sentences[si]))
+            if len(said) < substring_dedup.RUN_WORDS:
+                whole |= set(x) if said in seen_lines else set()
+                seen_lines.add(said)
         cuts, i = [], 0
         while i < len(marks):
             if marks[i] is None:
@@ -149,9 +160,18 @@ def brute_dedup(rows):
             while j < len(marks) and marks[j] is not None and marks[j][1] == 0:
                 j += 1
             n = sum(len(sentences[x][marks[x][1] :]) for x in range(i, j))
-            if n >= substring_dedup.MIN_WORDS:
+            if n >= substring_dedup.RUN_WORDS:
                 start = sentences[i][marks[i][1]][0]
                 cuts.append((start, sentences[j][0][0] if j < len(sentences) else len(text), n))
+            else:
+                x = i
+                while x < j:
+                    y = x
+                    while y < j and y in whole:
+                        y += 1
+                    if y > x:
+                        cuts.append((sentences[x][0][0], sentences[y][0][0] if y < len(sentences) else len(text), sum(len(sentences[z]) for z in range(x, y))))
+                    x = max(y, x + 1)
             i = j
         out.append((key, cuts))
     return dict(out)
@@ -179,6 +199,42 @@ def test_dedup_by_brute_force(spark):
         assert got[k]["text"] == (None if t is None else "".join(keep) + t[at:]) and got[k]["key"] == 2 * k
 
 
+def test_dedup_removes_repeated_lines_of_any_length(spark):
+    rows = [(i, f"Home About us Contact page\nYes.\nText {chr(97 + i) * 3} alone, nothing else here that another says.\nNo. Yes.") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit("clash"))
+    got = {r["doc_id"]: (r["text"], len(r["removed"])) for r in substring_dedup.dedup(df).collect()}
+    assert got[0] == (rows[0][1], 0)
+    assert got[1] == ("Text bbb alone, nothing else here that another says.\n", 2) and got[2][0] == "Text ccc alone, nothing else here that another says.\n"
+
+
+def test_dedup_catches_passages_and_leaves_others_alone(spark):
+    """Passages of 60 words set anywhere into half of the documents; of the others hardly one is touched, though short sentences repeat."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
+    sentence = lambda: " ".join([rng.choice(vocabulary).capitalize(), *(rng.choice(vocabulary) for _ in range(rng.randrange(14)))]) + "."
+    text = lambda: [" ".join(sentence() for _ in range(rng.randrange(1, 6))) for _ in range(6)]
+    passages = []
+    for _ in range(5):
+        words = []
+        while sum(len(x.split()) for x in words) < 60:
+            words.append(sentence())
+        passages.append(" ".join(words))
+    rows, planted, seen = [], {}, set()
+    for i in range(600):
+        lines = text()
+        if i % 2:
+            p = rng.choice(passages)
+            at = rng.randrange(6)
+            lines[at] = f"{lines[at]} {p} {sentence()}"
+            planted[i] = p in seen and p
+            seen.add(p)
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = [i for i, p in planted.items() if p]
+    assert sum(planted[i] not in got[i] for i in again) >= 0.97 * len(again) and len(again) > 250
+    assert sum(got[i] == t for i, t in rows if i % 2 == 0) >= 0.95 * 300
+
+
 def test_dedup_finds_a_passage_inside_lines(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
