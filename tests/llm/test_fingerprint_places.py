@@ -12,7 +12,8 @@ def test_leaves_do_not_depend_on_the_place():
     rng = random.Random(1)
     text = paragraph(rng, 100)
     heading = "A heading of some length. " * 12
-    assert fp.tree(text)[0][0] == fp.tree(f"{heading}\n\n{text}")[1][0]
+    leaves = lambda t: fp.read([fp.fingerprint(t)])[0].digest[2].tolist()
+    assert leaves(text) == leaves(f"{heading}\n\n{text}")[-len(leaves(text)) :]
     a, b = fp.fingerprint(text), fp.fingerprint(f"{heading}\n\n{text}")
     assert fp.likeness(a, b) > 0.97 * 2 * len(text) / (2 * len(text) + len(heading))
 

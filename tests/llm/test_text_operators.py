@@ -1,6 +1,7 @@
 import math
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from hashlib import sha256
 from itertools import pairwise
 
@@ -136,8 +137,9 @@ def test_perplexity_of_odd_rows(spark, odd):
 
 def test_quality_rules(spark, odd):
     prose = "\n".join("It was a quiet morning and the boats came in one after the other.".replace("quiet", w) for w in ("quiet", "cold", "bright", "grey"))
-    nav = "Home | About | Contact | News\nOMG!! WOW!! BUY!! NOW!!\nAll rights reserved by us, as of now"
-    docs = spark.createDataFrame([(1, prose), (2, f"{prose}\n{nav}"), (3, f"{nav}\n{nav}\nIt was so."), (4, "too short")], "doc_id int, text string")
+    rights = "Alle Rechte vorbehalten, Muster GmbH"
+    nav = f"Home | About | Contact | News\nOMG!! WOW!! BUY!! NOW!!\n{rights}"
+    docs = spark.createDataFrame([(1, prose), (2, f"{prose}\n{nav}"), (3, f"{nav}\n{nav}\nIt was so."), (4, "too short")] + [(10 + i, f"Text {i} says this.\n{rights}\nAnd {i} says that.") for i in range(20)], "doc_id int, text string")
     got = {r["doc_id"]: r for r in quality_rules.clean(docs).collect()}
     assert got[1]["clean_text"] == prose and got[1]["base_failed"]  # its lines repeat windows; cleaning leaves them
     assert got[2]["clean_text"] == prose and (got[2]["lines_navigation"], got[2]["lines_punctuation"], got[2]["lines_boilerplate"]) == (1, 1, 1)
@@ -147,10 +149,26 @@ def test_quality_rules(spark, odd):
     assert quality_rules.clean(odd.limit(0)).count() == 0
 
 
+def test_boilerplate_is_a_line_in_many_contexts(spark):
+    """Not a phrase list: a line in any language, found as a whole line, and not the lines of a text that is copied many times."""
+    copied = "A text of its own.\nWith a second line.\nAnd a third."
+    rows = [(i, copied) for i in range(60)] + [(100 + i, f"Número {i} dice esto.\n \tTodos los derechos reservados \nY {i} dice eso.") for i in range(25)] + [(200, "I blog in Paris, and sign up for more."), (201, "Todos los derechos reservados y más"), (202, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.clean(docs).collect()}
+    assert {k for k, r in got.items() if r["lines_boilerplate"]} == set(range(100, 125)) and got[100]["clean_text"] == "Número 0 dice esto.\nY 0 dice eso." and got[0]["clean_text"] == copied
+    lines = [[x.strip() for x in (t or "").split("\n") if x.strip()] for _, t in rows]
+    around = defaultdict(set)
+    for x in lines:
+        for i, line in enumerate(x):
+            around[line].add((x[i - 1] if i else None, x[i + 1] if i + 1 < len(x) else None))
+    assert len(quality_rules.boilerplate(docs)) == sum(len(c) >= quality_rules.MIN_CONTEXTS for c in around.values()) == 1
+    assert len(quality_rules.boilerplate(docs, share=0.5)) == 0
+
+
 def test_quality_counts_by_brute_force():
     rng = random.Random(5)
     texts = ["".join(rng.choice(["a ", "b ", "c#", "\n", "d\x0b", "é&"]) for _ in range(rng.randrange(80))) for _ in range(60)]
-    got = quality_rules.measure(pa.array(texts))
+    got = quality_rules.measure(pa.array(texts), np.zeros(0, np.uint64))
     for i, t in enumerate(texts):
         w = t.replace("\x0b", " ").split()
         wins = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
@@ -296,13 +314,12 @@ def test_fingerprints_by_brute_force(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (None, "last")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     order = [(k, t or "") for k, t in sorted(rows, key=lambda r: -(r[0] if r[0] is not None else -1))]
-    got = {r["doc_id"]: r for r in fingerprints.with_next(df, lambda k, t, n: {"key": k, "t": t, "n": n}, "t string, n string").collect()}
+    got = {r["doc_id"]: r for r in fingerprints.with_next(df, lambda t, n: {"t": t, "n": n}, "t string, n string").collect()}
     assert len(got) == len(rows) and all((got[k]["t"], got[k]["n"]) == (t, order[(i + 1) % len(order)][1]) for i, (k, t) in enumerate(order))
 
 
 def test_fingerprint_trees():
     text = "A first sentence. And one more!\nA second line\n\nAnother section, with " + "words " * 80
-    assert "".join(x for s in fingerprints.tree(text) for p in s for x in p) == text
     a, b = fingerprints.fingerprint(text), fingerprints.fingerprint(text.replace("second", "other"))
     assert fingerprints.likeness(a, a) == 1 and 0.8 < fingerprints.likeness(a, b) < 1 and fingerprints.edits(a, b) == [(0, 1)] and fingerprints.edits(a, a) == []
     assert fingerprints.fingerprint(None) == fingerprints.fingerprint("") != a and fingerprints.likeness(fingerprints.fingerprint(""), a) == 0
@@ -311,8 +328,81 @@ def test_fingerprint_trees():
     assert 0.3 < fingerprints.likeness(a, half) < 0.7
 
 
+def plain_tree(text):
+    """Sections of paragraphs of leaves, character by character."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    out, ended = [], True
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        leaves = []
+        for i, c in enumerate(line):
+            h = 0
+            for j in range(1, min(i, 4) + 1):
+                h = (h * 0x9FB21C651E98DF25 + ord(line[i - j])) & mask
+            if not i or (i >= 4 and mixed(h) % fingerprints.LEAF == 0) or len(leaves[-1]) == fingerprints.MOST:
+                leaves.append("")
+            leaves[-1] += c
+        blank = not line.strip(" \t\r\n")
+        if not out or ended and not blank:
+            out.append([])
+        ended = blank
+        out[-1].append(tuple(leaves))
+    return [tuple(s) for s in out]
+
+
+def plain_likeness(a, b):
+    both, common = len(a) + len(b), 0
+    left = [plain_tree(a), plain_tree(b)]
+    size = lambda x: len(x) if isinstance(x, str) else sum(map(size, x))
+    for _ in range(3):
+        x, y = map(Counter, left)
+        common += sum(size(k) * n for k, n in (x & y).items())
+        left = [[c for k, n in d.items() for _ in range(n) for c in k] for d in (x - y, y - x)]
+    return 1.0 if a == b else 2 * common / both if both else 0.0
+
+
+def test_trees_and_likeness_by_brute_force():
+    rng = random.Random(12)
+    pieces = ["some words here ", "a", "é", "漢字かな", "x" * 150, "\n", "\n\n", " \t\n", "Another. ", "".join(rng.choice("abcdef ") for _ in range(90))]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(120)] + ["", "\n", "\n\n", "x"]
+    other = texts[1:] + texts[:1]
+    forest, roots = fingerprints.plant(pa.array(texts))
+    for i, t in enumerate(texts):
+        tree = plain_tree(t)
+        assert "".join(x for s in tree for p in s for x in p) == t
+        at = np.flatnonzero(forest.up[0] == i)
+        assert [[forest.weight[2][forest.up[2] == p].tolist() for p in np.flatnonzero(forest.up[1] == s)] for s in at] == [[[len(x) for x in p] for p in s] for s in tree]
+    shown = fingerprints.write(forest, roots)
+    back, again = fingerprints.read(shown)
+    assert again == roots and all((x == y).all() for k in ("digest", "weight", "up") for x, y in zip(getattr(back, k), getattr(forest, k), strict=True))
+    got = fingerprints.compare(texts, other)
+    assert got["fingerprint"] == shown == [fingerprints.fingerprint(t) for t in texts]
+    for i, (a, b) in enumerate(zip(texts, other, strict=True)):
+        assert got["near_next"][i] == pytest.approx(plain_likeness(a, b)) == fingerprints.likeness(shown[i], fingerprints.fingerprint(b))
+        assert got["near_edited"][i] == pytest.approx(plain_likeness(a, fingerprints.edited(a, b)))
+        assert (shown[i] == fingerprints.fingerprint(b)) == (a == b)
+
+
+def test_fingerprints_of_odd_tables(spark):
+    """Keys that are text, extra columns with the outputs' names, a key with many texts, a very long text."""
+    rows = [("b", "x " * 300_000, 1, 2), ("a", "y", 1, 2), (None, "z", 1, 2)] + [("same", f"text {i}", 1, 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, fingerprint int, n_chars int")
+    got = fingerprints.with_next(df, lambda t, n: {"t": t, "n": n}, "t string, n string").collect()
+    follows = {r["t"]: r["n"] for r in got}
+    at, seen = follows["z"], []  # after the last comes the first: the key "same"
+    while at not in seen:
+        seen.append(at)
+        at = follows[at]
+    assert len(seen) == len(rows) and set(seen[:200]) == {f"text {i}" for i in range(200)} and seen[200:] == ["x " * 300_000, "y", "z"]
+
+
 def test_fingerprints_of_ties_and_single_rows(spark):
-    fn = lambda k, t, n: {"key": k, "t": t, "n": n}
+    fn = lambda t, n: {"t": t, "n": n}
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert [tuple(r) for r in fingerprints.with_next(one, fn, "t string, n string").collect()] == [(1, "x", "x")]
     tie = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (None, None)], "doc_id long, text string")
