@@ -1,27 +1,37 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is read as a string of token classes (insult, threat, target, negation, reported speech, plain
-word). Three transducers rewrite it: *negation* marks an insult or threat within three words after a
-negation, *report* marks one after a verb of saying or inside an open quotation, *target* marks one within
-four words of the person it is aimed at. Their composition is one machine that gives each matched word a
-factor; a clause scores the sum of factor times the word's own weight, a text the sum of its clauses.
-
-The insult lexemes (words, or stems of 4 to 8 letters) and their weights are learned from labelled rows:
-a lexeme enters if most labelled rows that hold it are toxic and it explains toxic rows that no lexeme before
-it explains, so words that merely stand beside an insult don't enter. The curve from score to probability is
-fitted on the same rows. Fitting uses a sample of at most about SAMPLE_ROWS labelled rows, drawn by
-hash; scoring covers all rows and whole texts.
-
-Defined results: a null or empty text has no clause and gets the score of an empty clause; with no labels the
-lexicon is empty and only threats count; labels that are null are left out; several labels of one key count as
+A clause is read as a string of symbols and rewritten by five transducers, composed with one another:
+
+* *insult* reads the characters of a word. It accepts a learned word whole, or a learned stem of 4 to 8 letters with any ending, and
+  writes ``insult`` with the lexeme's weight; any other word is written as the class that GRAMMAR_WORDS gives it, or ``word``.
+* *target* comes in two parts, as an insult may stand on either side of the person it is aimed at. ``address`` reads a clause from its
+  end and marks insults that a person follows within TARGET_REACH words; ``aimed`` reads it from its start and gives TARGET_FACTOR to those
+  marked and to those that follow a person within as many.
+* *threat* reads a verb and then its object: a person within THREAT_REACH words after the verb, or an object pronoun that stands as far
+  before it ("te", "dich"). "He beat the egg" has no object that is a person, "you burn it" none after the verb.
+* *negation* gives NEGATED to a hit within NEGATION_REACH words after a negation; *report* gives REPORTED to one after a verb of saying, or
+  between quotation marks.
+
+The composed machine gives every hit a factor; a clause scores the sum of factor times weight (of a threat THREAT_WEIGHT), a text the
+sum of its clauses. The probability is a logistic curve over log(1 + score), so it grows with every clause.
+
+The insult lexemes and their weights are learned from labelled rows: a lexeme enters if most labelled rows that hold it are toxic and it
+explains toxic rows that no lexeme before it explains, one in 500 at least, so words that merely stand beside an insult don't
+enter, and there can't be more than 500; and then words in hardly a clean row, as common as a quarter of the usual one of these. The curve is
+fitted on the same rows. Fitting uses a sample of at most about SAMPLE_ROWS labelled rows, drawn by hash; scoring covers all
+rows and whole texts. Words are the same runs of letters, marks and numbers in learning and in scoring.
+
+Defined results: a null or empty text has no clause and gets the score of an empty clause; with no labels, or no toxic one, the
+lexicon is empty and the curve is a given one, by which a plain threat scores 0.5; labels that are null are left out; several labels of one key count as
 their maximum; repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +43,18 @@ from millrace.llm._spark import crc_mod, cut, map_chunks, table
 
 SAMPLE_ROWS = 30_000
 STEMS = (4, 5, 6, 7, 8)
-MAX_LEXEMES = 4_000
+TARGET_REACH, TARGET_FACTOR = 4, 1.5
+THREAT_REACH, THREAT_WEIGHT = 3, 1.0
+NEGATION_REACH, NEGATED, REPORTED = 5, 0.25, 0.5
 
-TARGET = frozenset("you your yours yourself u he she they him them his her their du dich dir dein deine ihr euch er sie tu te toi ton ta tes vous votre il elle ils elles tú ti tu usted ustedes él ella ellos eres es are".split())
-NEGATION = frozenset("not no never none nobody without isn aren wasn don doesn nicht kein keine keinen nie niemals ohne ne pas jamais sans aucun nunca ni sin jamás".split())
-REPORT = frozenset("said says say saying told tells wrote writes claimed claims called quoted reported sagte sagt schrieb behauptete nannte dit disait écrit affirme déclare dijo dice escribió afirma declaró".split())
-THREAT = frozenset("kill hurt destroy beat punch stab shoot burn töten umbringen verprügeln erschießen tuer frapper égorger matar golpear apuñalar".split())
-THREAT_WEIGHT = 1.0
+#: The closed classes of the grammar, in four languages; a caller may give others.
+GRAMMAR_WORDS = {
+    "person": "you your yours yourself yourselves u him her them himself herself themselves du dir dein deine ihr ihm ihnen tu toi ton tes votre lui eux tú usted ustedes vosotros",
+    "object": "dich euch ihn te vous os",
+    "negation": "not no never none nobody without isn aren wasn don doesn nicht kein keine keinen nie niemals ohne ne pas jamais sans aucun nunca ni sin jamás",
+    "report": "said says say saying told tells wrote writes claimed claims called quoted reported sagte sagt schrieb behauptete nannte dit disait écrit affirme déclare dijo dice escribió afirma declaró",
+    "verb": "kill hurt destroy beat punch stab shoot burn töten umbringen verprügeln erschießen tuer frapper égorger matar golpear apuñalar",
+}
 
 
 @dataclass(frozen=True)
@@ -66,29 +81,50 @@ class Transducer:
                     todo.append((a2, b2))
         return Transducer(start, step, self.symbols)
 
-    def run(self, symbols: list[str]) -> list[float]:
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
+        """What is written for each symbol, and its factor."""
         state, out = self.start, []
         for x in symbols:
-            state, _, w = self.step[state, x]
-            out.append(w)
+            state, y, w = self.step[state, x]
+            out.append((y, w))
         return out
 
 
-SYMBOLS = ("word", "insult", "threat", "target", "negation", "report", "quote")
-HITS = ("insult", "threat")
+SYMBOLS = ("word", "insult", "addressed", "threat", "person", "object", "negation", "report", "verb", "quote")
+HITS = ("insult", "addressed", "threat")
+PEOPLE = ("person", "object")
 
 
-def window(trigger: str, reach: int, factor: float) -> Transducer:
-    """A hit within ``reach`` tokens after ``trigger`` gets ``factor``."""
+def address(reach: int = TARGET_REACH) -> Transducer:
+    """From the end of a clause to its start: an insult that a person follows is written ``addressed``."""
     step = {}
     for left in range(reach + 1):
         for x in SYMBOLS:
-            step[left, x] = (reach if x == trigger else max(0, left - 1), x, factor if x in HITS and left else 1.0)
+            step[left, x] = (reach if x in PEOPLE else max(0, left - 1), "addressed" if x == "insult" and left else x, 1.0)
     return Transducer(0, step, SYMBOLS)
 
 
-def reported(factor: float) -> Transducer:
-    """A hit after a verb of saying, or between quotation marks, gets ``factor``."""
+def threat(reach: int = THREAT_REACH) -> Transducer:
+    """A verb and the person after it, or the object pronoun before it: the later of the two is written ``threat``. A verb makes one at most."""
+    step = {}
+    for verb in range(reach + 1):
+        for before in range(reach + 1):
+            for x in SYMBOLS:
+                y = "threat" if (x in PEOPLE and verb) or (x == "verb" and before) else x
+                after = 0 if y == "threat" else reach if x == "verb" else max(0, verb - 1)
+                step[(verb, before), x] = ((after, 0 if y == "threat" else reach if x == "object" else max(0, before - 1)), y, 1.0)
+    return Transducer((0, 0), step, SYMBOLS)
+
+
+def negation(reach: int = NEGATION_REACH, factor: float = NEGATED) -> Transducer:
+    step = {}
+    for left in range(reach + 1):
+        for x in SYMBOLS:
+            step[left, x] = (reach if x == "negation" else max(0, left - 1), x, factor if x in HITS and left else 1.0)
+    return Transducer(0, step, SYMBOLS)
+
+
+def report(factor: float = REPORTED) -> Transducer:
     step = {}
     for said in (0, 1):
         for quoted in (0, 1):
@@ -97,54 +133,49 @@ def reported(factor: float) -> Transducer:
     return Transducer((0, 0), step, SYMBOLS)
 
 
-GRAMMAR = window("negation", 3, 0.25).then(reported(0.5)).then(window("target", 4, 1.5))
-_TOKEN = re.compile(r"[^\W_]+|[.!?;:\n]|[\"“”«»]")
-_FIXED = {w: name for name, words in (("target", TARGET), ("negation", NEGATION), ("report", REPORT), ("threat", THREAT)) for w in words}
+def aimed(reach: int = TARGET_REACH, factor: float = TARGET_FACTOR) -> Transducer:
+    step = {}
+    for left in range(reach + 1):
+        for x in SYMBOLS:
+            step[left, x] = (reach if x in PEOPLE else max(0, left - 1), x, factor if x == "addressed" or (x == "insult" and left) else 1.0)
+    return Transducer(0, step, SYMBOLS)
 
 
-def clauses(text: str, weight) -> list[tuple[int, int, float]]:
-    """(start, end, score) of each clause that holds an insult or a threat. weight: a word's weight, or 0."""
-    out, run, start = [], [], 0
+ADDRESS = address()
+GRAMMAR = aimed().then(threat()).then(negation()).then(report())
+ENDS, QUOTES = ".!?;:\n", "\"“”«»"
 
-    def close(end: int) -> None:
-        if any(s in HITS for s, _ in run):
-            factors = GRAMMAR.run([s for s, _ in run])
-            aimed = any(s == "target" for s, _ in run)
-            total = sum(f * w for f, (s, w) in zip(factors, run, strict=True) if s == "insult" or s == "threat" and aimed)
-            if total > 0:
-                out.append((start, end, total))
-        run.clear()
-
-    for m in _TOKEN.finditer(text):
-        t = m.group()
-        if t in ".!?;:\n":
-            close(m.start())
-            start = m.end()
-        elif t in "\"“”«»":
-            run.append(("quote", 0.0))
-        else:
-            low = t.lower()
-            w = weight(low)
-            run.append(("insult", w) if w else (s := _FIXED.get(low, "word"), THREAT_WEIGHT if s == "threat" else 0.0))
-    close(len(text))
-    return out
+
+def clause_score(symbols: list[str], weights: list[float]) -> float:
+    """Of one clause: the composed machine over it, from its end and then from its start."""
+    marked = [y for y, _ in ADDRESS.run(symbols[::-1])][::-1]
+    return sum(f * (THREAT_WEIGHT if y == "threat" else w) for (y, f), w in zip(GRAMMAR.run(marked), weights, strict=True) if y in HITS)
 
 
 @dataclass
 class Model:
-    words: dict[str, float]
-    slope: float = 0.0
-    bias: float = -20.0
+    """Weights of words and of stems (those end in ``*``), and the curve; by the one given here a score of 1 has probability 0.5."""
 
-    def weight(self, word: str) -> float:
-        w = self.words.get(word)
-        for n in STEMS:
-            if w is None and len(word) >= n:
-                w = self.words.get(word[:n] + "*")
-        return w or 0.0
+    words: dict[str, float]
+    slope: float = 4 / math.log(2)
+    bias: float = -4.0
+    grammar: dict[str, str] = field(default_factory=lambda: GRAMMAR_WORDS)
+
+    def read(self, word: str) -> tuple[str, float]:
+        """The insult transducer: a word's characters one by one, to its symbol and weight. A whole word goes before a stem, a short stem
+        before a longer one."""
+        found, prefix = None, ""
+        for c in word.lower():
+            prefix += c
+            if found is None and len(prefix) in STEMS:
+                found = self.words.get(prefix + "*")
+        weight = self.words.get(prefix, found)
+        if weight is not None:
+            return "insult", weight
+        return next((s for s, words in self.grammar.items() if prefix in words.split()), "word"), 0.0
 
     def probability(self, score: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * np.minimum(score, 3.0), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.bias + self.slope * np.log1p(score), -30, 30)))
 
 
 def _lexemes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         words[cand["name"][i]] = float(2 * p - 1)
     model = Model(words)
     scored = score(sample.select("text", "y"), model, key="y", raw=True).groupBy("y", F.round("raw", 2).alias("raw")).agg(F.count("*").alias("n")).toPandas()
-    model.bias, model.slope = _logistic(np.minimum(scored["raw"].to_numpy(), 3.0), scored["y"].to_numpy(), scored["n"].to_numpy())
+    model.bias, model.slope = _logistic(np.log1p(scored["raw"].to_numpy()), scored["y"].to_numpy(), scored["n"].to_numpy())
     return model
 
 
@@ -251,7 +282,7 @@ def _cover(hold, cand, least: int) -> list[int]:
     pos, neg = cand["pos"].to_numpy(), cand["neg"].to_numpy()
     pure = (pos + 0.5) / (pos + neg + 1)
     left, out = np.ones(len(rows), bool), []
-    while len(out) < MAX_LEXEMES:
+    while True:  # each explains ``least`` rows that none before it does, so there are few
         new = np.bincount(lex[left], minlength=len(cand))
         gain = np.where(new >= least, new * pure, 0)
         if not gain.any():
@@ -262,7 +293,7 @@ def _cover(hold, cand, least: int) -> list[int]:
         left &= ~np.isin(rows, rows[lex == best])
     if out:
         sure = (pos >= max(least, 0.25 * np.median(pos[out]))) & (100 * neg <= pos) & (rank > 100)
-        out += [int(i) for i in np.flatnonzero(sure) if i not in set(out)][: MAX_LEXEMES - len(out)]
+        out += [int(i) for i in np.flatnonzero(sure) if i not in set(out)]
     return out
 
 
@@ -279,15 +310,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 
 
 class Scorer:
-    """Clause scores of texts: a hash filter finds texts with a listed word or stem, and only these are parsed."""
+    """Clause scores of texts. Every word's symbol comes from hashes of the word and its beginnings, for all texts of a slice at once; only
+    clauses with an insult, or a verb that may threaten, are run through the machine."""
 
     def __init__(self, model: Model) -> None:
-        words = sorted(model.words) + sorted(THREAT)
         self.model = model
-        self.known = np.unique(np.array([self._hash(w) for w in words], np.uint64))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self._low(self.known)] = True
-        self.lengths = sorted({len(w) - 1 for w in words if w.endswith("*")})
+        entries: dict[int, dict[int, tuple[int, float]]] = {n: {} for n in (0, *STEMS)}
+        for symbol, words in model.grammar.items():
+            for w in reversed(words.split()):
+                entries[0].setdefault(int(self._hash(w)), (SYMBOLS.index(symbol), 0.0))
+        for w, weight in model.words.items():
+            entries[len(w) - 1 if w.endswith("*") else 0][int(self._hash(w))] = (SYMBOLS.index("insult"), weight)
+        self.tables = {}
+        for n, table_ in entries.items():
+            known = np.array(sorted(table_), np.uint64)
+            if len(known):
+                bits = np.zeros(1 << 20, bool)
+                bits[self._low(known)] = True
+                self.tables[n] = (bits, known, np.array([table_[int(h)][0] for h in known]), np.array([table_[int(h)][1] for h in known]))
 
     @staticmethod
     def _hash(w: str) -> np.uint64:
@@ -298,24 +338,60 @@ class Scorer:
     def _low(h: np.ndarray) -> np.ndarray:
         return (h & np.uint64((1 << 20) - 1)).astype(np.int64)
 
-    def __call__(self, text: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """The sum and the matched clauses of every row."""
-        cps, off = K.codepoints(text)
-        low = K.lower_map()[cps]
-        s, e, per = K.runs(K.word_mask()[cps], off)
-        hit = np.zeros(len(s), bool)
-        for n in (0, *self.lengths):
+    def symbols(self, low: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol (its place in SYMBOLS) and weight of each word, as Model.read gives them."""
+        symbol, weight = np.zeros(len(s), np.int64), np.zeros(len(s))
+        insult = SYMBOLS.index("insult")
+        for n in (*STEMS[::-1], 0):
+            if n not in self.tables:
+                continue
+            bits, known, which, w = self.tables[n]
             at = np.flatnonzero(e - s >= max(n, 1))
             h = K.span_hashes(low, s[at], s[at] + n if n else e[at], seed=n)
-            maybe = self.bits[self._low(h)]
-            hit[at[maybe][_isin(h[maybe], self.known)]] = True
+            at, h = at[bits[self._low(h)]], h[bits[self._low(h)]]
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            ok = (known[place] == h) & ((which[place] == insult) | (symbol[at] != insult))
+            symbol[at[ok]], weight[at[ok]] = which[place[ok]], w[place[ok]]
+        return symbol, weight
+
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+        """The sum of every row, and (start, end, score) of its clauses that score."""
+        cps, off = K.codepoints(text)
         rows = len(off) - 1
         raw, found = np.zeros(rows), [[] for _ in range(rows)]
-        for r in np.flatnonzero(K.row_sums(hit, per)):
-            found[r] = clauses(cps[off[r] : off[r + 1]].tobytes().decode("utf-32-le", "replace"), self.model.weight)
-            raw[r] = sum(c[2] for c in found[r])
+        if not len(cps):
+            return raw, found
+        s, e, _ = K.runs(K.word_mask()[cps], off)
+        symbol, weight = self.symbols(K.lower_map()[cps], s, e)
+        ends = np.zeros(len(cps) + 1, bool)  # a clause starts behind each end, and with each row
+        ends[1:] = np.isin(cps, np.frombuffer(ENDS.encode("utf-32-le"), np.uint32))
+        ends[off] = True
+        start = np.flatnonzero(ends)
+        clause = np.cumsum(ends[:-1]) - 1
+        live = np.isin(symbol, (SYMBOLS.index("insult"), SYMBOLS.index("verb")))
+        asked = np.zeros(len(start) + 1, bool)
+        asked[clause[s[live]]] = True
+        quote = np.flatnonzero(np.isin(cps, np.frombuffer(QUOTES.encode("utf-32-le"), np.uint32)))
+        own, quote = np.flatnonzero(asked[clause[s]]), quote[asked[clause[quote]]]
+        at = np.concatenate([s[own], quote])
+        order = np.argsort(at, kind="stable")
+        kinds = np.concatenate([symbol[own], np.full(len(quote), SYMBOLS.index("quote"))])[order]
+        weights = np.concatenate([weight[own], np.zeros(len(quote))])[order]
+        of = clause[at[order]]
+        bounds = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+        for i, j in pairwise(bounds.tolist()):
+            total = clause_score([SYMBOLS[k] for k in kinds[i:j]], weights[i:j].tolist())
+            if total > 0:
+                a = int(start[of[i]])
+                r = int(np.searchsorted(off, a, "right")) - 1
+                b = int(start[of[i] + 1])
+                b -= int(b < off[r + 1] or cps[b - 1] in self._ends)  # without the mark that ends it
+                found[r].append((a - int(off[r]), b - int(off[r]), float(total)))
+                raw[r] += total
         return raw, found
 
+    _ends = frozenset(map(ord, ENDS))
+
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", raw: bool = False) -> DataFrame:
     """One row per document: key, score (probability), n_clauses, spans of the matched clauses; with raw, also the plain sum.
