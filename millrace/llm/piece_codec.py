@@ -8,8 +8,12 @@ levelled (towards 0).
 
 The vocabulary is a given SentencePiece model; a piece's probability follows the rank it has there (1 / (rank + 2)). A
 space is the piece mark; a mark that stands in the text itself, and any character that no piece holds, is spelled in byte pieces, so
-decoding returns every text exactly. No piece spans a space that follows another character, so the lattice falls
-apart into segments; equal segments of a slice are filtered once and sampled for each occurrence.
+decoding returns every text exactly.
+
+The lattice falls apart at every place that no piece of the vocabulary spans, so filtering works on the parts between such places, which are short
+in any script, with or without spaces. Where no piece holds a space behind another character (load checks it), texts are first
+cut at spaces, and equal words of a slice are matched and filtered once and sampled for each occurrence. Parts are filtered side by
+side, character by character; only a text in which pieces overlap without end, such as one letter repeated, makes a long part.
 
 Defined results: a null text has null ids and decodes to null; an empty text has no ids; repeated rows are encoded alike; a null key
 seeds as 'null'; ids that no piece has are refused by decode; other columns pass through, but for one
@@ -31,9 +35,7 @@ from millrace.llm._spark import map_chunks, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 FALLBACK = 1  # marks a character without a piece, in the lattice only
-LONG = 192
 FALLBACK_LOG = -22.0
-_BITS = 19
 
 
 @dataclass
@@ -48,13 +50,17 @@ class Vocabulary:
     byte0: int
     pool: np.ndarray
     at: np.ndarray
-    ids: dict[str, int]
+    words: bool  # no piece holds a space or a line break behind another character, but for runs of spaces
 
 
 def load(path: str = MODEL) -> Vocabulary:
-    """Read a model on the driver."""
+    """Read a model on the driver; a path without a file is refused."""
+    import os
+
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}; name one with load(path)")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     n = m.get_piece_size()
     byte0 = m.piece_to_id("<0x00>")
@@ -73,28 +79,29 @@ def load(path: str = MODEL) -> Vocabulary:
                 leaf.append(0)
             at = nodes[at, ord(c)]
         leaf[at] = i
-    key, child = np.full(1 << _BITS, -1, np.int64), np.zeros(1 << _BITS, np.int32)
-    if len(nodes) * 2 > 1 << _BITS:
-        raise ValueError("the model has too many pieces for the table")
+    bits = max(4, (2 * len(nodes)).bit_length())
+    key, child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
     for (a, c), b in nodes.items():
         k = a << 21 | c
-        h = ((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - _BITS)
+        h = ((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - bits)
         while key[h] >= 0:
-            h = (h + 1) & ((1 << _BITS) - 1)
+            h = (h + 1) & ((1 << bits) - 1)
         key[h], child[h] = k, b
     spelled = [bytes([i - byte0]) if m.is_byte(i) else text.get(i, "").encode() for i in range(n)]
-    return Vocabulary(key, child, np.array(leaf, np.int32), logp, max(map(len, text.values())), byte0, np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])]), {t: i for i, t in text.items()})
+    words = not any(" " in t.lstrip(" ") or "\n" in t[:-1] or "\n" in t[1:] for t in text.values())
+    return Vocabulary(key, child, np.array(leaf, np.int32), logp, max(map(len, text.values())), byte0, np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])]), words)
 
 
 def _step(v: Vocabulary, node: np.ndarray, cp: np.ndarray) -> np.ndarray:
     """The child of each node by a code point, or -1."""
     k = node.astype(np.int64) << 21 | cp
-    h = ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+    bits = len(v.key).bit_length() - 1
+    h = ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
     got = v.key[h]
     out = np.where(got == k, v.child[h], -1)
     again = np.flatnonzero((got != k) & (got >= 0))
     while len(again):
-        h[again] = (h[again] + 1) & ((1 << _BITS) - 1)
+        h[again] = (h[again] + 1) & (len(v.key) - 1)
         got = v.key[h[again]]
         same = got == k[again]
         out[again[same]] = v.child[h[again[same]]]
@@ -102,65 +109,69 @@ def _step(v: Vocabulary, node: np.ndarray, cp: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(cps: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the parts no piece spans: spaces and the characters after them; a line break is its own part."""
+def segments(cps: np.ndarray, off: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of rows, or of the words in them: spaces and the characters after them; a line break is its own part."""
     cut = np.zeros(len(cps) + 1, bool)
-    space, line = cps == 32, cps == 10
-    cut[:-1] |= line
-    cut[1:] |= line
-    cut[1:-1] |= space[1:] & ~space[:-1]
+    if words:
+        space, line = cps == 32, cps == 10
+        cut[:-1] |= line
+        cut[1:] |= line
+        cut[1:-1] |= space[1:] & ~space[:-1]
     cut[off] = True
     cut[-1] = True
     at = np.flatnonzero(cut)
     return at[:-1], at[1:]
 
 
-@dataclass
-class Lattice:
-    """Distinct segments by falling length, position by position: node base[k] + rank is after k + 1 characters of segment ``rank``.
-    piece and upto: per node and length, the piece that ends there and the posterior probability of that length or a shorter one."""
-
-    base: np.ndarray
-    piece: np.ndarray
-    upto: np.ndarray
-
-
-def filter_forward(v: Vocabulary, cps: np.ndarray, s: np.ndarray, length: np.ndarray, alpha: float) -> Lattice:
-    """Sum over all paths, for segments sorted by falling length."""
-    longest = int(length[0]) if len(length) else 0
-    active = np.searchsorted(-length, -np.arange(1, longest + 1), "right")  # segments with more than k characters
-    base = np.concatenate([[0], np.cumsum(active)])
-    chars = np.concatenate([cps[s[:n] + k] for k, n in enumerate(active)]) if longest else np.zeros(0, np.uint32)
-    piece = np.zeros((len(chars), v.reach), np.uint16)
-    for k in range(longest):
-        alive, node = np.arange(active[k]), np.zeros(active[k], np.int32)
-        for n in range(min(v.reach, longest - k)):
-            m = np.searchsorted(alive, active[k + n])
-            alive, node = alive[:m], node[:m]
-            node = _step(v, node, chars[base[k + n] + alive])
-            ok = node >= 0
-            alive, node = alive[ok], node[ok]
-            if not len(alive):
-                break
-            piece[base[k + n] + alive, n] = v.leaf[node]
+def match(v: Vocabulary, chars: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of parts laid end to end, the piece of each length that ends at each character (0: none; FALLBACK: a single character without one), and
+    the starts of the parts that remain when they are cut wherever no piece spans."""
+    piece = np.zeros((len(chars), v.reach), np.int32)
+    spanned = np.zeros(len(chars) + 1, np.int32)
+    room = np.repeat(off[1:], np.diff(off)) - np.arange(len(chars))
+    alive, node = np.arange(len(chars)), np.zeros(len(chars), np.int32)
+    for n in range(v.reach):
+        ok = room[alive] > n
+        alive, node = alive[ok], node[ok]
+        node = _step(v, node, chars[alive + n])
+        ok = node >= 0
+        alive, node = alive[ok], node[ok]
+        if not len(alive):
+            break
+        found = v.leaf[node]
+        piece[alive + n, n] = found
+        if n:
+            start = alive[found > 0]
+            spanned += np.bincount(start + 1, minlength=len(spanned))
+            spanned -= np.bincount(start + n + 1, minlength=len(spanned))
     piece[piece[:, 0] == 0, 0] = FALLBACK
+    cut = np.cumsum(spanned)[:-1] == 0
+    cut[off[:-1]] = True
+    return piece, np.flatnonzero(cut)
+
+
+def filter_forward(v: Vocabulary, piece: np.ndarray, start: np.ndarray, size: np.ndarray, alpha: float) -> np.ndarray:
+    """Per character and length, the posterior probability that the piece ending there has that length or a shorter one: the weights of all
+    paths through each part, summed from its start, for all parts side by side."""
+    order = np.argsort(-size, kind="stable")
+    at, longest = start[order], int(size.max()) if len(size) else 0
+    active = np.searchsorted(-size[order], -np.arange(1, longest + 1), "right")  # parts with more than k characters
     weight = (v.logp * alpha).astype(np.float32)
     weight[0] = -np.inf
-    total = np.zeros(len(chars), np.float32)
+    total = np.zeros(len(piece))
     upto = np.ones(piece.shape, np.float32)
     for k in range(longest):
-        here = slice(base[k], base[k + 1])
+        here = at[: active[k]] + k
         reach = min(v.reach, k + 1)
-        score = weight[piece[here, :reach]]
-        for n in range(1, reach + 1):
-            if n <= k:
-                score[:, n - 1] += total[base[k - n] : base[k - n] + active[k]]
+        score = weight[piece[here, :reach]].astype(np.float64)
+        for n in range(1, min(reach, k) + 1):
+            score[:, n - 1] += total[here - n]
         top = score.max(axis=1)
-        p = np.exp(score - top[:, None])
+        p = np.exp((score - top[:, None]).astype(np.float32))
         np.cumsum(p, axis=1, out=p)
         total[here] = top + np.log(p[:, -1])
         upto[here, :reach] = p / p[:, -1:]
-    return Lattice(base, piece, upto)
+    return upto
 
 
 def _draw(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -168,73 +179,44 @@ def _draw(seed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (K.mix(seed + at.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
 
 
-def _sample_long(v: Vocabulary, cps: np.ndarray, seed: np.uint64, at: int, alpha: float) -> list[int]:
-    """The same for one long segment, position by position. at: the place of its first character in the row."""
-    text = cps.tobytes().decode("utf-32-le", "surrogatepass")
-    total = np.zeros(len(text) + 1)
-    back: list[tuple[np.ndarray, list[int]]] = [(np.zeros(0), [])]
-    for k in range(1, len(text) + 1):
-        found = [v.ids.get(text[k - n : k], 0) for n in range(1, min(v.reach, k) + 1)]
-        found[0] = found[0] or FALLBACK
-        score = np.array([alpha * v.logp[i] + total[k - n] if i else -np.inf for n, i in enumerate(found, 1)])
-        top = score.max()
-        p = np.cumsum(np.exp(score - top))
-        total[k] = top + np.log(p[-1])
-        back.append((p / p[-1], found))
-    out, k = [], len(text)
-    draws = _draw(np.full(len(text) + 1, seed, np.uint64), at + np.arange(len(text) + 1))
-    while k:
-        upto, found = back[k]
-        n = min(int(np.searchsorted(upto, draws[k], "right")), len(found) - 1) + 1
-        out.append(int(found[n - 1]) if found[n - 1] != FALLBACK else -int(cps[k - 1]) - 1)
-        k -= n
-    return out[::-1]
-
-
 def encode_array(v: Vocabulary, text: pa.Array, seed: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows and their offset per row."""
     plain, off0 = K.codepoints(text)
     full = np.diff(off0) > 0
     cps = np.insert(plain, off0[:-1][full], 32)
     off = off0 + np.concatenate([[0], np.cumsum(full)])
-    rows = len(off) - 1
-    s, e = segments(cps, off) if len(cps) else (np.zeros(0, np.int64),) * 2
+    s, e = segments(cps, off, v.words) if len(cps) else (np.zeros(0, np.int64),) * 2
     row = np.searchsorted(off, s, "right") - 1
-    size = e - s
     _, one, of = np.unique(K.span_hashes(cps, s, e), return_index=True, return_inverse=True)
-    long = size[one] > LONG
-    order = np.argsort(-np.where(long, 0, size[one]), kind="stable")
-    order = order[: (~long).sum()]
-    rank = np.full(len(one), -1)
-    rank[order] = np.arange(len(order))
-    lat = filter_forward(v, cps, s[one[order]], size[one[order]], alpha)
-    occ = np.flatnonzero(rank[of] >= 0)
-    r, k = rank[of[occ]], size[occ].copy()
-    place = s[occ] - off[row[occ]]
-    got, count = [], np.zeros(len(s), np.int64)
+    size = (e - s)[one]
+    laid = np.concatenate([[0], np.cumsum(size)])
+    chars = cps[np.repeat(s[one] - laid[:-1], size) + np.arange(laid[-1])]
+    piece, start = match(v, chars, laid)
+    size = np.diff(np.append(start, len(chars)))
+    upto = filter_forward(v, piece, start, size, alpha)
+    first = np.searchsorted(start, laid)  # the parts of each distinct word, and then of each of its occurrences
+    each = np.diff(first)[of]
+    word = np.repeat(np.arange(len(s)), each)
+    part = np.repeat(first[:-1][of] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    key, begin, place = seed[row[word]], start[part], (s - off[row])[word] + start[part] - laid[:-1][of[word]]
+    got, count, k = [], np.zeros(len(part), np.int64), size[part]
+    occ = np.arange(len(part))
     while len(occ):
-        node = lat.base[k - 1] + r
-        u = _draw(seed[row[occ]], place + k)
-        n = np.minimum((lat.upto[node] <= u[:, None]).sum(axis=1), v.reach - 1)
-        n = np.minimum(n, k - 1)
-        ids = lat.piece[node, n].astype(np.int64)
+        here = begin[occ] + k[occ] - 1
+        u = _draw(key[occ], (place + k)[occ])
+        n = np.minimum((upto[here] <= u[:, None]).sum(axis=1), np.minimum(v.reach, k[occ]) - 1)
+        ids = piece[here, n].astype(np.int64)
         bare = ids == FALLBACK
-        ids[bare] = -cps[s[occ[bare]] + k[bare] - 1].astype(np.int64) - 1
+        ids[bare] = -chars[here[bare]].astype(np.int64) - 1
         got.append((occ, ids))
         count[occ] += 1
-        k = k - n - 1
-        more = k > 0
-        occ, r, k, place = occ[more], r[more], k[more], place[more]
-    extra = {int(i): _sample_long(v, cps[s[i] : e[i]], seed[row[i]], int(s[i] - off[row[i]]), alpha) for i in np.flatnonzero(long[of])}
-    for i, ids in extra.items():
-        count[i] = len(ids)
+        k[occ] -= n + 1
+        occ = occ[k[occ] > 0]
     end = np.cumsum(count)
     out = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
     for j, (o, ids) in enumerate(got):
         out[end[o] - 1 - j] = ids
-    for i, ids in extra.items():
-        out[end[i] - count[i] : end[i]] = ids
-    per = np.concatenate([[0], end])[np.searchsorted(s, off)]
+    per = np.concatenate([[0], end])[np.searchsorted(np.searchsorted(off, s, "right")[word] - 1, np.arange(len(off)))]
     return _spell(v, out, per)
 
 
@@ -259,6 +241,8 @@ def decode_array(v: Vocabulary, ids: np.ndarray, per: np.ndarray) -> pa.Array:
     """Texts of rows of ids; the first space of a row, which encoding put there, is taken off."""
     if len(ids) and (ids.min() < 0 or ids.max() >= len(v.at) - 1):
         raise ValueError("an id that the vocabulary doesn't have")
+    if not len(ids):
+        return pa.array([""] * (len(per) - 1), pa.string())
     n = v.at[ids + 1] - v.at[ids]
     end = np.concatenate([[0], np.cumsum(n)])
     data = v.pool[np.repeat(v.at[ids] - end[:-1], n) + np.arange(end[-1])]

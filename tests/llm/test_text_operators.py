@@ -1,6 +1,8 @@
+import dataclasses
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from hashlib import sha256
 from itertools import pairwise
@@ -181,23 +183,80 @@ def test_quality_counts_by_brute_force():
 # Toxicity --------------------------------------------------------------------------------------------------------------
 
 
+def said(text, **words):
+    raw, found = toxicity.Scorer(toxicity.Model(words or {"idiot": 1.0}))(pa.array([text]))
+    return raw[0], found[0]
+
+
 def test_grammar_composition():
-    weigh = lambda w: 1.0 if w == "idiot" else 0.0
-    total = lambda t: sum(c[2] for c in toxicity.clauses(t, weigh))
-    plain, aimed, denied, told = (total(t) for t in ("what an idiot", "you idiot", "he is not an idiot", 'someone wrote "idiot" there'))
-    assert aimed > plain == 1.0 > told > 0 and denied < plain and total("a fine day") == 0
-    assert total("not here. idiot") == 1.0  # a clause ends what came before
-    assert total("i will kill time") == 0 < total("i will kill you")  # a threat counts only where it can be aimed
-    assert len(toxicity.clauses("idiot. fine. idiot", weigh)) == 2
+    assert said("what an idiot")[0] == 1 and said("you idiot")[0] == 1.5 == said("an idiot you are")[0]
+    assert said("not an idiot")[0] == 0.25 and said("she said he is an idiot")[0] == 0.5 and said("a \"great idiot\" here")[0] == 0.5
+    assert said("he said you are not an idiot")[0] == 1.5 * 0.25 * 0.5
+    assert said("not so. You idiot!")[1] == [(7, 17, 1.5)] and said("idiot")[1] == [(0, 5, 1.0)] and said("a\nidiot")[1] == [(2, 7, 1.0)]
+
+
+def test_threats_have_an_object():
+    assert said("I will kill you")[0] == 1 == said("ich werde dich töten")[0] == said("je vais te tuer")[0]
+    assert said("I won't, not ever, kill you")[0] == 0.25 and said("he said: kill them all")[0] == 1 and said("he said he would hurt her")[0] == 0.5
+    for harmless in ("he beat the egg", "you burn calories", "kill the lights. You go", "er es ti are he she", "they shoot films for many of the years you like"):
+        assert said(harmless)[0] == 0, harmless
+
+
+def test_words_with_marks_are_one_word():
+    for word in ("crétin", "cre\u0301tin"):
+        assert said(f"Quel {word}!", **{word: 1.0})[0] == 1
+        assert said(f"Quels {word}s!", **{word[:6] + "*": 1.0})[0] == 1
+
+
+def test_composed_machine_by_brute_force():
+    """Every clause of random symbols against the rules as they are told, looked up position by position."""
+    t, rng = toxicity, random.Random(6)
+    each = [t.aimed(), t.threat(), t.negation(), t.report()]
+    for _ in range(3000):
+        s = [rng.choice(t.SYMBOLS[:2] + t.SYMBOLS[4:]) for _ in range(rng.randrange(14))]
+        w = [float(x == "insult") for x in s]
+        read, chained = s[::-1], [1.0] * len(s)
+        read = [y for y, _ in t.ADDRESS.run(read)][::-1]
+        for machine in each:
+            out = machine.run(read)
+            read, chained = [y for y, _ in out], [c * f for c, (_, f) in zip(chained, out, strict=True)]
+        total, verb, before = 0.0, None, None
+        for i, x in enumerate(s):
+            hit = 0.0
+            if x == "insult":
+                near = range(max(0, i - t.TARGET_REACH), min(len(s), i + t.TARGET_REACH + 1))
+                hit = t.TARGET_FACTOR if any(s[j] in t.PEOPLE for j in near) else 1.0
+            elif (x in t.PEOPLE and verb is not None and i - verb <= t.THREAT_REACH) or (x == "verb" and before is not None and i - before <= t.THREAT_REACH):
+                hit, verb, before = t.THREAT_WEIGHT, None, None
+            elif x == "verb":
+                verb = i
+            elif x == "object":
+                before = i
+            if "negation" in s[max(0, i - t.NEGATION_REACH) : i]:
+                hit *= t.NEGATED
+            if "report" in s[:i] or s[:i].count("quote") % 2:
+                hit *= t.REPORTED
+            total += hit
+        assert t.clause_score(s, w) == pytest.approx(total)
+        assert [f for _, f in t.GRAMMAR.run([y for y, _ in t.ADDRESS.run(s[::-1])][::-1])] == pytest.approx(chained)
+
+
+def test_symbols_by_characters():
+    rng = random.Random(3)
+    model = toxicity.Model({"abab": 0.5, "abba*": 0.6, "abbab*": 0.7, "you": 0.2, "babab*": 0.9})
+    words = ["".join(rng.choice("abAB") for _ in range(rng.randrange(1, 9))) for _ in range(500)] + "you YOUR kill idiot dich".split()
+    cps, off = K.codepoints(pa.array([" ".join(words)]))
+    s, e, _ = K.runs(K.word_mask()[cps], off)
+    symbol, weight = toxicity.Scorer(model).symbols(K.lower_map()[cps], s, e)
+    assert [(toxicity.SYMBOLS[i], w) for i, w in zip(symbol, weight, strict=True)] == [model.read(w) for w in words]
 
 
-def test_composed_machine_equals_a_chain():
-    rng = random.Random(6)
-    a, b, c = toxicity.window("negation", 3, 0.25), toxicity.reported(0.5), toxicity.window("target", 4, 1.5)
-    for _ in range(200):
-        s = [rng.choice(toxicity.SYMBOLS) for _ in range(12)]
-        each = [x * y * z for x, y, z in zip(a.run(s), b.run(s), c.run(s), strict=True)]
-        assert toxicity.GRAMMAR.run(s) == each
+def test_threats_count_without_labels(spark):
+    model = toxicity.Model({})
+    p = model.probability(np.array([0.0, 1.0, 2.0, 50.0, 60.0]))
+    assert p[0] < 0.05 and p[1] == pytest.approx(0.5) and (np.diff(p) > 0).all()
+    docs = spark.createDataFrame([(1, "I will kill you"), (2, "good day")], "doc_id long, text string")
+    assert [r["doc_id"] for r in toxicity.keep_clean(docs, toxicity.fit(docs, spark.createDataFrame([(2, 0)], "doc_id long, toxic int"))).collect()] == [2]
 
 
 def test_toxicity_learns_and_generalises(spark):
@@ -277,31 +336,67 @@ def test_pieces_do_not_depend_on_batches(spark, vocabulary):
     assert a == b != c
 
 
-def test_sampling_has_the_lattice_distribution(vocabulary, monkeypatch):
+def pieces_of(v):
+    return {v.pool[v.at[i] : v.at[i + 1]].tobytes().decode(): i for i in np.flatnonzero(np.isfinite(v.logp)) if i != piece_codec.FALLBACK}
+
+
+def test_sampling_has_the_lattice_distribution(vocabulary):
     text, n = "walking", 40_000
-    v = vocabulary
-    seeds = K.mix(np.arange(n, dtype=np.uint64))
-    for long in (False, True):
-        size = n if not long else 6_000
-        if long:
-            monkeypatch.setattr(piece_codec, "LONG", 2)
-        ids, per = piece_codec.encode_array(v, pa.array([text] * size), seeds[:size], 1.0)
-        seen = Counter(tuple(ids[a:b]) for a, b in pairwise(per))
-
-        def paths(t):
-            if not t:
-                yield (), 1.0
-            for k in range(1, len(t) + 1):
-                if t[:k] in v.ids:
-                    for rest, w in paths(t[k:]):
-                        yield (v.ids[t[:k]], *rest), w * math.exp(v.logp[v.ids[t[:k]]])
-
-        every = dict(paths(" " + text))
-        total = sum(every.values())
-        assert set(seen) <= set(every)
-        for p, w in sorted(every.items(), key=lambda x: -x[1])[:8]:
-            want = w / total
-            assert abs(seen[p] / size - want) < 5 * math.sqrt(want * (1 - want) / size) + 1e-4
+    v, ids_of = vocabulary, pieces_of(vocabulary)
+    ids, per = piece_codec.encode_array(v, pa.array([text] * n), K.mix(np.arange(n, dtype=np.uint64)), 1.0)
+    seen = Counter(tuple(ids[a:b]) for a, b in pairwise(per))
+
+    def paths(t):
+        if not t:
+            yield (), 1.0
+        for k in range(1, len(t) + 1):
+            if t[:k] in ids_of:
+                for rest, w in paths(t[k:]):
+                    yield (ids_of[t[:k]], *rest), w * math.exp(v.logp[ids_of[t[:k]]])
+
+    every = dict(paths(" " + text))
+    total = sum(every.values())
+    assert set(seen) <= set(every)
+    for p, w in sorted(every.items(), key=lambda x: -x[1])[:8]:
+        want = w / total
+        assert abs(seen[p] / n - want) < 5 * math.sqrt(want * (1 - want) / n) + 1e-4
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_pieces_by_sampling_a_text_as_a_whole(vocabulary, words):
+    """The same draws over the uncut lattice of each text give the same pieces, also where texts have no spaces."""
+    v, ids_of = dataclasses.replace(vocabulary, words=words), pieces_of(vocabulary)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["the", "walking", " ", "  ", "\n", "é", "漢", "字", "aaaa", "in", "▁", "."]) for _ in range(rng.randrange(40))) for _ in range(80)]
+    seeds = K.mix(np.arange(len(texts), dtype=np.uint64))
+    ids, per = piece_codec.encode_array(v, pa.array(texts), seeds, 0.7)
+    for i, t in enumerate(texts):
+        t = " " + t if t else t
+        total, back = [0.0], [None]
+        for k in range(1, len(t) + 1):
+            found = [(n, ids_of.get(t[k - n : k])) for n in range(1, min(v.reach, k) + 1)]
+            found[0] = (1, found[0][1] or piece_codec.FALLBACK)
+            score = np.array([0.7 * v.logp[p] + total[k - n] if p else -np.inf for n, p in found])
+            p = np.exp(score - score.max())
+            total.append(score.max() + math.log(p.sum()))
+            back.append((np.cumsum(p) / p.sum(), found))
+        out, k = [], len(t)
+        while k:
+            u = piece_codec._draw(seeds[i : i + 1], np.array([k]))[0]
+            n, p = back[k][1][min(int(np.searchsorted(back[k][0], u, "right")), len(back[k][1]) - 1)]
+            out = ([v.byte0 + b for b in t[k - 1].encode()] if p == piece_codec.FALLBACK else [p]) + out
+            k -= n
+        assert ids[per[i] : per[i + 1]].tolist() == out, t
+
+
+def test_text_without_spaces_is_cut_too(vocabulary):
+    text = "".join(random.Random(1).choice("漢字文章日本語中国的是不了人我在有他这为之大来以个") for _ in range(60_000))
+    began = time.perf_counter()
+    ids, per = piece_codec.encode_array(vocabulary, pa.array([text, "x" * 3000]), np.array([1, 2], np.uint64), 1.0)
+    assert time.perf_counter() - began < 3
+    assert piece_codec.decode_array(vocabulary, ids, per).to_pylist() == [text, "x" * 3000]
+    with pytest.raises(FileNotFoundError):
+        piece_codec.load("/nowhere/model")
 
 
 # Fingerprints ----------------------------------------------------------------------------------------------------------
@@ -330,21 +425,21 @@ def test_fingerprint_trees():
 
 def plain_tree(text):
     """Sections of paragraphs of leaves, character by character."""
-    mask = (1 << 64) - 1
+    mask = (1 << 32) - 1
 
-    def mixed(x):
-        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
-        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
-        return x ^ x >> 31
+    def mixed(before):
+        h = 0
+        for j, c in enumerate(before[::-1], 1):
+            x = ord(c) * 0x9E3779B1 & mask
+            h += (x ^ x >> 15) * (0x85EBCA77 * (2 * j + 1) & mask)
+        h &= mask
+        return (h ^ h >> 16) * 0x7FEB352D & mask
 
     out, ended = [], True
     for line in re.findall(r"[^\n]*\n|[^\n]+", text):
         leaves = []
         for i, c in enumerate(line):
-            h = 0
-            for j in range(1, min(i, 4) + 1):
-                h = (h * 0x9FB21C651E98DF25 + ord(line[i - j])) & mask
-            if not i or (i >= 4 and mixed(h) % fingerprints.LEAF == 0) or len(leaves[-1]) == fingerprints.MOST:
+            if not i or (i >= 4 and mixed(line[i - 4 : i]) < (1 << 32) // fingerprints.LEAF) or len(leaves[-1]) == fingerprints.MOST:
                 leaves.append("")
             leaves[-1] += c
         blank = not line.strip(" \t\r\n")
