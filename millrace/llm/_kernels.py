@@ -132,12 +132,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@cache
+def _terms(shift: int) -> np.ndarray:
+    """The mixed term of every code point up to U+FFFF."""
+    return mix(np.arange(1 << 16, dtype=np.uint64) + _U(shift))
+
+
 def span_hashes(cps: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of the content of each span [s, e); equal contents have equal hashes wherever they stand."""
     n = 1 << max(16, int(len(cps) + 1).bit_length())
     power, inverse = _powers(n)
     total = np.zeros(len(cps) + 1, np.uint64)
-    term = mix(cps.astype(np.uint64) + _U((seed * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) & _MASK))
+    shift = (seed * 0xD1B54A32D192ED03 + 0x632BE59BD9B4E019) & _MASK
+    term = _terms(shift)[cps] if cps.dtype == np.uint32 and len(cps) and cps.max() < 1 << 16 else mix(cps.astype(np.uint64) + _U(shift))
     term *= power[: len(cps)]
     np.cumsum(term, out=total[1:])
     h = (total[e] - total[s]) * inverse[s]

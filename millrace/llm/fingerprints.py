@@ -1,7 +1,7 @@
 """Document fingerprints as Merkle trees over sections, paragraphs and leaves.
 
-Paragraphs are lines with their line break; a section ends with its blank lines. A paragraph is cut into leaves where its content says so:
-before a character if the WINDOW characters of the paragraph before it hash to 0 modulo LEAF, so an edit moves the cuts beside it and
+Paragraphs are lines with their line break; a section ends with its blank lines (spaces and control characters). A paragraph is cut into leaves where its content says so:
+before one character in LEAF, as the hash of the WINDOW characters of the paragraph before it says, so an edit moves the cuts beside it and
 no other, wherever the paragraph stands and in whatever script; what is longer than MOST characters without a cut is cut every MOST. A leaf's digest covers its characters, a paragraph's its leaves'
 digests, a section's its paragraphs', the root its sections' and the length of the text: equal roots mean equal texts.
 
@@ -67,10 +67,16 @@ class Forest:
 
 def _cuts(cps: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Places of content cuts; line: the start of the line of each code point."""
-    h = np.zeros(len(cps), np.uint64)
-    for j in range(1, WINDOW + 1):
-        h[j:] = h[j:] * np.uint64(0x9FB21C651E98DF25) + cps[:-j] if j < len(cps) else h[j:]
-    return (K.mix(h) % np.uint64(LEAF) == 0) & (np.arange(len(cps)) - line >= WINDOW)
+    h, c = np.zeros(len(cps), np.uint32), cps * np.uint32(0x9E3779B1)
+    c ^= c >> np.uint32(15)
+    for j in range(1, min(WINDOW, len(cps) - 1) + 1):
+        h[j:] += c[:-j] * np.uint32(0x85EBCA77 * (2 * j + 1) & 0xFFFFFFFF)
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    at = np.flatnonzero(h < np.uint32((1 << 32) // LEAF))
+    out = np.zeros(len(cps), bool)
+    out[at[at - line[at] >= WINDOW]] = True
+    return out
 
 
 def plant(text: pa.Array) -> tuple[Forest, list[str]]:
@@ -85,7 +91,7 @@ def plant(text: pa.Array) -> tuple[Forest, list[str]]:
     of = np.cumsum(first[:n]) - 1
     row = np.searchsorted(off, ls, "right") - 1
     solid = np.zeros(n + 1, np.int64)
-    np.cumsum(~np.isin(cps, (9, 10, 13, 32)), out=solid[1:])
+    np.cumsum(cps > 32, out=solid[1:])
     blank = solid[le] == solid[ls]
     opens = np.ones(len(ls), bool)
     opens[1:] = (row[1:] != row[:-1]) | (blank[:-1] & ~blank[1:])
@@ -95,9 +101,9 @@ def plant(text: pa.Array) -> tuple[Forest, list[str]]:
     leaf = np.repeat(leaf - MOST * (np.cumsum(pieces) - pieces), pieces) + MOST * np.arange(pieces.sum())
     size = np.diff(np.append(leaf, n))
     starts = [np.searchsorted(row[ss], np.arange(rows + 1)), np.append(ss, len(ls)), np.searchsorted(of[leaf], np.arange(len(ls) + 1))]
-    root = []
+    root, leaves = [], K.span_hashes(cps, leaf, leaf + size)
     for seed in (0, 1):
-        h = [None, None, K.span_hashes(cps, leaf, leaf + size, seed)]
+        h = [None, None, leaves]
         for level in (1, 0):
             at = starts[level + 1]
             h[level] = K.span_hashes(h[level + 1], at[:-1], at[1:], seed + 2)
@@ -215,7 +221,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str = "text", size: int = K.CHUNK) -> DataFrame:
+def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str = "text", size: int = K.CHUNK // 4) -> DataFrame:
     """``fn(texts, next texts)`` -> dict of columns, on slices of rows, beside the key. Order: descending key, then descending hash of the
     text; after the last comes the first.
 

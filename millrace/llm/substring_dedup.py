@@ -74,7 +74,12 @@ def units(text: pa.Array) -> dict:
     start = np.concatenate([first, tail, line])
     end = np.concatenate([last, last[of[tail]], line_end])
     kind = np.repeat([0, 1, 2], [len(first), len(tail), len(line)])
-    digest = lambda seed: np.where(kind == 2, K.span_hashes(h, start, end, seed=seed + 2), K.span_hashes(h, start, end, seed=seed))
+
+    def digest(seed: int) -> np.ndarray:
+        out = K.span_hashes(h, start, end, seed=seed)
+        out[kind == 2] = K.mix(out[kind == 2] ^ np.uint64(0x5851F42D4C957F2D))  # a line isn't a sentence of the same words
+        return out
+
     return {
         "start": start, "end": end, "kind": kind, "row": np.searchsorted(words, start, "right") - 1, "tail_of": of[tail], "line_of": of[line],
         "d1": digest(1), "d2": digest(2), "ws": ws, "we": we, "words": words, "off": off,
