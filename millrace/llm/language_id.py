@@ -24,6 +24,7 @@ from millrace.llm._spark import crc_mod, map_chunks, table
 
 SYMBOLS = 64
 GRAMS = SYMBOLS**3
+LANGS = 500
 
 
 @cache
@@ -57,7 +58,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float
 
     Counted over all rows of ``docs``: each slice adds up its grams, slices are summed by Spark. What
     reaches the driver is at most one number per language and gram (``GRAMS`` a language), whatever the
-    size of the corpus.
+    size of the corpus. More than LANGS languages are refused: the column doesn't hold languages then.
     """
 
     def count(part: pa.RecordBatch) -> dict:
@@ -69,6 +70,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float
         return {"lang": langs.dictionary.take(pa.array(found // GRAMS)), "gram": pa.array((found % GRAMS).astype(np.int32)), "n": pa.array(n.astype(np.int64))}
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    if rows.select("lang").distinct().limit(LANGS + 1).count() > LANGS:
+        raise ValueError(f"more than {LANGS} languages in {lang}")
     got = map_chunks(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     out = np.full((len(names), GRAMS), alpha)

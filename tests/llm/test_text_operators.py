@@ -128,6 +128,40 @@ def test_perplexity_rejects_junk_and_keeps_prose(spark, sf):
     assert got[got["quality"] == 1]["kept"].mean() > 0.97 and got[got["quality"] == 0]["kept"].mean() < 0.5
 
 
+@pytest.mark.parametrize("enough", [1, 20])
+def test_perplexity_and_thresholds_by_brute_force(spark, monkeypatch, enough):
+    monkeypatch.setattr(perplexity, "ENOUGH", enough)
+    rng = random.Random(11)
+    say = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(1, 60))) + "."
+    rows = [(i, say("abcde") if i % 2 else say("aeiouéà"), "x" if i % 2 else None if i % 3 else "y") for i in range(400)] + [(900, None, "x"), (901, "", "x"), (902, "zzz 123 !!", "new")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("low", F.lit("clash")).repartition(3)
+    keys = docs.where("doc_id % 4 <> 3").select("doc_id")
+    held = {r["doc_id"] for r in keys.join(docs, "doc_id").where(perplexity.held_out("text")).select("doc_id").collect()}
+    trusted = {i for i, t, _ in rows if i % 4 != 3}
+    counts = np.zeros(perplexity.SYMBOLS**perplexity.ORDER, np.int64)
+    for i, t, _ in rows:
+        if i in trusted - held and t:
+            np.add.at(counts, perplexity.grams(pa.array([t]))[0], 1)
+    model = perplexity.train(counts)
+    loss = {i: -float(np.mean(model[perplexity.grams(pa.array([t]))[0]].astype(float))) if t else None for i, t, _ in rows}
+
+    def bounds(of):
+        v = [[round(loss[i] / perplexity.STEP) for i, _, lang in rows if i in keyed and loss[i] is not None and lang in of] for keyed in (held, trusted)]
+        v = np.sort(v[0] if len(v[0]) >= perplexity.ENOUGH else v[1])
+        at = lambda q: v[min(len(v) - 1, math.ceil(q * len(v) - 1e-9) - 1)] * perplexity.STEP
+        return (at(perplexity.LOW), at(perplexity.HIGH)) if len(v) else None
+
+    every = bounds({"x", "y", None, "new"})
+    got = {r["doc_id"]: r for r in perplexity.classify(docs, keys).collect()}
+    assert len(got) == len(rows) and len(held) > 30
+    for i, t, lang in rows:
+        r, (low, high) = got[i], bounds({lang}) or every
+        assert (r["perplexity"] is None) == (not t) and r["low"] == pytest.approx(math.exp(low)) and r["high"] == pytest.approx(math.exp(high))
+        if t:
+            slack = perplexity.MARGIN / math.sqrt(len(t))
+            assert r["perplexity"] == pytest.approx(math.exp(loss[i])) and r["kept"] == (low - slack <= loss[i] <= high + slack)
+
+
 def test_perplexity_of_odd_rows(spark, odd):
     keys = spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")
     got = [(r["doc_id"], r["perplexity"], r["kept"]) for r in perplexity.classify(odd, keys).collect()]
