@@ -5,8 +5,8 @@ last reply form a last example without a trainable part, so no turn is lost. A t
 ``### Role: text</turn>\\n``; control strings inside a text (or a role) are escaped, so any text comes back exactly: ``\\`` as
 ``\\\\``, ``###`` as ``\\h``, ``</turn>`` as ``\\t``, and in roles also ``:`` as ``\\c``.
 
-A conversation is gathered in one row, as the training example it is; its size is that of the example. Rows are spread over tasks by
-conversation, and turns are small before they meet.
+A conversation is gathered in one row, as the training example it is. Its examples together are longer, by the square of its
+turns: they are written one by one, in batches of about CHUNK characters, so a task holds a batch and one example beyond.
 
 Defined results: null texts and roles are empty; turns are ordered by turn number (null first), then role, then text, and repeated
 rows are repeated turns; rows with a null conversation are one conversation; roles other than ``assistant`` are context; an empty
@@ -16,6 +16,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm._spark import table
 
 END = "</turn>"
+CHUNK = 4 << 20
 _TURN = re.compile(r"### ((?:[^:\\]|\\.)*): (.*?)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _BACK = {"\\": "\\", "h": "###", "t": END, "c": ":"}
@@ -38,9 +40,9 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _BACK[m.group(1)], text)
 
 
-def expand(turns: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
-    """(formatted text, start and end of the trainable part) of every example; (n, n) of one without."""
-    out, text, loose = [], "", False
+def expand(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[str, int, int]]:
+    """(formatted text, start and end of the trainable part) of every example, one by one; (n, n) of one without."""
+    text, loose = "", False
     for role, said in turns:
         body = escape(said)
         head = f"### {escape(role).replace(':', chr(92) + 'c')}: "
@@ -48,10 +50,9 @@ def expand(turns: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
         text += f"{head}{body}{END}\n"
         loose = role != "assistant"
         if not loose:
-            out.append((text, start, start + len(body)))
+            yield text, start, start + len(body)
     if loose:
-        out.append((text, len(text), len(text)))
-    return out
+        yield text, len(text), len(text)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -68,14 +69,24 @@ def examples(conversations: DataFrame, key: str = "conv_id", turn: str = "turn",
     rows = conversations.select(F.col(key).alias("key"), F.struct(F.col(turn).alias("n"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
     whole = rows.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
+    names = ("key", "example", "formatted", "loss_start", "loss_end")
+
     def go(batches):
+        got, room = [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                got = [(k, i, *x) for k, turns in zip(part.column("key").to_pylist(), part.column("turns").to_pylist(), strict=True) for i, x in enumerate(expand([(t["role"], t["text"]) for t in turns]))]
-                names = ("key", "example", "formatted", "loss_start", "loss_end")
-                types = (part.schema.field("key").type, pa.int32(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_pydict({n: pa.array([g[j] for g in got], t) for j, (n, t) in enumerate(zip(names, types, strict=True))})
+            types = (batch.schema.field("key").type, pa.int32(), pa.large_string(), pa.int64(), pa.int64())
+            keys, lists = batch.column("key"), batch.column("turns")
+            for row in range(batch.num_rows):
+                turns = ((t["role"], t["text"]) for t in lists[row].as_py())
+                for i, x in enumerate(expand(turns)):
+                    got.append((keys[row].as_py(), i, *x))
+                    room += len(x[0])
+                    if room >= CHUNK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names)
+                        got, room = [], 0
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), types, strict=True)], names)
+                got, room = [], 0
 
     return whole.mapInArrow(go, f"key {kind}, example int, formatted string, loss_start long, loss_end long").withColumnRenamed("key", key)
 
@@ -85,27 +96,32 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     made = examples(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
-    def digest(key: int, all_: list[dict]) -> tuple:
-        turns = parse(all_[-1]["formatted"])
-        loss = "".join(unescape(e["formatted"][e["loss_start"] : e["loss_end"]]) for e in all_)
-        sha = lambda x: sha256(x.encode()).hexdigest()
-        return (key, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), sum(len(e["formatted"]) for e in all_), len(all_))
-
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples")
+    types = [pa.string() if "sha" in n else pa.int64() for n in names]
 
     def go(batches):
-        held: list[dict] = []
+        """Conversation by conversation, holding its last example and running digests."""
+        key = last = None
+        loss, n_loss, chars, n = sha256(), 0, 0, 0
+
+        def digest() -> tuple:
+            turns = parse(last)
+            return (key, len(turns), sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), n_loss, loss.hexdigest(), chars, n)
+
         for batch in batches:
             out = []
-            for e in batch.to_pylist():
-                if held and e["example"] == 0:
-                    out.append(digest(held[0]["conv_id"], held))
-                    held = []
-                held.append(e)
-            yield pa.RecordBatch.from_pydict({n: pa.array([o[j] for o in out], pa.string() if "sha" in n else pa.int64()) for j, n in enumerate(names)})
-        if held:
-            o = digest(held[0]["conv_id"], held)
-            yield pa.RecordBatch.from_pydict({n: pa.array([o[j]], pa.string() if "sha" in n else pa.int64()) for j, n in enumerate(names)})
+            for k, i, text, a, b in zip(*(batch.column(c) for c in ("conv_id", "example", "formatted", "loss_start", "loss_end")), strict=True):
+                if i.as_py() == 0:
+                    if n:
+                        out.append(digest())
+                    key, loss, n_loss, chars, n = k.as_py(), sha256(), 0, 0, 0
+                last = text.as_py()
+                said = unescape(last[a.as_py() : b.as_py()])
+                loss.update(said.encode())
+                n_loss, chars, n = n_loss + len(said), chars + len(last), n + 1
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(digest(), types, strict=True)], names)
 
     return made.mapInArrow(go, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 

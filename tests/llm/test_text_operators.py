@@ -345,6 +345,22 @@ def test_chat_round_trip(spark):
     assert chat_format.examples(df.limit(0)).count() == 0
 
 
+def test_long_conversations_come_in_batches(spark, monkeypatch, tmp_path):
+    """Hundreds of turns, every row twice, keys that are null: digests are those of the turns themselves."""
+    monkeypatch.setattr(chat_format, "CHUNK", 5_000)
+    rows = [(k, i, "assistant" if i % 2 else "user", f"turn {i} \\ ###" * 20) for k in (1, None) for i in range(300) for _ in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.withColumn("formatted", F.lit("clash")).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in chat_format.op3_chat_format(spark, str(tmp_path)).collect()}
+    said = sorted((i, r, t) for k, i, r, t in rows if k == 1)
+    assert set(got) == {1, None, -7}
+    for k in (1, None):
+        assert got[k]["n_turns"] == 600 and got[k]["n_examples"] == 300 and got[k]["loss_chars"] == sum(len(t) for _, r, t in said if r == "assistant")
+        assert got[k]["turns_sha256"] == sha256("".join(f"{r}\n{t}\n" for _, r, t in said).encode()).hexdigest()
+        assert got[k]["loss_sha256"] == sha256("".join(t for _, r, t in said if r == "assistant").encode()).hexdigest()
+    assert [r["example"] for r in chat_format.examples(df.where("conv_id = 1")).select("example").collect()] == list(range(300))
+
+
 # Pieces ----------------------------------------------------------------------------------------------------------------
 
 
