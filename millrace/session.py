@@ -1,15 +1,14 @@
-"""Session defaults, and partition counts that follow the data."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
@@ -17,11 +16,6 @@ DEFAULTS = {
 }
 
 
-def shuffle_partitions(input_bytes: int, cores: int, target: int = 128 << 20) -> int:
-    """Enough for partitions of about ``target`` bytes of input, and a multiple of the cores, so waves are full."""
-    return max(1, ceil(max(ceil(input_bytes / target), cores) / cores)) * cores
-
-
 def session(name: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with DEFAULTS; AQE coalesces small partitions and splits skewed ones at run time."""
     builder = SparkSession.builder.appName(name)
