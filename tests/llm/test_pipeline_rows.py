@@ -1,10 +1,13 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
+from test_pair_operators import brute, brute_dedup
 
 import corpus_pipeline as P
-from millrace.llm import jaccard_join, mixing
+from millrace.llm import jaccard_join, mixing, piece_codec
+from millrace.plans.lineage import shared_folder
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,3 +58,74 @@ def test_one_key_of_many_texts(spark):
     assert [r["text"] for r in got if r["doc_id"] == 1] == [texts[0]]
     links = jaccard_join.join(docs).groupBy("doc_id").agg({"n_links": "sum"}).collect()
     assert {r[0]: r[1] for r in links} == {9: 20 * 2 + 10 + 2, 1: 2, **{i: 1 for i in range(100, 110)}}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """All five stages over a small corpus, against plain Python."""
+    rng = random.Random(6)
+    sentence = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)).capitalize() + "."
+    passage = " ".join(sentence() for _ in range(5))
+    rows, toxic = [], set()
+    for i in range(160):
+        lines = [f"{sentence()} {sentence()}" for _ in range(rng.randrange(3, 30))]
+        if i % 5 == 4:
+            toxic.add(i)
+            lines[0] = "You zorkle. " + lines[0]
+        elif i % 4 == 0:
+            lines[1] = f"{sentence()} {passage}"
+        rows.append((i, "\n".join(lines), ("en", "de", None)[i % 3], f"src{i % 7}", 0))
+    rows += [(200 + i, rows[i][1] + (" Tail." if i % 2 else ""), "en", "src1", 0) for i in range(0, 30)] + [(300, None, "en", "src0", None), (301, "", "fr", "src0", 0)]
+    rows = [(k, t, lang, source, None if t is None else len(t)) for k, t, lang, source, _ in rows]
+    toxic |= {k for k, t, *_ in rows if t and "zorkle" in t}
+    spark.createDataFrame(rows, KINDS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, None, int(k in toxic)) for k, *_ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    left = [r for r in rows if r[0] not in toxic]
+    classes = {}
+    for key, root, _ in brute([r[:2] for r in left]):
+        classes[key] = root
+    left = [r for r in left if classes[r[0]] == r[0]]
+    assert 120 < len(left) < 135  # no copy is left
+    cuts = brute_dedup([r[:2] for r in left])
+    texts = {}
+    for k, t, *_ in left:
+        keep, at = [], 0
+        for a, b, _ in cuts.get(k, []):
+            keep.append(t[at:a])
+            at = b
+        texts[k] = None if t is None else "".join(keep) + t[at:]
+    assert sum(texts[r[0]] != r[1] for r in left) > 10
+    axes = [[*sorted(t), mixing.OTHER] for t in mixing.TARGETS.values()]
+    cell = {}
+    for k, _, lang, source, _ in left:
+        n = len((texts[k] or "").split())
+        topic = "note" if n < 100 else "article" if n < 1000 else "long_read"
+        cell[k] = tuple(a.index(v if v in a else mixing.OTHER) for a, v in zip(axes, (source, lang, topic), strict=True)), n
+    counts = np.zeros([len(a) for a in axes])
+    for at, n in cell.values():
+        counts[at] += n
+    margins = [np.array([t.get(v, max(0.0, 1 - sum(t.values()))) for v in a]) for a, t in zip(axes, mixing.TARGETS.values(), strict=True)]
+    p = mixing.probabilities(counts, mixing.rake(counts, margins), P.SHARE * counts.sum())
+    p[(counts == 0)] = 1.0
+    u = lambda k: int(hashlib.md5(f"11:{k}".encode()).hexdigest()[:13], 16) / 2**52
+    want = {k for k, (at, _) in cell.items() if u(k) < p[at]}
+
+    got = P.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(want) and 20 < len(want) < len(left)
+    v = piece_codec.load()
+    for r in got:
+        if r["ids"] is None:
+            assert texts[r["doc_id"]] is None
+        else:
+            assert r["n_pieces"] == len(r["ids"]) and piece_codec.decode_array(v, np.array(r["ids"], np.int64), np.array([0, len(r["ids"])])).to_pylist() == [texts[r["doc_id"]]]
+            assert r["n_chars"] == len(texts[r["doc_id"]])
+
+
+def test_pipeline_leaves_one_folder(spark, sf):
+    import glob
+
+    at = f"{shared_folder(spark)}/pipeline-*".removeprefix("file:")
+    before = set(glob.glob(at))
+    out = P.run(spark, sf)
+    (made,) = set(glob.glob(at)) - before
+    assert [x.rpartition("/")[2] for x in glob.glob(f"{made}/*")] == [P.STAGES[-1][0]] and out.count() > 0
