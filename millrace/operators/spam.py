@@ -27,6 +27,11 @@ def label_of(flag: str | Column) -> Column:
     return F.when((F.col(flag) if isinstance(flag, str) else flag) == 1, "spam").otherwise("ham")
 
 
+def shuffle_key(seed: int, docid: str = "docid") -> Column:
+    """What a seeded shuffle sorts by: the md5 of seed and document id."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(docid).cast("string")).cast("binary"))
+
+
 def train(documents: DataFrame, shards: int = 1, seed: int | None = None, delta: float = DELTA) -> DataFrame:
     """(model_id, feature, weight): one pass of online logistic regression a shard, documents in order of docid, or, with a
     seed, in the order of a seeded hash.
@@ -35,7 +40,7 @@ def train(documents: DataFrame, shards: int = 1, seed: int | None = None, delta:
     order, so one shard is one sequential task; it streams, holding only the weights (SPACE at most). Several shards, dealt by a hash of
     docid, train side by side and make an ensemble, which is how training is spread over a cluster.
     """
-    order = F.col("docid") if seed is None else F.xxhash64("docid", F.lit(seed))
+    order = F.col("docid") if seed is None else shuffle_key(seed)
     rows = documents.select(F.pmod(F.xxhash64("docid"), F.lit(shards)).cast("int").alias("shard"), order.alias("o"), "docid", (F.col("label") == "spam").cast("double").alias("y"), "features")
 
     def go(batches):

@@ -84,3 +84,10 @@ def monthly_by_nation(lineitem: DataFrame, orders: DataFrame, customer: DataFram
         .agg(F.count("*").alias("cnt"))
         .orderBy("ym", "c_nationkey")
     )
+
+
+def last_of_each(build: DataFrame, key: str) -> DataFrame:
+    """``build`` with one row per key, for a join in which the last of equal build keys wins: the largest, by the other columns in order.
+    One aggregate with map-side combining."""
+    rest = [c for c in build.columns if c != key]
+    return build.groupBy(key).agg(F.max(F.struct(*rest)).alias("_last")).select(*[F.col(key) if c == key else F.col(f"_last.{c}") for c in build.columns])

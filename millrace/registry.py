@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions import vint as V
 from millrace.operators import counts as C
 from millrace.operators import graph as G
 from millrace.operators import index as I
@@ -45,6 +46,12 @@ register("q3_part_supplier_top20", _of(W.part_supplier, "lineitem", "part", "sup
 register("q4_nation_counts", _of(W.nation_counts, "lineitem", "orders", "customer", "nation", when="1996-11"), f"SELECT n_nationkey, n_name, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE {_NOV} GROUP BY 1, 2 ORDER BY 1, 2")
 register("q5_monthly_two_nations", _of(W.monthly_by_nation, "lineitem", "orders", "customer"), "SELECT strftime(l_shipdate, '%Y-%m') AS ym, c_nationkey, count(*) AS cnt FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (3, 24) GROUP BY 1, 2 ORDER BY 1, 2")
 
+register(
+    "orders_last_item",
+    lambda spark, d: W.last_of_each(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"),
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS i FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE i = 1",
+)
+
 # Words and lines -------------------------------------------------------------------------------------------------------
 
 
@@ -133,6 +140,11 @@ _POST = f"i AS (SELECT term, docno, count(*)::INTEGER AS tf FROM (SELECT doc_id
 register("postings", _index(lambda i: i), f"WITH {_POST} SELECT * FROM i")
 register("term_df", _index(I.document_frequency), f"WITH {_POST} SELECT term, count(*) AS df FROM i GROUP BY 1")
 register("gap_postings", _index(I.gap_postings), f"WITH {_POST} SELECT term, docno, tf, docno - lag(docno, 1, 0) OVER (PARTITION BY term, docno // {I.BLOCK} ORDER BY docno) AS gap FROM i")
+register(
+    "gap_bytes",
+    _index(lambda i: I.gap_postings(i).select("term", "docno", F.hex(V.encode("gap")).alias("bytes"), V.decode(V.encode("gap")).alias("gap"))),
+    f"WITH {_POST}, g AS (SELECT term, docno, docno - lag(docno, 1, 0) OVER (PARTITION BY term, docno // {I.BLOCK} ORDER BY docno) AS gap FROM i) SELECT term, docno, CASE WHEN gap <= 127 THEN printf('%02X', gap) WHEN gap <= 255 THEN '8F' || printf('%02X', gap) WHEN gap <= 65535 THEN '8E' || printf('%04X', gap) ELSE '8D' || printf('%06X', gap) END AS bytes, gap FROM g",
+)
 register("gap_roundtrip", _index(lambda i: I.decode_lists(I.posting_lists(i))), f"WITH {_POST} SELECT * FROM i")
 register(
     "posting_lists",
@@ -245,6 +257,8 @@ _FEAT = f"x AS MATERIALIZED (SELECT doc_id::VARCHAR AS docid, CASE WHEN toxic =
 _SCORES = f"{_FEAT}, o AS (SELECT docid, unnest(f)::BIGINT AS i FROM x), s AS (SELECT docid, " + ", ".join(f"sum(CASE WHEN i % 5 <> 0 THEN ((i * {2 * m + 3}) % 17 - 8) / 1024.0::DOUBLE ELSE 0 END) AS s{m}" for m in range(3)) + " FROM o GROUP BY 1), z AS (SELECT docid, label, " + ", ".join(f"coalesce(s{m}, 0) AS s{m}" for m in range(3)) + " FROM x LEFT JOIN s USING (docid))"
 _VOTES = "(CASE WHEN s0 > 0 THEN 1 ELSE -1 END + CASE WHEN s1 > 0 THEN 1 ELSE -1 END + CASE WHEN s2 > 0 THEN 1 ELSE -1 END)"
 register("spam_features", lambda spark, d: _spam(spark, d).select("docid", "label", F.array_join(F.col("features").cast("array<string>"), " ").alias("features")), f"WITH {_FEAT} SELECT docid, label, array_to_string(f, ' ') AS features FROM x")
+register("spam_shuffle", lambda spark, d: _spam(spark, d).select("docid", S.shuffle_key(7).alias("place")), f"WITH {_FEAT} SELECT docid, md5('7:' || docid) AS place FROM x")
+register("spam_train_shards", lambda spark, d: S.train(_spam(spark, d), shards=4, seed=7).select("model_id", "feature", F.round("weight", 9).alias("weight")))
 register("spam_train", lambda spark, d: S.train(_spam(spark, d)).select("feature", F.round("weight", 9).alias("weight")))
 register("spam_score", lambda spark, d: S.score(_spam(spark, d), _models(spark).where("model_id = 0")), f"WITH {_SCORES} SELECT docid, label, s0 AS score, CASE WHEN s0 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
 register("ensemble_average", lambda spark, d: _rounded(S.ensemble(_spam(spark, d), _models(spark)), "score"), f"WITH {_SCORES} SELECT docid, label, round((s0 + s1 + s2) / 3, 9) AS score, CASE WHEN s0 + s1 + s2 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")

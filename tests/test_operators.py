@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from datetime import date
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions import vint as V
 from millrace.operators import counts as C
 from millrace.operators import graph as G
 from millrace.operators import index as I
@@ -228,6 +230,32 @@ def test_files(spark, tmp_path):
         files.plain("/data/collection.gz")
 
 
+def test_seeded_training_by_brute_force(spark):
+    rng = random.Random(3)
+    docs = [(f"d{i}", rng.choice(["spam", "ham"]), [rng.randrange(6) for _ in range(rng.randrange(5))]) for i in range(40)]
+    df = spark.createDataFrame(docs, "docid string, label string, features array<int>").repartition(3)
+    for seed, order in ((None, lambda d: d[0]), (7, lambda d: hashlib.md5(f"7:{d[0]}".encode()).hexdigest())):
+        w = {}
+        for _, label, features in sorted(docs, key=order):
+            step = ((label == "spam") - 1 / (1 + math.exp(-sum(w.get(f, 0.0) for f in features)))) * S.DELTA
+            for f in features:
+                w[f] = w.get(f, 0.0) + step
+        got = {r["feature"]: r["weight"] for r in S.train(df, seed=seed).collect()}
+        assert got.keys() == w.keys() and all(abs(got[f] - w[f]) < 1e-15 for f in w)
+
+
+def test_bytes_of_numbers(spark):
+    values = [0, 1, 127, 128, 255, 256, -1, -112, -113, -256, -257, 65535, 65536, 2**31, -(2**31), 2**63 - 1, -(2**63)]
+    got = spark.createDataFrame([(v,) for v in [*values, None]], "v long").select("v", V.encode("v").alias("b"), V.decode(V.encode("v")).alias("back")).collect()
+    for v, b, back in got:
+        if v is None:
+            assert b is None and back is None
+            continue
+        size = ~v if v < 0 else v
+        raw = size.to_bytes(max(1, (size.bit_length() + 7) // 8), "big")
+        assert bytes(b) == (bytes([v & 255]) if -112 <= v <= 127 else bytes([((-120 if v < 0 else -112) - len(raw)) & 255]) + raw) and back == v
+
+
 def test_strict_tables(spark, tmp_path):
     for text in ("abc|BAD\n", "7\n"):
         (tmp_path / "nation.tbl").write_text(text)
