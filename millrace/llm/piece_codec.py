@@ -126,7 +126,7 @@ def segments(cps: np.ndarray, off: np.ndarray, words: bool) -> tuple[np.ndarray,
 def match(v: Vocabulary, chars: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of parts laid end to end, the piece of each length that ends at each character (0: none; FALLBACK: a single character without one), and
     the starts of the parts that remain when they are cut wherever no piece spans."""
-    piece = np.zeros((len(chars), v.reach), np.int32)
+    piece = np.zeros((len(chars), v.reach), np.uint16 if len(v.logp) <= 1 << 16 else np.int32)
     spanned = np.zeros(len(chars) + 1, np.int32)
     room = np.repeat(off[1:], np.diff(off)) - np.arange(len(chars))
     alive, node = np.arange(len(chars)), np.zeros(len(chars), np.int32)
@@ -269,7 +269,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
         return {f"c{i}": part.column(f"c{i}") for i in range(len(rest))} | {"ids": lists}
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
-    out = map_chunks(rows, go, f"{kinds}, ids array<int>", at, K.CHUNK // 2)
+    out = map_chunks(rows, go, f"{kinds}, ids array<int>", at, K.CHUNK // 4)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], "ids")
 
 
