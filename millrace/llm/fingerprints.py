@@ -225,7 +225,7 @@ def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str =
     """``fn(texts, next texts)`` -> dict of columns, on slices of rows, beside the key. Order: descending key, then descending hash of the
     text; after the last comes the first.
 
-    One shuffle of the texts. A sample of at most RANGES * SAMPLED rows, drawn by hash, gives the places that cut the order into
+    One shuffle of the texts. A sample of about RANGES * SAMPLED rows at most, drawn by hash, gives the places that cut the order into
     ranges, many more than the tasks. They are places of rows, so it is known which row leads a range: it is sent to the range before it
     as well. Rows of one key are cut by their texts' hashes; only rows alike in key and text share a range whatever their number.
     """
@@ -234,7 +234,8 @@ def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str =
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = min(8 * parts(spark), RANGES)
     place = lambda k, t: (k is not None, k if k is not None else 0, t)
-    drawn = rows.select("key", "tie").orderBy(F.xxhash64("key", "tie", F.lit(29))).limit(n * SAMPLED).collect()
+    every = max(1, docs.count() // (n * SAMPLED))
+    drawn = rows.select("key", "tie").where(F.pmod(F.xxhash64("key", "tie", F.lit(29)), F.lit(every)) == 0).distinct().collect()
     top = rows.agg(F.max(F.struct("key", "tie")).alias("top")).first()["top"]
     if top is None:
         return spark.createDataFrame([], f"{key} {kind}, {schema}")
