@@ -4,7 +4,8 @@ The tokens of every (source, language, topic) cell are counted; raking scales th
 and topic meet the targets; a document is then kept with the probability of its cell, fitted weight times budget over the cell's
 tokens, by a hash of its key, so a rerun keeps the same documents. Values that no target names share one cell value,
 OTHER, with the weight the named targets leave over, so the number of cells is bounded by the targets, not by the data:
-the cell table may reach the driver and be broadcast. By default the budget is the largest at which every probability is at most 1.
+the cell table may reach the driver and be broadcast. Raking takes ROUNDS rounds; if a margin is then missed by more than TOLERANCE, as
+no weights of the cells that occur may meet all targets, a warning says so. By default the budget is the largest at which every probability is at most 1.
 With a larger one, cells at 1 stay there and the others take up what they can't. ``share`` states the budget as a share of all
 tokens: scarce cells are then kept whole, so one that holds few tokens doesn't set the size of the sample.
 
@@ -17,6 +18,7 @@ as 'null'; extra columns pass through, but for those named as outputs, which are
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from itertools import product
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from millrace.llm._spark import table
 
 OTHER = "other"
-ROUNDS = 40
+ROUNDS, TOLERANCE = 40, 1e-3
 SOURCES = {f"src{i}": 0.049 for i in range(20)}
 LANGS = {"en": 0.4, "de": 0.19, "fr": 0.19, "es": 0.19}
 TOPICS = {"note": 0.03, "article": 0.47, "long_read": 0.5}
@@ -63,6 +65,16 @@ def rake(counts: np.ndarray, margins: list[np.ndarray], rounds: int = ROUNDS) ->
     return w
 
 
+def largest_gap(w: np.ndarray, margins: list[np.ndarray]) -> float:
+    """How far the cell weights are from the margins, renormalised over what occurs: the largest difference on any axis."""
+    gaps = []
+    for k, m in enumerate(margins):
+        have = w.sum(axis=tuple(j for j in range(w.ndim) if j != k))
+        want = np.where(have > 0, m, 0.0)
+        gaps.append(np.abs(have - want / max(want.sum(), 1e-300)).max())
+    return float(max(gaps)) if w.sum() > 0 else 0.0
+
+
 def probabilities(counts: np.ndarray, w: np.ndarray, budget: float | None) -> np.ndarray:
     """Of each cell. Without a budget, the largest that keeps all within 1."""
     ratio = np.divide(w, counts, out=np.zeros_like(w), where=counts > 0)
@@ -92,7 +104,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_i
     for r in keyed.collect():  # at most one row per combination of named targets
         counts[tuple(place[c][r[f"_{c}"]] for c in axes)] = float(r["n"] or 0)
     margins = [np.array([targets[c].get(v, 0.0) if v != OTHER else max(0.0, 1 - sum(targets[c].values())) for v in a]) for c, a in axes.items()]
-    p = probabilities(counts, rake(counts, margins), budget if share is None else share * counts.sum())
+    w = rake(counts, margins)
+    if (gap := largest_gap(w, margins)) > TOLERANCE:
+        warnings.warn(f"after {ROUNDS} rounds the weights miss a target by {gap:.4f}: the targets can't all be met by the cells that occur", stacklevel=2)
+    p = probabilities(counts, w, budget if share is None else share * counts.sum())
     if share is not None:
         p = np.where((counts == 0) & (reduce(np.multiply.outer, margins) > 0), 1.0, p)
     known = [(*vs, float(p[tuple(place[c][v] for c, v in zip(axes, vs, strict=True))])) for vs in product(*axes.values())]

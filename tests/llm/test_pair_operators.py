@@ -269,6 +269,20 @@ def test_raking_meets_the_margins():
     assert p.max() <= 1.0 and abs((p * counts).sum() - 0.8 * counts.sum()) < 1e-6
 
 
+def test_targets_that_cannot_be_met_are_told(spark):
+    """Source a is all in language x, so 0.9 of a and 0.9 of y exclude one another."""
+    df = spark.createDataFrame([(1, "a", "x", 5), (2, "b", "x", 5), (3, "b", "y", 5)], "doc_id long, source string, lang string, n_tokens long")
+    with pytest.warns(UserWarning, match="miss a target"):
+        mixing.mix(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+    counts = np.array([[5.0, 0.0], [5.0, 5.0]])
+    assert mixing.largest_gap(mixing.rake(counts, [np.array([0.3, 0.7]), np.array([0.6, 0.4])]), [np.array([0.3, 0.7]), np.array([0.6, 0.4])]) < 1e-3
+
+
+def test_very_long_texts_are_counted_whole(spark):
+    df = spark.createDataFrame([(1, "word " * 300_000, "en", "src0")], "doc_id long, text string, lang string, source string")
+    assert mixing.with_cells(df).first()["n_tokens"] == 300_000
+
+
 def test_sampled_mix_is_near_its_targets(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice("aaab"), rng.choice("xy"), rng.randrange(1, 50)) for i in range(20_000)]
