@@ -80,6 +80,70 @@ def test_language_mixture_by_brute_force():
             assert np.allclose(pi[:, r], p, atol=1e-3) and abs(ll[r] - np.log((np.exp(like[:, a:b]) * p[:, None]).sum(axis=0)).sum()) < 1e-2
 
 
+def test_learning_and_inference_by_brute_force(spark):
+    """Counts, likelihoods, EM and the choice of the set, text by text with plain sums."""
+    rng = random.Random(13)
+    kinds = {"aa": "abcde ", "bb": "xyzwv é", "cc": "abxyÀß"}
+    say = lambda lang, n: "".join(rng.choice(kinds[lang] + "  ") for _ in range(n))
+    rows = [(i, say(lang, 200) + ("." if i % 2 else ""), lang) for i, lang in enumerate([*kinds] * 6)] + [(50, None, "aa"), (51, "abc", None), (52, "", "dd")]
+    names, table_ = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    symbol = language_id._symbols()
+
+    def words(text):
+        code = [int(symbol[ord(c)]) for c in text]
+        out = [[]]
+        for i, c in enumerate(code):
+            if not c:
+                out.append([])
+            else:
+                out[-1].append(((code[i - 1] if i else 0) * 64 + c) * 64 + (code[i + 1] if i + 1 < len(code) else 0))
+        return [w for w in out if w]
+
+    assert names == ["aa", "bb", "cc"]
+    want = np.full(table_.shape, 0.05)
+    for _, t, lang in rows:
+        if t and lang in names:
+            for w in words(t):
+                np.add.at(want[names.index(lang)], w, 1)
+    want = np.log(want / want.sum(axis=1, keepdims=True))
+    assert np.allclose(table_, want, atol=1e-5)
+
+    def em(like, allowed):
+        pi = allowed / allowed.sum()
+        for _ in range(10):
+            part = like * pi
+            pi = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+        return pi, np.log((like * pi).sum(axis=1)).sum()
+
+    texts = [say("aa", 80), say("bb", 80), say("aa", 200) + " " + say("bb", 150), say("cc", 30), say("aa", 90) + say("bb", 90) + say("cc", 90), "123", "", "x"]
+    share, letters = language_id.infer(pa.array(texts), table_)
+    for i, t in enumerate(texts):
+        w = words(t)
+        assert letters[i] == bool(w)
+        if not w:
+            assert not share[:, i].any()
+            continue
+        log_ = np.array([[want[k][x].sum() for k in range(3)] for x in w])
+        best = log_.sum(axis=0).argmax()
+        out, score, penalty = np.eye(3)[best], log_.sum(axis=0)[best], 0.5 * math.log(max(len(w), 2))
+        like, top = np.exp(log_ - log_.max(axis=1, keepdims=True)), log_.max(axis=1).sum()
+        pi, full = em(like, np.ones(3))
+        order = np.argsort(-pi, kind="stable")
+        if full + top - penalty > score:
+            for size in (2, 3):
+                p, fit = em(like, np.isin(np.arange(3), order[:size]).astype(float))
+                if fit + top - penalty <= score:
+                    break
+                out, score = p, fit + top - penalty
+        assert np.allclose(share[:, i], out, atol=2e-3), (i, share[:, i], out)
+
+
+def test_languages_are_few(spark):
+    rows = [(i, "abc", f"l{i}") for i in range(language_id.LANGS + 1)]
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 def test_language_of_odd_rows_and_empty_tables(spark, odd):
     none = odd.limit(0)
     assert language_id.identify(none, language_id.learn(odd)).count() == 0
