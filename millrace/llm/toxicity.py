@@ -15,11 +15,12 @@ A clause is read as a string of symbols and rewritten by five transducers, compo
 The composed machine gives every hit a factor; a clause scores the sum of factor times weight (of a threat THREAT_WEIGHT), a text the
 sum of its clauses. The probability is a logistic curve over log(1 + score), so it grows with every clause.
 
-The insult lexemes and their weights are learned from labelled rows: a lexeme enters if most labelled rows that hold it are toxic and it
-explains toxic rows that no lexeme before it explains, one in 500 at least, so words that merely stand beside an insult don't
-enter, and there can't be more than 500; and then words in hardly a clean row, as common as a quarter of the usual one of these. The curve is
-fitted on the same rows. Fitting uses a sample of at most about SAMPLE_ROWS labelled rows, drawn by hash; scoring covers all
-rows and whole texts. Words are the same runs of letters, marks and numbers in learning and in scoring.
+The insult lexemes and their weights are learned from labelled rows: a lexeme enters if most labelled rows that hold it are toxic, more than
+chance would make any of so many, and it explains toxic rows that no lexeme before it explains, one in 500 at least, so words
+that merely stand beside an insult don't enter, and there can't be more than 500; and then words in hardly a clean row, as common as a
+quarter of the usual one of these. The curve is fitted on the same rows. Fitting uses a sample of at most about SAMPLE_ROWS labelled
+rows, drawn by hash, and one row of those that are near copies; scoring covers all rows and whole texts. Words are the same runs of
+letters, marks and numbers in learning and in scoring.
 
 Defined results: a null or empty text has no clause and gets the score of an empty clause; with no labels, or no toxic one, the
 lexicon is empty and the curve is a given one, by which a plain threat scores 0.5; labels that are null are left out; several labels of one key count as
@@ -40,9 +41,11 @@ from pyspark.sql import functions as F
 
 from millrace.llm import _kernels as K
 from millrace.llm._spark import crc_mod, cut, map_chunks, table
+from millrace.llm.jaccard_join import shingles
 
 SAMPLE_ROWS = 30_000
 STEMS = (4, 5, 6, 7, 8)
+CHANCE = 100
 TARGET_REACH, TARGET_FACTOR = 4, 1.5
 THREAT_REACH, THREAT_WEIGHT = 3, 1.0
 NEGATION_REACH, NEGATED, REPORTED = 5, 0.25, 0.5
@@ -204,11 +207,27 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(one), "id")
 
 
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """Of sampled rows whose texts share their smallest five-word shingle, as near copies mostly do, the one with the smallest id: a text
+    that was copied is one observation, not many."""
+
+    def go(part: pa.RecordBatch) -> dict:
+        w, off = shingles(part.column("text"))
+        least = np.zeros(part.num_rows, np.uint64)
+        full = np.diff(off) > 0
+        least[full] = w[off[:-1][full]]
+        return {c: part.column(c) for c in ("id", "text", "y")} | {"twin": pa.array(least.view(np.int64))}
+
+    kind = sample.schema["id"].dataType.simpleString()
+    tagged = map_chunks(sample, go, f"id {kind}, text string, y int, twin long")
+    return tagged.groupBy("twin").agg(F.min(F.struct("id", "text", "y")).alias("r")).select("r.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
     """Learn lexemes, their weights and the curve. All that reaches the driver comes from the bounded sample: counts of
     lexemes that at least 1 in 500 toxic rows hold, and which toxic rows hold them."""
     spark = docs.sparkSession
-    sample = cut(sample_labelled(docs, labels, key, text, label, rows))
+    sample = cut(one_of_copies(sample_labelled(docs, labels, key, text, label, rows)))
     total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad = total.get(1, 0)
     if not bad:
@@ -238,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     neg = map_chunks(sample.where("y = 0").select("text"), negative, "h long, n long", size=K.CHUNK // 2).groupBy("h").agg(F.sum("n").alias("neg"))
     cand = cand.merge(neg.toPandas(), on="h", how="left").fillna({"neg": 0}).sort_values("name", kind="stable").reset_index(drop=True)
-    cand = cand[cand["pos"] >= 3 * cand["neg"]].reset_index(drop=True)
+    cand = cand[(cand["pos"] >= 3 * cand["neg"]) & _beyond_chance(cand["pos"].to_numpy(), cand["neg"].to_numpy(), bad / sum(total.values()))].reset_index(drop=True)
     if cand.empty:
         return Model({})
     pure = np.sort(cand["h"].to_numpy().view(np.uint64))
@@ -255,6 +274,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return model
 
 
+def _beyond_chance(pos: np.ndarray, neg: np.ndarray, rate: float) -> np.ndarray:
+    """Whether so many toxic rows are no accident among as many lexemes: by Chernoff's bound, less than one in CHANCE of such a set would
+    hold even one lexeme like it, if rows were toxic at ``rate`` whatever they hold."""
+    n = pos + neg
+    q, rate = pos / n, min(max(rate, 1e-9), 1 - 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bits = q * np.log(q / rate) + np.where(q < 1, (1 - q) * np.log((1 - q) / (1 - rate)), 0.0)
+    return (q > rate) & (n * bits > np.log(CHANCE * len(pos)))
+
+
 def _whole(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cps, off = K.codepoints(part.column("text"))
     return cps, off[:-1], off[1:]

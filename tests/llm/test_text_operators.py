@@ -374,6 +374,18 @@ def test_toxicity_learns_and_generalises(spark):
     assert toxicity.keep_clean(df, model).count() == 500 and toxicity.keep_clean(df, model).columns == df.columns
 
 
+def test_words_of_one_copied_text_are_no_insults(spark):
+    rng = random.Random(8)
+    plain = ["sun", "river", "stone", "bread", "wind", "green", "walk", "table", "lamp", "road"]
+    say = lambda more="": " ".join(rng.choice(plain) for _ in range(30)) + more + "."
+    copied = say(" quibbel")
+    docs = [(i, say(" zorkle" if i % 6 == 0 else ""), int(i % 6 == 0)) for i in range(400)] + [(1000 + i, copied + (" sun" if i % 2 else ""), 1) for i in range(40)] + [(2000 + i, say(f" {w}"), 1) for i, w in enumerate(("alpha", "quern", "vexil", "moult", "jinks"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    assert {w.rstrip("*")[:4] for w in toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic")).words} == {"zork"}
+    assert toxicity._beyond_chance(np.array([40, 4, 4]), np.array([0, 0, 40]), 0.1).tolist() == [True, True, False]
+    assert not toxicity._beyond_chance(np.array([4] * 100_000), np.array([0] * 100_000), 0.1).any()
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 0), (5, 0), (6, None), (None, 1), (4, 0)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
