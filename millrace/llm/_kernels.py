@@ -96,6 +96,18 @@ def nonspace_mask() -> np.ndarray:
     return out
 
 
+@cache
+def _held(chars: str) -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+def among(cps: np.ndarray, chars: str) -> np.ndarray:
+    """Whether each code point is one of ``chars``."""
+    return _held(chars)[cps]
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of ``mask`` that don't cross a row: starts, ends, and the runs' offset per row."""
     n = len(mask)

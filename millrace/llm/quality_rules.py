@@ -33,10 +33,6 @@ SEPARATORS = "|/\\>»›•·"
 MIN_CONTEXTS, SHARE = 20, 1e-4
 
 
-def _has(cps: np.ndarray, letters: str) -> np.ndarray:
-    return np.isin(cps, np.frombuffer(letters.encode("utf-32-le"), np.uint32))
-
-
 def _upper() -> np.ndarray:
     return K.lower_map() != np.arange(len(K.lower_map()))
 
@@ -93,7 +89,7 @@ def measure(text: pa.Array, common: np.ndarray) -> dict:
     word = K.nonspace_mask()[cps]
     ws, we, words = K.runs(word, off)
     n_words = np.diff(words)
-    chars, symbols = _total(word), _has(cps, SYMBOLS)
+    chars, symbols = _total(word), K.among(cps, SYMBOLS)
 
     lines = _lines(word, cps, off, ws, we)
     ls, le, row, a, b = (lines[k] for k in ("s", "e", "row", "a", "b"))
@@ -118,9 +114,9 @@ def measure(text: pa.Array, common: np.ndarray) -> dict:
         t = _total(mask)
         return t[le] - t[ls]
 
-    lone = _total((we - ws == 1) & _has(cps[ws], SEPARATORS))
+    lone = _total((we - ws == 1) & K.among(cps[ws], SEPARATORS))
     seps = lone[b] - lone[a]
-    loud = per_line(symbols) + per_line(_has(cps, MARKS))
+    loud = per_line(symbols) + per_line(K.among(cps, MARKS))
     capital = 2 * per_line(_upper()[cps]) > per_line(K.letter_mask()[cps])
     punctuation = (n >= MIN_WORDS) & ((2 * loud > n) | capital)
     navigation = (seps >= 2) & (3 * seps >= n)

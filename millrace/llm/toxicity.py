@@ -393,14 +393,14 @@ class Scorer:
         s, e, _ = K.runs(K.word_mask()[cps], off)
         symbol, weight = self.symbols(K.lower_map()[cps], s, e)
         ends = np.zeros(len(cps) + 1, bool)  # a clause starts behind each end, and with each row
-        ends[1:] = np.isin(cps, np.frombuffer(ENDS.encode("utf-32-le"), np.uint32))
+        ends[1:] = K.among(cps, ENDS)
         ends[off] = True
         start = np.flatnonzero(ends)
         clause = np.cumsum(ends[:-1]) - 1
         live = np.isin(symbol, (SYMBOLS.index("insult"), SYMBOLS.index("verb")))
         asked = np.zeros(len(start) + 1, bool)
         asked[clause[s[live]]] = True
-        quote = np.flatnonzero(np.isin(cps, np.frombuffer(QUOTES.encode("utf-32-le"), np.uint32)))
+        quote = np.flatnonzero(K.among(cps, QUOTES))
         own, quote = np.flatnonzero(asked[clause[s]]), quote[asked[clause[quote]]]
         at = np.concatenate([s[own], quote])
         order = np.argsort(at, kind="stable")
