@@ -200,21 +200,24 @@ def encode_array(v: Vocabulary, text: pa.Array, seed: np.ndarray, alpha: float)
     part = np.repeat(first[:-1][of] - (np.cumsum(each) - each), each) + np.arange(each.sum())
     key, begin, place = seed[row[word]], start[part], (s - off[row])[word] + start[part] - laid[:-1][of[word]]
     got, count, k = [], np.zeros(len(part), np.int64), size[part]
-    occ = np.arange(len(part))
-    while len(occ):
-        here = begin[occ] + k[occ] - 1
-        u = _draw(key[occ], (place + k)[occ])
-        n = np.minimum((upto[here] <= u[:, None]).sum(axis=1), np.minimum(v.reach, k[occ]) - 1)
-        ids = piece[here, n].astype(np.int64)
-        bare = ids == FALLBACK
-        ids[bare] = -chars[here[bare]].astype(np.int64) - 1
-        got.append((occ, ids))
-        count[occ] += 1
-        k[occ] -= n + 1
-        occ = occ[k[occ] > 0]
+    left = k.copy()
+    for low, high in ((0, 4), (4, 8), (8, len(chars))):  # short parts ask for few lengths
+        occ, reach, j = np.flatnonzero((k > low) & (k <= high)), min(v.reach, high), 0
+        while len(occ):
+            at = left[occ]
+            here = begin[occ] + at - 1
+            n = np.minimum((upto[here, :reach] <= _draw(key[occ], place[occ] + at)[:, None]).sum(axis=1), np.minimum(v.reach, at) - 1)
+            ids = piece[here, n].astype(np.int64)
+            bare = ids == FALLBACK
+            ids[bare] = -chars[here[bare]].astype(np.int64) - 1
+            got.append((j, occ, ids))
+            count[occ] += 1
+            j += 1
+            left[occ] -= n + 1
+            occ = occ[left[occ] > 0]
     end = np.cumsum(count)
     out = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
-    for j, (o, ids) in enumerate(got):
+    for j, o, ids in got:
         out[end[o] - 1 - j] = ids
     per = np.concatenate([[0], end])[np.searchsorted(np.searchsorted(off, s, "right")[word] - 1, np.arange(len(off)))]
     return _spell(v, out, per)
