@@ -226,7 +226,7 @@ def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str =
     text; after the last comes the first.
 
     One shuffle of the texts. A sample of about RANGES * SAMPLED rows at most, drawn by hash, gives the places that cut the order into
-    ranges, many more than the tasks. They are places of rows, so it is known which row leads a range: it is sent to the range before it
+    ranges, several for each task and dealt to them in turn. They are places of rows, so it is known which row leads a range: it is sent to the range before it
     as well. Rows of one key are cut by their texts' hashes; only rows alike in key and text share a range whatever their number.
     """
     spark = docs.sparkSession
@@ -254,7 +254,7 @@ def with_next(docs: DataFrame, fn, schema: str, key: str = "doc_id", text: str =
     tagged = rows.withColumn("r", ranged("key", "tie"))
     before = F.pmod(F.col("r.p") - 1, F.lit(len(cuts) + 1))
     both = tagged.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("r.p").alias("p"), F.lit(0).alias("after")), F.when(F.col("r.leads"), F.struct(before.alias("p"), F.lit(1).alias("after")))))))
-    dealt = both.select("to.p", "to.after", "key", "tie", "text").repartition("p").sortWithinPartitions("p", "after", F.desc_nulls_last("key"), F.desc("tie"))
+    dealt = both.select("to.p", "to.after", "key", "tie", "text").repartitionById(parts(spark), F.col("p") % parts(spark)).sortWithinPartitions("p", "after", F.desc_nulls_last("key"), F.desc("tie"))
     names = dealt.columns
 
     def go(batches):
