@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, filter_audit, fingerprints, jaccard_join, mixing, perplexity, piece_codec, quality_rules, substring_dedup
+from millrace.llm import chat_format, filter_audit, fingerprints, jaccard_join, mixing, perplexity, phrases, piece_codec, quality_rules, substring_dedup
 from millrace.llm.language_id import op2_language_id
 from millrace.llm.toxicity import op10_toxicity
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_toxicity": op10_toxicity,
     "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_phrases": phrases.ORACLE_SQL,
 }
