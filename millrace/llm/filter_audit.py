@@ -25,6 +25,7 @@ from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm._spark import table
 
@@ -55,8 +56,7 @@ def mask_counts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     rows = rows.withColumn("k", F.coalesce(F.col("key").cast("string"), F.concat(F.lit("null "), "digest"))).join(flags, "k", "left")
     no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     texts = rows.groupBy("digest", "part", "m", no("good"), no("toxic")).agg(F.sum("n").alias("n"), F.min("key").alias("low"), F.min_by("n", "key").alias("n_low"), F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("n_null"))
-    first = texts.groupBy("digest").agg(F.min("low").alias("first"))
-    held = texts.join(first, "digest")
+    held = texts.withColumn("first", F.min("low").over(Window.partitionBy("digest")))  # a text has a few rows by now: one a part and label
     original = F.col("n_null") + F.when(F.col("low") == F.col("first"), F.col("n_low")).otherwise(0)
     both = F.explode(F.array(F.struct(F.col("m").alias("mask"), original.alias("n")), F.struct((F.col("m") + 16).alias("mask"), (F.col("n") - original).alias("n")))).alias("e")
     return held.select("part", "good", "toxic", both).where("e.n > 0").groupBy("part", "good", "toxic", "e.mask").agg(F.sum("e.n").alias("n"))
