@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, filter_audit, fingerprints, jaccard_join, mixing, perplexity, phrases, piece_codec, quality_rules, substring_dedup
+from millrace.llm import chat_format, filter_audit, fingerprints, jaccard_join, mixing, perplexity, phrases, piece_codec, pii, quality_rules, substring_dedup
 from millrace.llm.language_id import op2_language_id
 from millrace.llm.toxicity import op10_toxicity
 
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_phrases": phrases.op13_phrases,
 }
