@@ -39,7 +39,7 @@ from millrace.llm._spark import cut, map_chunks, table
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BITS = 1 << 26
-SLICE = 4 << 20
+SLICE = 2 << 20
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _U = np.uint64
 
