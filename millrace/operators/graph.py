@@ -1,16 +1,20 @@
 """Graphs as tables: nodes(id), edges(src, dst). Ranks are kept for nodes that have any, as (source, id, rank).
 
-Each iteration is one equi-join of ranks with edges and aggregates with map-side combining; a hub's incoming mass is summed before it
-is shuffled. State is written to the shared checkpoint folder after every iteration.
+Iterations run over a layout on storage (``layout``): edges lie bucketed and sorted by source and stay there; a round reads them beside the
+ranks, which lie alike, and shuffles only the sums that arrive at each node, combined in every task before. What a round loses and how many
+messages it sends is counted while its rows are written, and told to the next round as a number; no further job is run for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.plans.lineage import cut
+from millrace.operators import layout as L
+from millrace.plans.lineage import commit, cut, fresh_path, remove, settings
 
 ALPHA = 0.15
 SALTS = 8
@@ -30,10 +34,15 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def message_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row on the messages of an iteration in which every node has rank: mass_messages (one an edge), mass_messages_received
-    (nodes some arrive at), missing_structure (destinations without a record, whose mass is lost and returns to the sources)."""
-    to = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"))
-    held = to.join(nodes.select("id", F.lit(1).alias("here")).distinct(), "id", "left")
-    return held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mass_messages"), F.count("here").alias("mass_messages_received"), F.count(F.when(F.col("here").isNull(), 1)).alias("missing_structure"))
+    (nodes some arrive at), missing_structure (destinations without a record, whose mass is lost and returns to the sources).
+    They are counted by a round of ``pagerank`` as it runs."""
+    at = L.store(nodes, edges, fresh_path(nodes.sparkSession, "graph"))
+    try:
+        facts = next(_uniform(at, ALPHA, None))
+    finally:
+        at.close(delete=True)
+    names = ("mass_messages", "mass_messages_received", "missing_structure")
+    return nodes.sparkSession.createDataFrame([tuple(facts[k] for k in names)], ", ".join(f"{k} long" for k in names))
 
 
 def one_record_each(nodes: DataFrame) -> DataFrame:
@@ -56,29 +65,92 @@ def initial_ranks(nodes: DataFrame, sources: list[int]) -> DataFrame:
     return nodes.crossJoin(F.broadcast(of)).select("source", "id", F.when(F.col("id") == F.col("source"), 1.0).otherwise(0.0).alias("rank"))  # times the number of sources named
 
 
-def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA, start: DataFrame | None = None, tolerance: float | None = None) -> DataFrame:
+def _round(at: L.Layout, number: int, came: DataFrame, columns: list[str], facts: dict, durable: bool) -> dict:
+    """Write a round's state, count it meanwhile, and commit it if it is to outlive the run; returns the facts of the round."""
+    held = came.select("id", "deg", *columns, "n")
+    seen = Observation()
+    counted = held.observe(seen, *[c.alias(k) for k, c in L.counters(columns).items()]).where("deg IS NOT NULL").select("id", "deg", *columns)
+    at.write(counted, f"state-{number}", "id")
+    got = facts | {"round": number, "schema": at.schemas[f"state-{number}"]} | {k: v or 0 for k, v in seen.get.items()}
+    if durable:
+        commit(at.spark, f"{at.path}/round-{number}", got)
+    return got
+
+
+def _state(at: L.Layout, facts: dict) -> DataFrame:
+    name = f"state-{facts['round']}"
+    at.schemas[name] = facts["schema"]
+    return at.read(name)
+
+
+def _columns(sources: list[int]) -> list[str]:
+    return [f"m{i}" for i in range(len(sources))]
+
+
+def _ranks_of(at: L.Layout, facts: dict) -> DataFrame:
+    """(id, deg, m0, m1, ..): ranks by source, out of what arrived: ``alpha`` and all that was lost is added at the source itself."""
+    alpha = facts["alpha"]
+    if facts["round"] < 0:
+        return _state(at, facts)
+    return _state(at, facts).select("id", "deg", *[((1 - alpha) * F.col(c) + F.when(F.col("id") == s, alpha + (1 - alpha) * max(0.0, 1 - facts[f"mass_{c}"])).otherwise(0.0)).alias(c) for c, s in zip(_columns(facts["sources"]), facts["sources"], strict=True)])
+
+
+def _long(ranks: DataFrame, sources: list[int]) -> DataFrame:
+    """(source, id, rank) of (id, m0, m1, ..), where there is any rank."""
+    each = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("source"), F.col(c).alias("rank")) for s, c in zip(sources, _columns(sources), strict=True)])).alias("e")
+    return ranks.select("id", each).select("e.source", "id", "e.rank").where("rank > 0")
+
+
+def personalized_rounds(at: L.Layout, sources: list[int], alpha: float = ALPHA, start: DataFrame | None = None, done: dict | None = None, durable: bool = True) -> Iterator[dict]:
+    """The facts of one round after the other, without end: state's schema, mass that arrived for each source, counters.
+    ``done``: the facts of the round to go on from."""
+    spark, columns = at.spark, _columns(sources)
+    zeros = spark.createDataFrame([(s, *([0.0] * len(columns))) for s in sources], ", ".join(["id long", *[f"{c} double" for c in columns]]))
+    facts = done or {"round": -1, "sources": list(sources), "alpha": alpha}
+    while True:
+        if facts["round"] >= 0:
+            ranks = _ranks_of(at, facts)
+        else:
+            first = spark.createDataFrame([(s, *[float(s == t) for t in sources]) for s in sources], zeros.schema) if start is None else start.groupBy("id").agg(*[F.sum(F.when(F.col("source") == s, F.col("rank")).otherwise(0.0)).alias(c) for s, c in zip(sources, columns, strict=True)])
+            ranks = first.join(at.nodes, "id").select("id", "deg", *columns)
+        with settings(spark, at.settings()):
+            came = L.step(at, ranks, columns, also=zeros)
+            facts = _round(at, facts["round"] + 1, came, columns, {"sources": list(sources), "alpha": alpha}, durable)
+        yield facts
+
+
+def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int], iterations: int, alpha: float = ALPHA, start: DataFrame | None = None, tolerance: float | None = None, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """(source, id, rank) of nodes with any rank after a number of iterations, for all sources at once; fewer, if no source's
     ranks change by more than ``tolerance`` in all.
 
     A node hands its rank to its out-edges in equal parts. What doesn't arrive, from nodes without out-edges or at
-    nodes without a record, returns to the source, which also gets ``alpha``. start: ranks to resume from.
+    nodes without a record, returns to the source, which also gets ``alpha``. start: ranks to begin from.
+
+    path: where layout and rounds are kept. A run that broke off goes on after its last committed round, and one that is to have more rounds
+    than are there adds those; sources and alpha must be those of the rounds that are there. Without it all of it goes once the ranks are written.
     """
-    out = cut(with_degree(edges))
-    known = cut(nodes.select("id").distinct())
-    of = _sources(known, sources)
-    ranks = start if start is not None else of.select("source", F.col("source").alias("id"), F.lit(1.0).alias("rank"))
-    for _ in range(iterations):
-        sent = ranks.join(out, ranks["id"] == out["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
-        came = sent.join(known, "id", "left_semi").select("source", "id", "m")  # used twice below; its shuffle is reused within the one job
-        mass = of.join(came.groupBy("source").agg(F.sum("m").alias("all")), "source", "left")
-        back = mass.select("source", F.col("source").alias("id"), (alpha + (1 - alpha) * F.greatest(F.lit(0.0), 1 - F.coalesce("all", F.lit(0.0)))).alias("rank"))
-        moved = came.select("source", "id", ((1 - alpha) * F.col("m")).alias("rank"))
-        new = cut(moved.unionByName(back).groupBy("source", "id").agg(F.sum("rank").alias("rank")))
-        done = tolerance is not None and _largest_change(ranks, new) <= tolerance
-        ranks = new
-        if done:
-            break
-    return ranks
+    spark = nodes.sparkSession
+    keep = path is not None
+    path = path or fresh_path(spark, "graph")
+    at = L.open_layout(spark, path) if L.stored(spark, path) else L.store(nodes, edges, path, buckets)
+    try:
+        _sources(at.nodes, sources)
+        done = L.last_round(at)
+        if done and (done["sources"] != list(sources) or done["alpha"] != alpha):
+            raise ValueError(f"{path} holds rounds of other sources or another alpha")
+        facts, before = done or {"round": -1, "sources": list(sources), "alpha": alpha}, None
+        rounds = personalized_rounds(at, sources, alpha, start, done, keep)
+        while facts["round"] + 1 < iterations:
+            before, facts = facts, next(rounds)
+            if tolerance is not None and before["round"] >= 0 and _largest_change(_long(_ranks_of(at, before), sources), _long(_ranks_of(at, facts), sources)) <= tolerance:
+                break
+            if not keep and before["round"] >= 0:
+                remove(spark, f"{at.path}/state-{before['round']}")
+        if facts["round"] < 0:
+            return start if start is not None else spark.createDataFrame([(s, s, 1.0) for s in sources], "source long, id long, rank double")
+        return cut(_long(_ranks_of(at, facts), sources))
+    finally:
+        at.close(delete=not keep)
 
 
 def _largest_change(old: DataFrame, new: DataFrame) -> float:
@@ -88,24 +160,47 @@ def _largest_change(old: DataFrame, new: DataFrame) -> float:
     return each.agg(F.max("d")).first()[0] or 0.0
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, alpha: float = ALPHA, tolerance: float | None = None) -> DataFrame:
+def _uniform(at: L.Layout, alpha: float, done: dict | None, durable: bool = False) -> Iterator[dict]:
+    """As personalized_rounds, with a uniform jump."""
+    facts = done
+    while True:
+        ranks = at.nodes.withColumn("m0", F.lit(1.0 / max(at.n_nodes, 1))) if facts is None else _uniform_ranks(at, facts)
+        with settings(at.spark, at.settings()):
+            came = L.step(at, ranks, ["m0"], keep_all=True)
+            facts = _round(at, 0 if facts is None else facts["round"] + 1, came, ["m0"], {"alpha": alpha, "sources": None}, durable)
+        yield facts
+
+
+def _uniform_ranks(at: L.Layout, facts: dict) -> DataFrame:
+    n, alpha = max(at.n_nodes, 1), facts["alpha"]
+    return _state(at, facts).select("id", "deg", (alpha / n + (1 - alpha) * (F.col("m0") + max(0.0, 1 - facts["mass_m0"]) / n)).alias("m0"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, alpha: float = ALPHA, tolerance: float | None = None, path: str | None = None, buckets: int | None = None) -> DataFrame:
     """(id, rank) with a uniform jump; rank of nodes without out-edges is spread evenly. Stops early once the ranks' total change is
-    at most ``tolerance``, if given."""
-    out = cut(with_degree(edges))
-    known = cut(nodes.select("id").distinct())
-    n = known.count()
-    ranks = known.select("id", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for _ in range(iterations):
-        sent = ranks.join(out, ranks["id"] == out["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("m"))
-        came = known.join(sent, "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("m"))
-        lost = F.greatest(F.lit(0.0), 1 - F.sum("m"))
-        even = came.agg((lost / max(n, 1)).alias("even"))
-        new = cut(came.crossJoin(F.broadcast(even)).select("id", (alpha / max(n, 1) + (1 - alpha) * (F.col("m") + F.col("even"))).alias("rank")))  # one row
-        done = tolerance is not None and new.join(ranks.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] <= tolerance
-        ranks = new
-        if done:
-            break
-    return ranks
+    at most ``tolerance``, if given. path: as for personalized_pagerank."""
+    spark = nodes.sparkSession
+    keep = path is not None
+    path = path or fresh_path(spark, "graph")
+    at = L.open_layout(spark, path) if L.stored(spark, path) else L.store(nodes, edges, path, buckets)
+    try:
+        facts = L.last_round(at)
+        if facts and (facts["sources"] is not None or facts["alpha"] != alpha):
+            raise ValueError(f"{path} holds rounds of another kind")
+        rounds = _uniform(at, alpha, facts, keep)
+        while (facts["round"] if facts else -1) + 1 < iterations:
+            before, facts = facts, next(rounds)
+            if before and tolerance is not None:
+                old = _uniform_ranks(at, before).select("id", F.col("m0").alias("old"))
+                if (_uniform_ranks(at, facts).join(old, "id").agg(F.sum(F.abs(F.col("m0") - F.col("old")))).first()[0] or 0.0) <= tolerance:
+                    break
+            if before and not keep:
+                remove(spark, f"{at.path}/state-{before['round']}")
+        if facts is None:
+            return cut(at.nodes.select("id", F.lit(1.0 / max(at.n_nodes, 1)).alias("rank")))
+        return cut(_uniform_ranks(at, facts).select("id", F.col("m0").alias("rank")))
+    finally:
+        at.close(delete=not keep)
 
 
 def listing(ranks: DataFrame, log: bool = False) -> DataFrame:
@@ -142,21 +237,31 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 6
     """(id, root) for every vertex of ``edges``, direction ignored: root is the smallest id of its component.
 
     Labels spread by minimum over neighbours and then jump to their label's label, so the number of rounds follows
-    the logarithm of the longest path. A hub of any degree is summed before it is shuffled; the members of one label are dealt
-    over SALTS keys to look it up.
+    the logarithm of the longest path. Edges lie in a layout, both ways, and stay there; labels lie beside them. A hub of any degree is
+    summed before it is shuffled; the members of one label are dealt over SALTS keys to look it up. Whether any label has changed is
+    counted while they are written.
     """
-    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("id"), "root"))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        step = cut(label.join(near.withColumnRenamed("a", "id"), "id").select("id", "root", F.least("root", "m").alias("m")))
-        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-        wanted = step.groupBy(F.col("m").alias("id")).agg(F.count("*").alias("n"))  # summed before it is shuffled, which a semi-join would undo
-        jump = step.join(wanted, "id").select(F.col("id").alias("m"), F.col("m").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        new = cut(step.withColumn("salt", salt).join(jump, ["m", "salt"], "left").select("id", F.col("root").alias("old"), F.least("m", F.coalesce("far", "m")).alias("root")))
-        changed = new.where("old <> root").limit(1).count()
-        label = new.select("id", "root")
-        if not changed:
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    spark = edges.sparkSession
+    there = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    there = there.union(there.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    at = L.store(there.select(F.col("src").alias("id")), there, fresh_path(spark, "components"))
+    try:
+        label, salt = at.nodes.withColumn("root", F.col("id")), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        for k in range(rounds):
+            with settings(spark, at.settings()):
+                near = L.meet(at, label).groupBy(F.col("dst").alias("id")).agg(F.min("root").alias("m"))
+                at.write(label.join(near, "id").select("id", "deg", "root", F.least("root", "m").alias("m")), "step", "id")
+                step = at.read("step")
+                wanted = step.groupBy(F.col("m").alias("id")).agg(F.count("*").alias("n"))  # summed before it is shuffled, which a semi-join would undo
+                jump = step.join(wanted, "id").select(F.col("id").alias("m"), F.col("m").alias("far"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+                new = step.withColumn("salt", salt).join(jump, ["m", "salt"], "left").select("id", "deg", "root", F.least("m", F.coalesce("far", "m")).alias("new"))
+                seen = Observation()
+                new = new.observe(seen, F.count(F.when(F.col("root") != F.col("new"), 1)).alias("changed"))
+                at.write(new.select("id", "deg", F.col("new").alias("root")), f"label-{k}", "id")
+            label = at.read(f"label-{k}")
+            if not seen.get["changed"]:
+                return cut(label.select("id", "root"))
+            remove(spark, f"{at.path}/label-{k - 1}")
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    finally:
+        at.close(delete=True)
