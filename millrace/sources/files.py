@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import lines
+from millrace.sources.offsets import RANGE, read_lines
 
 #: Positions and types of the columns that the queries use, in '|'-separated table files.
 TBL = {
@@ -21,22 +22,14 @@ TBL = {
 }
 
 
-def plain(path: str) -> str:
-    """``path``, unless it names a gzip file, whose lines can't be found by offset."""
-    if path.rstrip("/").endswith(".gz"):
-        raise ValueError(f"a compressed collection can't be read by offset: {path}")
-    return path
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(line): one row per line."""
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def read_collection(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, offset, line) of a plain collection: the byte at which each line starts in its file. Files are read whole, one a row."""
-    whole = spark.read.text(plain(path), wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    return with_offsets(whole, "file")
+def read_collection(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """(file, offset, line) of a plain collection: the byte at which each line starts in its file. Ranges of files are read side by side."""
+    return read_lines(spark, path, range_bytes)
 
 
 def strict(field: Column, kind: str) -> Column:
