@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import stripes as S
 
 TOTAL = "*"
 
@@ -38,51 +39,38 @@ def line_counts(lines: DataFrame, line: str = "line") -> DataFrame:
     return line_frequency(lines, line).unionByName(line_total(lines))
 
 
-def _pairs(lines: DataFrame, line: str) -> DataFrame:
-    """(x, y, n), x < y: lines that hold two words, by the words' 64-bit hashes: pairs of numbers take half the time of pairs of words."""
-    t = _sets(lines, line).select(F.array_sort(F.transform("t", lambda w: F.xxhash64(w))).alias("t"))
-    left = t.select(F.posexplode_outer("t").alias("i", "x"), "t").select("x", F.slice("t", F.col("i") + 2, F.size("t")).alias("after"))
-    return T.each(left, F.col("after"), "y", "x").groupBy("x", "y").agg(F.count("*").alias("n"))
-
-
-def _named(single: DataFrame) -> DataFrame:
-    """(id, word, n) of (word, n); two words of one hash fail the query."""
-    one = single.groupBy(F.xxhash64("word").alias("id")).agg(F.min("word").alias("word"), F.max("word").alias("other"), F.max("n").alias("n"))
-    return one.select("id", F.when(F.col("word") == F.col("other"), F.col("word")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("one hash for"), "word", "other"))).alias("word"), "n")
-
-
-def _with_words(pairs: DataFrame, named: DataFrame, how: str = "inner") -> DataFrame:
-    """Pairs of hashes as (x, nx, y, ny, n)."""
-    x = named.select(F.col("id").alias("x"), F.col("word").alias("wx"), F.col("n").alias("nx"))
-    y = named.select(F.col("id").alias("y"), F.col("word").alias("wy"), F.col("n").alias("ny"))
-    return pairs.join(x, "x", how).join(y, "y", how).select(F.col("wx").alias("x"), "nx", F.col("wy").alias("y"), "ny", "n")
+def _with_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs of numbers as (x, nx, y, ny, n)."""
+    x = words.select(F.col("id").alias("x"), F.col("word").alias("wx"), F.col("n").alias("nx"))
+    y = words.select(F.col("id").alias("y"), F.col("word").alias("wy"), F.col("n").alias("ny"))
+    return pairs.join(x, "x").join(y, "y").select(F.col("wx").alias("x"), "nx", F.col("wy").alias("y"), "ny", "n")
 
 
 def cooccurrence(lines: DataFrame, line: str = "line", min_count: int = 1) -> DataFrame:
     """(x, y, n) for x < y: lines that hold both, of pairs that share min_count lines or more. The other order has the same count and
     is added where it is asked for."""
-    named = _named(line_frequency(lines, line))
-    got = _with_words(_pairs(lines, line).where(F.col("n") >= min_count), named)
-    return got.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "n")
+    words = S.numbered(line_frequency(lines, line))
+    once = S.pairs_of(S.stripes(S.lines_of_ids(lines, words, line)), min_count).where("x < y")
+    return _with_words(once, words).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "n")
 
 
 def pmi_pairs(lines: DataFrame, line: str = "line", frequencies: DataFrame | None = None, min_count: int = 1) -> DataFrame:
     """(x, y, n, pmi) for both orders of every pair of words that share a line: log10 of n * lines / (n(x) * n(y)).
 
-    frequencies: line_counts of the same lines, if they were kept; a word of the pairs that isn't in it fails the query.
+    frequencies: line_counts of the same lines, if they were kept; a word of the lines that isn't in it fails the query.
     min_count: pairs that share fewer lines are left out.
     """
     freq = line_counts(lines, line) if frequencies is None else frequencies
-    single = _named(freq.where(F.col("word") != TOTAL))
+    words = S.numbered(freq.where(F.col("word") != TOTAL))
     total = freq.where(F.col("word") == TOTAL).agg(F.max("n").alias("total_lines"))
-    pairs = _pairs(lines, line).where(F.col("n") >= min_count)
-    got = _with_words(pairs, single, "inner" if frequencies is None else "left")
-    if frequencies is not None:
-        held = lambda c, kind: F.coalesce(c, F.raise_error(F.lit("a word of the lines has no line frequency")).cast(kind)).alias(c)
-        got = got.select(held("x", "string"), held("nx", "long"), held("y", "string"), held("ny", "long"), "n")
-    scored = got.crossJoin(F.broadcast(total)).select("x", "y", "n", F.log10(F.col("n") * F.col("total_lines") / (F.col("nx") * F.col("ny"))).alias("pmi"))  # one row
-    both = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")
-    return scored.select(both, "n", "pmi").select("p.x", "p.y", "n", "pmi")
+    got = _with_words(S.pairs_of(S.stripes(S.lines_of_ids(lines, words, line)), min_count), words)
+    return got.crossJoin(F.broadcast(total)).select("x", "y", "n", F.log10(F.col("n") * F.col("total_lines") / (F.col("nx") * F.col("ny"))).alias("pmi"))  # one row
+
+
+def pmi_profile(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(x, partners, together, highest, lowest): each word's stripe of all its partners, summed up."""
+    words = S.numbered(line_frequency(lines, line))
+    return S.profile(S.stripes(S.lines_of_ids(lines, words, line)), words, lines.count())
 
 
 def pmi_stripes(pairs: DataFrame) -> DataFrame:

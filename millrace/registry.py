@@ -106,7 +106,7 @@ register(
 )
 register(
     "pmi_profile",
-    _lines("documents", "doc_id", lambda l: C.pmi_pairs(l).groupBy("x").agg(F.count("*").alias("partners"), F.sum("n").alias("together"), F.round(F.max("pmi"), 6).alias("highest"), F.round(F.min("pmi"), 6).alias("lowest"))),
+    _lines("documents", "doc_id", lambda l: C.pmi_profile(l).withColumns({c: F.round(c, 6) for c in ("highest", "lowest")})),
     f"WITH {_sql_sets('documents', 'doc_id')}, {_FREQ}, {_PAIRS} SELECT x, count(*) AS partners, sum(n)::BIGINT AS together, round(max(pmi), 6) AS highest, round(min(pmi), 6) AS lowest FROM pmi GROUP BY 1",
 )
 _BIG = f"{_sql_lines('documents', 'doc_id')}, t AS (SELECT {_tok('line')} AS t FROM l), g AS (SELECT t[i] AS w1, t[i + 1] AS w2 FROM (SELECT t, unnest(range(1, len(t))) AS i FROM t)), b AS (SELECT w1, w2, count(*) AS n FROM g GROUP BY 1, 2), m AS (SELECT w1, sum(n)::BIGINT AS total FROM b GROUP BY 1)"
