@@ -4,16 +4,16 @@ Texts are lower-cased (A to Z), cut into pieces at ``.,;:!?`` and line ends, and
 phrases of two to five words that a language holds LEAST times or more. They are grown from the left, as in PrefixSpan, and each
 length only over what the length before has left alive:
 
-* Roots: words, and digests of pairs of words, are counted as Spark aggregates: each slice of texts sums up its own before they are
-  shuffled, so a pair of any frequency is one row a slice. Digests of LEAST occurrences or more hold every frequent pair.
-* Projection: the occurrences of these pairs are pointers into a slice's array of words. A pointer goes on to the right while the next
-  pair is held too, up to five words; pointers with equal words to their right are one row with a count. These rows go to the task of
-  their prefix of three words, and the sums of the pairs themselves to the task of the pair.
+* Roots: words and pairs of words are counted as Spark aggregates: each slice of texts sums up its own, and each task its slices', before
+  they are shuffled, so a pair of any frequency is one row a task.
+* Projection: the occurrences of frequent pairs are pointers into a slice's array of words. A pointer whose next pair is frequent too
+  goes on to the right, up to five words; pointers with equal words to their right are one row with a count. These rows go to the task of
+  their prefix of three words.
 * Growth: a task has its prefixes' rows in order, and so every prefix's pointers side by side. It descends depth first: an interval is
   cut where the next word changes, each frequent part is a phrase, and is cut again. An interval that goes on in the next batch leaves behind
-  only its sum, so a prefix of any number of rows is never held. Words, not digests, are compared and summed.
+  only its sum, so a prefix of any number of rows is never held.
 
-Which digests are held is told to the slices by a bitmap of BITS bits, whatever the table's size. It may let a rare pair
+Which pairs are frequent is told to the slices by a bitmap of BITS bits, whatever the table's size. It may let a rare pair
 pass, never loses a frequent one, and the sums decide; filled up by an endless number of pairs it would only let more rows pass.
 
 A candidate is scored at its weakest cut (``scored``), goes if a longer one stands at all its places (a longer candidate with its count
@@ -39,7 +39,7 @@ from millrace.llm._spark import cut, map_chunks, table
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BITS = 1 << 26
-SLICE = 2 << 20
+SLICE = 1 << 20
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _U = np.uint64
 
@@ -121,49 +121,49 @@ class Known:
         return (self.words[bit >> _U(6)] >> (bit & _U(63))) & _U(1) == 1
 
 
-def known(digests: DataFrame, column: str = "h") -> Known:
-    """The bitmap of a column of digests, put together by Spark: at most BITS / 64 numbers reach the driver."""
-    bit = F.col(column).bitwiseAND(BITS - 1)
-    got = digests.groupBy(F.shiftright(bit, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")).alias("bits")).toArrow()
+def known(pairs: DataFrame) -> Known:
+    """The bitmap of (lang, phrase) rows of two words, put together by Spark: at most BITS / 64 numbers reach the driver."""
+
+    def go(part: pa.RecordBatch) -> dict:
+        bit = Words(part.column("phrase"), part.column("lang")).pairs() & _U(BITS - 1)
+        return {"i": pa.array((bit >> _U(6)).view(np.int64)), "bits": pa.array((_U(1) << (bit & _U(63))).view(np.int64))}
+
+    got = map_chunks(pairs.select("lang", "phrase"), go, "i long, bits long", "phrase").groupBy("i").agg(F.bit_or("bits").alias("bits")).toArrow()
     return Known(got.column("i").to_numpy(), got.column("bits").to_numpy().view(_U))
 
 
 def roots_of(w: Words) -> dict:
-    """A slice's words, the number of words of each language (phrase null), and the digests of its pairs (lang null too)."""
-    got = w.rows(np.arange(len(w.h)), 1, w.h)
+    """A slice's words and pairs, and the number of words of each language (phrase null)."""
     row, n = np.unique(w.row, return_counts=True)
-    h, m = np.unique(w.pairs(), return_counts=True)
-    none = lambda k, kind: pa.nulls(k, kind)
-    return {
-        "lang": pa.concat_arrays([got["lang"], w.lang.take(pa.array(row)), none(len(h), pa.string())]),
-        "phrase": pa.concat_arrays([got["phrase"], none(len(row) + len(h), pa.string())]),
-        "h": pa.concat_arrays([none(len(got["n"]) + len(row), pa.int64()), pa.array(h.view(np.int64))]),
-        "n": pa.concat_arrays([got["n"], pa.array(n), pa.array(m)]),
-    }
+    total = {"lang": w.lang.take(pa.array(row)), "phrase": pa.nulls(len(row), pa.string()), "n": pa.array(n)}
+    return joined(w.rows(np.arange(len(w.h)), 1, w.h), w.rows(np.flatnonzero(w.next), 2, w.pairs()), total)
 
 
 def paths_of(w: Words, held: Known, longest: int = LONGEST) -> dict:
-    """A slice's projection: held pairs, and, at every held pair that another follows, the words to the right as far as pairs are held."""
+    """A slice's projection: at every held pair that another follows, the words to the right as far as pairs are held."""
     n = len(w.h)
     alive = np.zeros(n + longest, bool)
-    at = np.flatnonzero(w.next)
-    h = w.pairs()
-    hit = held(h)
-    alive[at[hit]] = True
-    pairs = w.rows(at[hit], 2, h[hit])
+    alive[np.flatnonzero(w.next)[held(w.pairs())]] = True
     at = np.flatnonzero(alive[:n] & alive[1 : n + 1])
     size, key, going = np.full(len(at), 3), _pair(_pair(w.h[at], w.h[at + 1]), w.h[at + 2]), np.ones(len(at), bool)
     for k in range(3, longest):
         going &= alive[at + k - 1]
         key[going] = _pair(key[going], w.h[at[going] + k])
         size[going] = k + 1
-    paths = w.rows(at, size, key)
-    return {k: pa.concat_arrays([pairs[k], paths[k]]) for k in pairs}
+    return w.rows(at, size, key)
+
+
+def joined(*parts: dict) -> dict:
+    return {k: pa.concat_arrays([p[k] for p in parts]) for k in parts[0]}
+
+
+def _counted(docs: DataFrame, fn) -> DataFrame:
+    """(lang, phrase, n) by slices."""
+    return map_chunks(docs, lambda part: fn(Words(part.column("text"), part.column("lang"))), "lang string, phrase string, n long", size=SLICE)
 
 
 def grow(batches: Iterator[pa.RecordBatch], least: int, longest: int = LONGEST) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n) of the phrases that occur ``least`` times, from rows (lang, w1 .. w5, n) in order: of two words from rows of two,
-    of more from the rows of three or more that begin with them."""
+    """(lang, phrase, n) of the phrases of three words or more that occur ``least`` times, from rows (lang, w1 .. w5, n) in order."""
     names = ["lang", *(f"w{i}" for i in range(1, longest + 1))]
     open_: dict[int, tuple[tuple, int]] = {}  # by depth, the interval that the last batch ended in: its words and its sum
 
@@ -180,7 +180,7 @@ def grow(batches: Iterator[pa.RecordBatch], least: int, longest: int = LONGEST)
         path = lambda i, d: tuple(c[i].as_py() for c in columns[: d + 1])
         before, open_, found = open_, {}, []
         for d, (words, n) in sorted(before.items()):  # intervals that don't go on in this batch are done
-            if path(0, d) != words or (d == 2) != (codes[3][0] < 0):
+            if path(0, d) != words:
                 if n >= least:
                     found.append((words, n))
                 del before[d]
@@ -199,16 +199,16 @@ def grow(batches: Iterator[pa.RecordBatch], least: int, longest: int = LONGEST)
                     open_[d] = (path(s, d), c)
                 elif c >= least:
                     found.append((path(s, d), c))
-                if 2 < d < longest:
+                if d < longest:
                     extend(s, e, d + 1)
 
         head = np.zeros(batch.num_rows, bool)
         head[0] = True
-        for c in codes[:4]:
+        for c in codes[:3]:
             head[1:] |= c[1:] != c[:-1]
         starts = np.flatnonzero(head)
         for a, b in zip(starts.tolist(), np.append(starts[1:], batch.num_rows).tolist(), strict=True):
-            extend(a, b, 3 if codes[3][a] >= 0 else 2)
+            extend(a, b, 3)
         if found:
             yield batch_of(found)
     if rest := [x for x in open_.values() if x[1] >= least]:
@@ -218,15 +218,15 @@ def grow(batches: Iterator[pa.RecordBatch], least: int, longest: int = LONGEST)
 def candidates(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of frequent phrases of one word or more, and (lang, n) of all words."""
     docs = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    roots = map_chunks(docs, lambda part: roots_of(Words(part.column("text"), part.column("lang"))), "lang string, phrase string, h long, n long", size=SLICE)
-    roots = cut(roots.groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n")).where("n >= %d OR (phrase IS NULL AND lang IS NOT NULL)" % least))
-    held = docs.sparkSession.sparkContext.broadcast(known(roots.where("h IS NOT NULL")))
-    rows = map_chunks(docs, lambda part: paths_of(Words(part.column("text"), part.column("lang")), held.value, longest), "lang string, phrase string, n long", size=SLICE)
-    rows = rows.withColumn("t", F.split("phrase", " ")).select("lang", *[F.get("t", F.lit(i)).alias(f"w{i + 1}") for i in range(longest)], "n")
-    ordered = rows.repartition("lang", "w1", "w2", "w3").sortWithinPartitions("lang", *[f"w{i + 1}" for i in range(longest)])
+    roots = cut(_counted(docs, roots_of).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("phrase").isNull() | (F.col("n") >= least)))
+    frequent, totals = roots.where("phrase IS NOT NULL"), roots.where("phrase IS NULL").select("lang", "n")
+    held = docs.sparkSession.sparkContext.broadcast(known(frequent.where("phrase LIKE '% %'")))
+    rows = _counted(docs, lambda w: paths_of(w, held.value, longest))
+    dealt = rows.repartition("lang", F.substring_index("phrase", " ", 3)).withColumn("t", F.split("phrase", " "))
+    words = [f"w{i + 1}" for i in range(longest)]
+    ordered = dealt.select("lang", *[F.get("t", F.lit(i)).alias(w) for i, w in enumerate(words)], "n").sortWithinPartitions("lang", *words)
     grown = ordered.mapInArrow(lambda batches: grow(batches, least, longest), "lang string, phrase string, n long")
-    words = roots.where("phrase IS NOT NULL").select("lang", "phrase", "n")
-    return cut(words.unionByName(grown)), roots.where("phrase IS NULL AND lang IS NOT NULL").select("lang", "n")
+    return cut(frequent.unionByName(grown)), totals
 
 
 def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
