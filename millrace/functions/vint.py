@@ -1,8 +1,11 @@
 """Integers in a variable number of bytes, as Hadoop writes them: -112 to 127 is one byte; otherwise a first byte tells the sign and
-the number of bytes that follow, most significant first. Column expressions only."""
+the number of bytes that follow, most significant first. ``encode`` and ``decode`` are column expressions; ``pack`` and ``unpack`` do
+whole Arrow columns of them inside tasks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +33,54 @@ def decode(c: str | Column) -> Column:
     n = F.when(first < NEGATIVE, NEGATIVE - first).otherwise(FIRST - first)
     size = F.conv(F.substr(h, F.lit(3), 2 * n), 16, 10).cast("long")
     return F.when(first >= FIRST, first.cast("long")).when(first < NEGATIVE, F.bitwise_not(size)).otherwise(size)
+
+
+def pack(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Rows of numbers as a column of bytes, one number behind the other. off: where each row begins."""
+    v = values.astype(np.int64)
+    size = np.where(v < 0, ~v, v).view(np.uint64)
+    one = (v >= FIRST) & (v <= 127)
+    n = np.ones(len(v), np.int64)  # bytes behind the first
+    for k in range(1, 8):
+        n += size >= np.uint64(1 << (8 * k))
+    n[one] = 0
+    at = np.concatenate(([0], np.cumsum(n + 1)))
+    out = np.zeros(int(at[-1]), np.uint8)
+    out[at[:-1]] = np.where(one, v, np.where(v < 0, NEGATIVE, FIRST) - n).astype(np.int8).view(np.uint8)
+    for k in range(int(n.max(initial=0))):  # the k-th byte behind the first, most significant first
+        has = n > k
+        out[at[:-1][has] + 1 + k] = (size[has] >> (8 * (n[has] - 1 - k)).astype(np.uint64)).astype(np.uint8)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(np.ascontiguousarray(at[off])), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpack(column: pa.Array) -> np.ndarray:
+    """All numbers of a column of bytes that ``pack`` wrote. A first byte says how far off the next one is, so
+    where numbers begin is found by doubling jumps: each time as many more are known."""
+    column = column.cast(pa.large_binary())
+    o = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[o[0] : o[-1]] if len(column) and o[-1] > o[0] else np.zeros(0, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64)
+    first = data.view(np.int8).astype(np.int64)
+    step = np.where(first >= FIRST, 1, np.where(first < NEGATIVE, NEGATIVE - first, FIRST - first) + 1)
+    begins = np.zeros(len(data) + 1, bool)
+    begins[0] = True
+    if (step == 1).all():
+        begins[:-1] = True
+    else:
+        jump = np.minimum(np.arange(len(data)) + step, len(data))
+        jump = np.append(jump, len(data))
+        while True:  # every place known by now, and the place as many numbers behind it
+            more = begins.copy()
+            more[jump[np.flatnonzero(begins)]] = True
+            if (more == begins).all():
+                break
+            begins, jump = more, jump[jump]
+    at = np.flatnonzero(begins[:-1])
+    lead, n = first[at], step[at] - 1
+    out = np.where(n == 0, lead, 0).astype(np.uint64)
+    for k in range(int(n.max(initial=0))):
+        has = n > k
+        out[has] = (out[has] << np.uint64(8)) | data[at[has] + 1 + k].astype(np.uint64)
+    got = out.view(np.int64)
+    return np.where((n > 0) & (lead < NEGATIVE), ~got, got)

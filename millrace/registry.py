@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from millrace.functions import vint as V
 from millrace.operators import counts as C
 from millrace.operators import graph as G
 from millrace.operators import index as I
+from millrace.operators import postings as P
 from millrace.operators import spam as S
 from millrace.operators import warehouse as W
-from millrace.plans.lineage import fresh_path
+from millrace.plans.lineage import cut, fresh_path, remove
 from millrace.sources import files
 from millrace.sources.derived import CUSTOMER, NATION, SUPPLIER, trade_graph
 from millrace.sources.files import with_offsets
@@ -157,6 +159,26 @@ def _flag(term: str) -> str:
     return f"list_contains(t, '{term}')"
 
 
+#: By session and data folder, the index that its boolean queries share. It goes when the interpreter ends.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark: SparkSession, d: str) -> P.Index:
+    """The stored index of the documents: written by the first query that asks for it, read by all."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        path = fresh_path(spark, "index")
+        P.create(table(spark, d, "documents"), path)
+        _INDEXES[key] = path
+        atexit.register(_forget, spark, path)
+    return P.Index(spark, _INDEXES[key])
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended before, and its folders with it
+        remove(spark, path)
+
+
 _DOCS = f"d AS (SELECT doc_id AS docno, text, {_tok('text')} AS t FROM documents)"
 for _name, _query, _where in (
     ("boolean_and", "the of AND", f"{_flag('the')} AND {_flag('of')}"),
@@ -164,13 +186,36 @@ for _name, _query, _where in (
     ("boolean_nested", "the de AND la der OR AND", f"({_flag('the')} AND {_flag('de')}) AND ({_flag('la')} OR {_flag('der')})"),
     ("boolean_absent", "zebra", _flag("zebra")),
 ):
-    register(_name, (lambda q: _index(lambda i: I.boolean_query(i, q)))(_query), f"WITH {_DOCS} SELECT docno FROM d WHERE {_where}")
+    register(_name, (lambda q: lambda spark, d: _stored_index(spark, d).query(q))(_query), f"WITH {_DOCS} SELECT docno FROM d WHERE {_where}")
 register(
     "boolean_snippets",
-    lambda spark, d: I.with_snippets(I.boolean_query(I.postings(table(spark, d, "documents")), "the de AND"), table(spark, d, "documents")),
+    lambda spark, d: I.with_snippets(_stored_index(spark, d).query("the de AND"), table(spark, d, "documents")),
     f"WITH {_DOCS} SELECT docno, CASE WHEN length(text) > 80 THEN text[1:80] || '...' ELSE text END AS snippet FROM d WHERE {_flag('the')} AND {_flag('de')} ORDER BY 1",
 )
 
+_SHIFT = f"least({P.MOST_SHIFT}, ceil(log2(greatest(1.0, {P.PER_BLOCK}::DOUBLE * (SELECT count(DISTINCT doc_id) FROM documents) / df))))::INTEGER"
+register(
+    "boolean_reads",
+    lambda spark, d: _stored_index(spark, d).reads("the de AND").select("read", "term", "blocks", "decoded"),
+    f"WITH {_POST}, t AS (SELECT term, {_SHIFT} AS shift, df FROM (SELECT term, count(*) AS df FROM i WHERE term IN ('the', 'de') GROUP BY 1)), b AS (SELECT i.term, docno, docno >> shift AS block FROM i JOIN t USING (term)), "
+    "o AS (SELECT term, shift, row_number() OVER (ORDER BY df, term = 'de') - 1 AS read FROM t), n AS (SELECT term, count(DISTINCT block) AS blocks FROM b GROUP BY 1) "
+    "SELECT o.read::INTEGER AS read, o.term, blocks, CASE WHEN o.read = 0 THEN blocks ELSE (SELECT count(DISTINCT b.block) FROM b WHERE b.term = o.term AND b.block IN (SELECT x.docno >> o.shift FROM b x WHERE x.term <> o.term)) END AS decoded FROM o JOIN n USING (term)",
+)
+
+
+def _updates(spark: SparkSession, d: str) -> DataFrame:
+    """An index whose toxic documents are replaced by a later segment, and which is made one again."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), fresh_path(spark, "index")
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct()
+    both = P.add(P.create(docs, path), docs.join(toxic, "doc_id").withColumn("text", F.concat(F.lit("replaced "), "text")))
+    out = cut(P.compact(both).postings("the", "replaced"))
+    remove(spark, path)
+    return out
+
+
+_TOXIC = "(SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'replaced ' || text ELSE text END AS text FROM documents)"
+register("index_updates", _updates, f"WITH {_POST.replace('FROM documents', f'FROM {_TOXIC}')} SELECT term, docno, tf FROM i WHERE term IN ('the', 'replaced')")
+
 # Graph -----------------------------------------------------------------------------------------------------------------
 
 SOURCES = [1, 2]
@@ -272,7 +317,9 @@ def _stored(name: str, write: Callable[[SparkSession, str, str], None], read: Ca
     def go(spark: SparkSession, d: str) -> DataFrame:
         path = fresh_path(spark, name)
         write(spark, d, path)
-        return read(spark, d, path)
+        out = cut(read(spark, d, path))
+        remove(spark, path)
+        return out
 
     return go
 
@@ -311,5 +358,5 @@ register(
     ),
     ORACLE_SQL["pmi_pairs"],
 )
-register("index_lookup", _stored("index", lambda spark, d, path: I.write_index(I.postings(table(spark, d, "documents")), path), lambda spark, d, path: I.read_index(spark, path, "the")), f"WITH {_POST} SELECT * FROM i WHERE term = 'the'")
+register("index_lookup", lambda spark, d: _stored_index(spark, d).postings("the"), f"WITH {_POST} SELECT * FROM i WHERE term = 'the'")
 register("model_files_vote", _stored("models", _model_parts, lambda spark, d, path: S.ensemble(_spam(spark, d), files.read_models(spark, [f"{path}/part-{i:05d}" for i in range(3)]), "vote")), ORACLE_SQL["ensemble_vote"])
