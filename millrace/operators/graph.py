@@ -8,6 +8,7 @@ messages it sends is counted while its rows are written, and told to the next ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def _round(at: L.Layout, number: int, came: DataFrame, columns: list[str], facts
 
 
 def _state(at: L.Layout, facts: dict) -> DataFrame:
-    name = f"state-{facts['round']}"
+    name = facts.get("name") or f"state-{facts['round']}"
     at.schemas[name] = facts["schema"]
     return at.read(name)
 
@@ -153,6 +154,62 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
         at.close(delete=not keep)
 
 
+def push_rounds(at: L.Layout, sources: list[int], alpha: float, least: float) -> Iterator[dict]:
+    """The facts of one round of residual push after the other: round, the state's schema, ``frontier`` (nodes that push next), ``messages``.
+
+    A node's residual is weight that has come to it and that it hasn't handed on. Each round the nodes with more than ``least`` hand on
+    1 - alpha of theirs; what they held stays on record in the state it was read from. The others wait. Only the frontier's edges are read
+    into the round, and only what the frontier sends is shuffled; those who wait lie in the buckets that the sums come to.
+    """
+    spark, columns = at.spark, _columns(sources)
+    large = F.greatest(F.lit(0.0), *map(F.col, columns)) > least
+    facts = None
+    while True:
+        with settings(spark, at.settings()):
+            if facts is None:
+                first = spark.createDataFrame([(s, *[float(s == t) for t in sources], 0) for s in sources], ", ".join(["id long", *[f"{c} double" for c in columns], "n long"]))
+                came = first.join(at.nodes, "id").select("id", "deg", *columns, "n")
+            else:
+                before = _state(at, facts)
+                push = before.where(large).select("id", "deg", *[F.when(F.col(c) > least, (1 - alpha) * F.col(c)).otherwise(0.0).alias(c) for c in columns])
+                sent = L.step(at, push, columns).where("deg IS NOT NULL")
+                wait = before.select("id", F.col("deg").alias("d"), *[F.when(F.col(c) > least, 0.0).otherwise(F.col(c)).alias(f"w_{c}") for c in columns]).where(F.greatest(F.lit(0.0), *[F.col(f"w_{c}") for c in columns]) > 0)
+                came = sent.join(wait, "id", "full").select("id", F.coalesce("deg", "d").alias("deg"), *[(F.coalesce(c, F.lit(0.0)) + F.coalesce(f"w_{c}", F.lit(0.0))).alias(c) for c in columns], F.coalesce("n", F.lit(0)).alias("n"))
+            seen, number = Observation(), 0 if facts is None else facts["round"] + 1
+            held = came.observe(seen, F.count(F.when(large, 1)).alias("frontier"), F.sum("n").alias("messages")).select("id", "deg", *columns)
+            at.write(held, f"push-{number}", "id")
+        facts = {"round": number, "schema": at.schemas[f"push-{number}"], "name": f"push-{number}"} | {k: v or 0 for k, v in seen.get.items()}
+        yield facts
+
+
+def personalized_push(nodes: DataFrame, edges: DataFrame, sources: list[int], alpha: float = ALPHA, tolerance: float = 1e-9, buckets: int | None = None, told: list | None = None) -> DataFrame:
+    """(source, id, rank): what ``personalized_pagerank`` converges to, within ``tolerance`` summed over a source's nodes, by residual push.
+
+    Weight that gets lost needn't be sent back to its source: returned or not, all of it has begun at the source, so ranks are only out by one
+    factor, and they sum to 1. A residual that waits is worth 1 / alpha of itself at most; with n nodes, none above alpha * tolerance / (2 n)
+    leaves an error below the tolerance. told: gets the facts of every round.
+    """
+    spark = nodes.sparkSession
+    at = L.store(nodes, edges, fresh_path(spark, "graph"), buckets)
+    try:
+        _sources(at.nodes, sources)
+        columns, least = _columns(sources), alpha * tolerance / (2 * max(at.n_nodes, 1))
+        states = []
+        for facts in push_rounds(at, sources, alpha, least):
+            states.append(_state(at, facts))
+            if told is not None:
+                told.append(facts)
+            if not facts["frontier"]:
+                break
+        kept = [F.when(F.col(c) > least, F.col(c)).otherwise(0.0).alias(c) for c in columns]
+        every = reduce(DataFrame.unionByName, [s.select("id", *kept) for s in states])
+        weight = cut(every.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns]))
+        whole = weight.agg(*[F.sum(c).alias(c) for c in columns]).first()
+        return cut(_long(weight.select("id", *[(F.col(c) / F.lit(whole[c] or 1.0)).alias(c) for c in columns]), sources))
+    finally:
+        at.close(delete=True)
+
+
 def _largest_change(old: DataFrame, new: DataFrame) -> float:
     """Of the sources, the largest sum of absolute differences of rank."""
     both = old.select("source", "id", F.col("rank").alias("d")).unionByName(new.select("source", "id", (-F.col("rank")).alias("d")))

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vint as V
+from millrace.functions.numbers import log_add, logistic
+from millrace.functions.printed import printed, printed_groups
 from millrace.operators import counts as C
 from millrace.operators import graph as G
 from millrace.operators import index as I
+from millrace.operators import layout as L
 from millrace.operators import postings as P
 from millrace.operators import spam as S
 from millrace.operators import warehouse as W
@@ -20,6 +23,7 @@ from millrace.plans.lineage import cut, fresh_path, remove
 from millrace.sources import files
 from millrace.sources.derived import CUSTOMER, NATION, SUPPLIER, trade_graph
 from millrace.sources.files import with_offsets
+from millrace.sources.offsets import lines_at
 from millrace.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +58,20 @@ register(
     "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS i FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE i = 1",
 )
 
+
+def _top(sql: str, line: str, order: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) AS place, {line} AS line FROM ({sql})"
+
+
+register("q2_printed", lambda spark, d: printed(QUERIES["q2_order_lookup_top20"](spark, d), ["o_orderpriority", "o_orderkey"], ["o_orderkey", "o_orderpriority"]), _top(ORACLE_SQL["q2_order_lookup_top20"], "'(' || o_orderpriority || ',' || o_orderkey || ')'", "o_orderkey, o_orderpriority"))
+register("q3_printed", lambda spark, d: printed(QUERIES["q3_part_supplier_top20"](spark, d), ["l_orderkey", "p_name", "s_name"], ["l_orderkey", "p_name", "s_name"]), _top(ORACLE_SQL["q3_part_supplier_top20"], "'(' || l_orderkey || ',' || p_name || ',' || s_name || ')'", "l_orderkey, p_name, s_name"))
+register("q4_printed", lambda spark, d: printed(QUERIES["q4_nation_counts"](spark, d), ["n_nationkey", "n_name", "cnt"], ["n_nationkey", "n_name"]), _top(ORACLE_SQL["q4_nation_counts"], "'(' || n_nationkey || ',' || n_name || ',' || cnt || ')'", "n_nationkey, n_name"))
+register(
+    "q5_printed",
+    lambda spark, d: printed_groups(QUERIES["q5_monthly_two_nations"](spark, d), "c_nationkey", {3: "CANADA", 24: "USA"}, ["ym", "cnt"], ["ym"]),
+    f"WITH q AS ({ORACLE_SQL['q5_monthly_two_nations']}), x AS (SELECT 0 AS part, '' AS ym, 'CANADA' AS line UNION ALL SELECT 1, '', 'USA' UNION ALL SELECT (c_nationkey = 24)::INTEGER, ym, '(' || ym || ',' || cnt || ')' FROM q) SELECT row_number() OVER (ORDER BY part, ym) AS place, line FROM x",
+)
+
 # Words and lines -------------------------------------------------------------------------------------------------------
 
 
@@ -219,6 +237,7 @@ register("index_updates", _updates, f"WITH {_POST.replace('FROM documents', f'FR
 # Graph -----------------------------------------------------------------------------------------------------------------
 
 SOURCES = [1, 2]
+PUSH_SOURCES = [1, 2, CUSTOMER + 1, CUSTOMER + 2]
 
 
 def _graph(fn) -> Query:
@@ -268,6 +287,42 @@ register(
     _graph(lambda v, e: _rounded(G.top_k(G.personalized_pagerank(v, e, SOURCES, 3).withColumn("rank", F.round("rank", 12)), 20))),
     f"{_sql_ppr(3)}, t AS (SELECT source, id, round(rank, 12) AS rank FROM r3) SELECT source, place::INTEGER AS place, id, round(rank, 9) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank DESC, id) AS place FROM t) WHERE place <= 20",
 )
+register(
+    "ppr_push",
+    _graph(lambda v, e: _rounded(G.personalized_push(v, e, PUSH_SOURCES)).where("rank > 0")),
+    f"WITH {_EDGES}, r0 AS (SELECT id AS source, id, 1.0::DOUBLE AS x FROM v WHERE id IN ({', '.join(map(str, PUSH_SOURCES))})), "
+    + ", ".join(f"r{k + 1} AS MATERIALIZED (SELECT source, dst AS id, sum({1 - G.ALPHA} * x / deg) AS x FROM r{k} JOIN dg ON r{k}.id = src GROUP BY 1, 2)" for k in range(3))
+    + ", x AS (SELECT source, id, sum(x) AS x FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) GROUP BY 1, 2), y AS (SELECT source, id, round(x / sum(x) OVER (PARTITION BY source), 9) AS rank FROM x) SELECT * FROM y WHERE rank > 0",
+)
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds, run in two parts over one layout on storage."""
+    path = fresh_path(spark, "graph")
+    v, e = trade_graph(spark, d)
+    G.personalized_pagerank(v, e, SOURCES, 1, path=path)
+    out = _rounded(G.personalized_pagerank(v, e, SOURCES, 3, path=path))
+    remove(spark, path)
+    return out
+
+
+def _layout_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and degrees of a layout that is written, forgotten and opened again."""
+    path = fresh_path(spark, "graph")
+    L.store(*trade_graph(spark, d), path).close()
+    at = L.open_layout(spark, path)
+    out = cut(at.nodes)
+    at.close(delete=True)
+    return out
+
+
+register("ppr_resumed", _resumed, f"{_sql_ppr(3)} SELECT source, id, round(rank, 9) AS rank FROM r3")
+register("layout_nodes", _layout_nodes, f"WITH {_EDGES} SELECT id, count(src) AS deg FROM v LEFT JOIN e ON src = id GROUP BY 1")
+register(
+    "ppr_log_sums",
+    _graph(lambda v, e: (lambda r: r.where(f"source = {SOURCES[0]}").select("id", F.log("rank").alias("a")).join(r.where(f"source = {SOURCES[1]}").select("id", F.log("rank").alias("b")), "id", "full").select("id", F.round(log_add("a", "b"), 9).alias("log_rank")))(G.personalized_pagerank(v, e, SOURCES, 3))),
+    f"{_sql_ppr(3)} SELECT id, round(ln(sum(rank)), 9) AS log_rank FROM r3 GROUP BY 1",
+)
 register("pagerank_uniform", _graph(lambda v, e: _rounded(G.pagerank(v, e, 3))), f"{_sql_pagerank(3)} SELECT id, round(rank, 9) AS rank FROM r3")
 register("weak_components", _graph(lambda v, e: G.components(e)), _sql_components())
 register("range_partition_ids", lambda spark, d: table(spark, d, "orders").select("o_orderkey", G.range_part("o_orderkey", 1_500_000, 16).alias("part")), "SELECT o_orderkey, (floor(o_orderkey / 1500000.0::DOUBLE * 16) % 16)::INTEGER AS part FROM orders")
@@ -306,6 +361,7 @@ register("spam_shuffle", lambda spark, d: _spam(spark, d).select("docid", S.shuf
 register("spam_train_shards", lambda spark, d: S.train(_spam(spark, d), shards=4, seed=7).select("model_id", "feature", F.round("weight", 9).alias("weight")))
 register("spam_train", lambda spark, d: S.train(_spam(spark, d)).select("feature", F.round("weight", 9).alias("weight")))
 register("spam_score", lambda spark, d: S.score(_spam(spark, d), _models(spark).where("model_id = 0")), f"WITH {_SCORES} SELECT docid, label, s0 AS score, CASE WHEN s0 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
+register("spam_probability", lambda spark, d: S.score(_spam(spark, d), _models(spark).where("model_id = 0")).select("docid", F.round(logistic("score"), 9).alias("probability")), f"WITH {_SCORES} SELECT docid, round(1 / (1 + exp(-s0)), 9) AS probability FROM z")
 register("ensemble_average", lambda spark, d: _rounded(S.ensemble(_spam(spark, d), _models(spark)), "score"), f"WITH {_SCORES} SELECT docid, label, round((s0 + s1 + s2) / 3, 9) AS score, CASE WHEN s0 + s1 + s2 > 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
 for _name, _compat in (("ensemble_vote", False), ("ensemble_vote_compat", True)):
     register(_name, (lambda c: lambda spark, d: S.ensemble(_spam(spark, d), _models(spark), "vote", reference_compat=c))(_compat), f"WITH {_SCORES} SELECT docid, label, {_VOTES}::DOUBLE AS score, CASE WHEN {_VOTES} {'<' if _compat else '>'} 0 THEN 'spam' ELSE 'ham' END AS prediction FROM z")
@@ -324,12 +380,21 @@ def _stored(name: str, write: Callable[[SparkSession, str, str], None], read: Ca
     return go
 
 
-def _write_tbl(spark: SparkSession, d: str, path: str) -> None:
-    c = [F.lit("")] * 16
-    for i, name in ((0, "l_orderkey"), (1, "l_partkey"), (2, "l_suppkey")):
-        c[i] = F.col(name).cast("string")
-    c[10] = F.date_format("l_shipdate", "yyyy-MM-dd")
-    table(spark, d, "lineitem").select(F.concat_ws("|", *c, F.lit(""))).write.text(f"{path}/lineitem.tbl")
+def _write_tbl(*names: str) -> Callable[[SparkSession, str, str], None]:
+    """Writes tables as ``.tbl``: the columns that the queries use in their places, the others empty. There is no clerk: order priority stands in."""
+
+    def go(spark: SparkSession, d: str, path: str) -> None:
+        for name in names:
+            used = {i: c.split()[0] for i, c in files.TBL[name].items()}
+            t = table(spark, d, name)
+            shown = {i: F.date_format(c, "yyyy-MM-dd") if c == "l_shipdate" else F.col("o_orderpriority" if c == "o_clerk" else c).cast("string") for i, c in used.items()}
+            t.select(F.concat_ws("|", *[shown.get(i, F.lit("")) for i in range(max(used) + 1)], F.lit(""))).write.text(f"{path}/{name}.tbl")
+
+    return go
+
+
+def _over_tbl(fn, *names: str, **more) -> Query:
+    return _stored("tbl", _write_tbl(*names), lambda spark, d, path: fn(*(files.read_tbl(spark, path, n) for n in names), **more))
 
 
 def _model_parts(spark: SparkSession, d: str, path: str) -> None:
@@ -343,9 +408,44 @@ def _tree(spark: SparkSession, path: str) -> DataFrame:
 
 register(
     "tbl_scan_by_month",
-    _stored("tbl", _write_tbl, lambda spark, d, path: files.read_tbl(spark, path, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("cnt"), F.sum("l_orderkey").alias("orders"), F.sum("l_suppkey").alias("suppliers"))),
+    _stored("tbl", _write_tbl("lineitem"), lambda spark, d, path: files.read_tbl(spark, path, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("ym")).agg(F.count("*").alias("cnt"), F.sum("l_orderkey").alias("orders"), F.sum("l_suppkey").alias("suppliers"))),
     "SELECT strftime(l_shipdate, '%Y-%m') AS ym, count(*) AS cnt, sum(l_orderkey)::BIGINT AS orders, sum(l_suppkey)::BIGINT AS suppliers FROM lineitem GROUP BY 1",
 )
+register("tbl_nation_counts", _over_tbl(W.nation_counts, "lineitem", "orders", "customer", "nation", when="1996-11"), ORACLE_SQL["q4_nation_counts"])
+register("tbl_part_supplier", _over_tbl(W.part_supplier, "lineitem", "part", "supplier", when="1996-11"), ORACLE_SQL["q3_part_supplier_top20"])
+register("tbl_order_lookup", _over_tbl(lambda l, o, when: W.order_lookup(l, o, when, field="o_clerk").withColumnRenamed("o_clerk", "o_orderpriority"), "lineitem", "orders", when="1996-11"), ORACLE_SQL["q2_order_lookup_top20"])
+
+
+def _write_collection(spark: SparkSession, d: str, path: str) -> None:
+    """The documents' texts as plain files, GROUP documents a file, in order of their keys."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", F.floor(F.col("doc_id") / GROUP).alias("grp"))
+    docs.repartition("grp").sortWithinPartitions("grp", "doc_id").select("grp", "text").write.partitionBy("grp").text(path)
+
+
+GROUP = 250
+#: Of each file a range of this size is a task.
+RANGE_BYTES = 256 << 10
+_GROUP_OF = F.regexp_extract("file", "grp=([0-9]+)/", 1).cast("long").alias("grp")
+_COLLECTION = f"l AS (SELECT grp, doc_id, i, line, (coalesce(sum(strlen(line) + 1) OVER (PARTITION BY grp ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM (SELECT doc_id // {GROUP} AS grp, doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)))"
+register(
+    "collection_offsets",
+    _stored("collection", _write_collection, lambda spark, d, path: files.read_collection(spark, path, RANGE_BYTES).select(_GROUP_OF, "offset", F.md5(F.col("line").cast("binary")).alias("md5"))),
+    f'WITH {_COLLECTION} SELECT grp, "offset", md5(line) AS md5 FROM l',
+)
+
+
+def _collection_hits(spark: SparkSession, d: str, path: str) -> DataFrame:
+    """Lines of the collection that hold two words, found by an index over (file, offset) and read where they stand."""
+    lines = files.read_collection(spark, path, RANGE_BYTES).select(F.struct("file", "offset").alias("at"), "line")
+    hits = I.boolean_query(I.postings(lines, "at", "line"), "the of AND").select("docno.file", "docno.offset")
+    return lines_at(hits).select(_GROUP_OF, "offset", T.snippet("line").alias("snippet"))
+
+
+register(
+    "collection_snippets",
+    _stored("collection", _write_collection, _collection_hits),
+    f"WITH {_COLLECTION}, t AS (SELECT *, {_tok('line')} AS t FROM l) SELECT grp, \"offset\", CASE WHEN length(line) > 80 THEN line[1:80] || '...' ELSE line END AS snippet FROM t WHERE {_flag('the')} AND {_flag('of')}",
+)
 register("adjacency_edges", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d, parallel=True), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path))[1]), f"WITH {_PARALLEL} SELECT src, dst FROM e")
 register("adjacency_nodes", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path))[0]), f"WITH {_EDGES} SELECT id FROM v")
 register("adjacency_nodes_tabs", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path), tabs_only=True)[0]), f"WITH {_EDGES} SELECT id FROM v")

@@ -159,3 +159,40 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {})
     with pytest.raises(ValueError, match="names no folder"):
         shared_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_push_equals_the_power_iteration(graph):
+    nodes, edges, raw = graph
+    told = []
+    got = G.personalized_push(nodes, edges, [3, 7], alpha=0.5, tolerance=1e-9, buckets=2, told=told)
+    for s in (3, 7):
+        want = brute(raw, s, 80, alpha=0.5)
+        mine = ranks(got, s)
+        assert sum(abs(mine.get(k, 0.0) - want.get(k, 0.0)) for k in mine.keys() | want.keys()) <= 1e-9
+        assert abs(sum(mine.values()) - 1) < 1e-12
+    assert told[0]["frontier"] == 2 and told[-1]["frontier"] == 0
+    degree = {v: sum(a == v for a, _ in raw) for v in range(45)}
+    assert told[1]["messages"] <= degree[3] + degree[7]  # the two sources' edges and no others
+
+
+def test_push_reads_only_the_frontiers_edges(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100 + i, 200) for i in range(300)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(61), *range(100, 400)]], "id long")
+    told = []
+    got = ranks(G.personalized_push(nodes, edges, [40], told=told, buckets=2), 40)
+    assert [f["frontier"] for f in told] == [1] * 21 + [0] and [f["messages"] for f in told] == [0] + [1] * 20 + [0]
+    assert set(got) == set(range(40, 61)) and abs(got[41] / got[40] - (1 - G.ALPHA)) < 1e-12
+
+
+def test_logarithms_and_printed_rows(spark):
+    import math
+
+    from millrace.functions.numbers import log_add, logistic
+    from millrace.functions.printed import printed, printed_groups
+
+    rows = spark.createDataFrame([(-800.0, -801.0), (None, -1.0), (-2.0, None), (None, None), (0.0, 0.0)], "a double, b double").select(log_add("a", "b").alias("x"), logistic("a").alias("p")).collect()
+    assert abs(rows[0]["x"] - (-800 + math.log1p(math.exp(-1)))) < 1e-12 and (rows[1]["x"], rows[2]["x"], rows[3]["x"]) == (-1.0, -2.0, None)
+    assert abs(rows[4]["x"] - math.log(2)) < 1e-12 and rows[4]["p"] == 0.5
+    df = spark.createDataFrame([(24, "b", 1), (3, "c", 2), (3, "a", None), (9, "z", 9)], "k int, m string, n int")
+    assert [tuple(r) for r in printed(df, ["m", "n"], ["m"]).orderBy("place").collect()] == [(1, "(a,null)"), (2, "(b,1)"), (3, "(c,2)"), (4, "(z,9)")]
+    assert [r["line"] for r in printed_groups(df, "k", {3: "CANADA", 24: "USA"}, ["m", "n"], ["m"]).orderBy("place").collect()] == ["CANADA", "(a,null)", "(c,2)", "USA", "(b,1)"]
