@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm._kernels import CHUNK, chunks
 from millrace.plans.lineage import cut
 
-__all__ = ["crc_mod", "cut", "map_chunks", "parts", "table"]
+__all__ = ["crc_mod", "cut", "free", "map_chunks", "parts", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
     return df.mapInArrow(go, schema)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, of which ``df`` has none in either case: ``names`` behind as many underscores as that takes."""
+    taken, lead = {c.lower() for c in df.columns}, "_"
+    while any(f"{lead}{n}".lower() in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a key as text, modulo n; null keys count as 'null'."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % n

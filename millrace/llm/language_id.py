@@ -24,7 +24,7 @@ from millrace.llm._spark import crc_mod, map_chunks, table
 
 SYMBOLS = 64
 GRAMS = SYMBOLS**3
-LANGS = 500
+LANGS = 64
 
 
 @cache
@@ -72,12 +72,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", alpha: float
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     if rows.select("lang").distinct().limit(LANGS + 1).count() > LANGS:
         raise ValueError(f"more than {LANGS} languages in {lang}")
-    got = map_chunks(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
-    out = np.full((len(names), GRAMS), alpha)
-    codes = np.searchsorted(np.array(names, object).astype(str), np.asarray(got.column("lang").to_pylist(), str)) if names else np.zeros(0, int)
-    np.add.at(out, (codes, got.column("gram").to_numpy()), got.column("n").to_numpy())
-    return names, np.log(out / out.sum(axis=1, keepdims=True)).astype(np.float32)
+    got = map_chunks(rows, count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    langs = got.column("lang").combine_chunks().dictionary_encode()
+    seen = langs.dictionary.to_pylist()  # LANGS at most
+    names = sorted(seen)
+    place = np.array([names.index(x) for x in seen], np.int64)
+    codes, gram, n = place[langs.indices.to_numpy()] if names else np.zeros(0, np.int64), got.column("gram").to_numpy(), got.column("n").to_numpy()
+    out = np.empty((len(names), GRAMS), np.float32)
+    for i in range(len(names)):  # a language at a time
+        one = np.full(GRAMS, alpha)
+        one[gram[codes == i]] += n[codes == i]
+        out[i] = np.log(one / one.sum())
+    return names, out
 
 
 def mixture(loglik: np.ndarray, words: np.ndarray, rounds: int = 10, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +159,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_chunks(rows, go, f"key {kind}, lang_pred string, score double, langs map<string,double>").withColumnRenamed("key", key)
+    size = max(1 << 16, K.CHUNK * 8 // max(8, len(names)))  # a slice has numbers for each of its words and each language
+    return map_chunks(rows, go, f"key {kind}, lang_pred string, score double, langs map<string,double>", size=size).withColumnRenamed("key", key)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

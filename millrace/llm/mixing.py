@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._spark import table
+from millrace.llm._spark import free, table
 
 OTHER = "other"
 ROUNDS, TOLERANCE = 40, 1e-3
@@ -100,9 +100,10 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_i
     axes = {c: [*v, OTHER] for c, v in values.items()}
     place = {c: {v: i for i, v in enumerate(a)} for c, a in axes.items()}
     counts = np.zeros([len(a) for a in axes.values()])
-    keyed = docs.groupBy(*[e.alias(f"_{c}") for c, e in cell.items()]).agg(F.sum(weight).alias("n"))
+    own = dict(zip(axes, free(docs, *axes), strict=True))  # the cell's values beside the user's columns
+    keyed = docs.groupBy(*[e.alias(own[c]) for c, e in cell.items()]).agg(F.sum(weight).alias("n"))
     for r in keyed.collect():  # at most one row per combination of named targets
-        counts[tuple(place[c][r[f"_{c}"]] for c in axes)] = float(r["n"] or 0)
+        counts[tuple(place[c][r[own[c]]] for c in axes)] = float(r["n"] or 0)
     margins = [np.array([targets[c].get(v, 0.0) if v != OTHER else max(0.0, 1 - sum(targets[c].values())) for v in a]) for c, a in axes.items()]
     w = rake(counts, margins)
     if (gap := largest_gap(w, margins)) > TOLERANCE:
@@ -111,9 +112,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], key: str = "doc_i
     if share is not None:
         p = np.where((counts == 0) & (reduce(np.multiply.outer, margins) > 0), 1.0, p)
     known = [(*vs, float(p[tuple(place[c][v] for c, v in zip(axes, vs, strict=True))])) for vs in product(*axes.values())]
-    cells = docs.sparkSession.createDataFrame(known, ", ".join(f"_{c} string" for c in axes) + ", probability double")
-    tagged = docs.withColumns({f"_{c}": e for c, e in cell.items()})
-    out = tagged.join(F.broadcast(cells), [f"_{c}" for c in axes], "left").drop(*[f"_{c}" for c in axes])
+    cells = docs.sparkSession.createDataFrame(known, ", ".join(f"`{own[c]}` string" for c in axes) + ", probability double")
+    tagged = docs.withColumns({own[c]: e for c, e in cell.items()})
+    out = tagged.join(F.broadcast(cells), list(own.values()), "left").drop(*own.values())
     return out.withColumn("sampled", uniform(key, seed) < F.col("probability"))
 
 

@@ -348,3 +348,20 @@ def test_pipeline_stages_on_odd_rows(spark, sf):
                 assert keys == want or name == "mixing"
                 if name != "piece_codec":
                     assert all((r["probability"], r["removed"], r["sampled"], r["raw"]) == (next(x[5] for x in rows if x[0] == r["doc_id"]), 1, "a", 3) for r in got)
+
+
+def test_mixing_leaves_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "w " * 50, "en", f"src{i % 3}", 1, 2, 3, 4) for i in range(60)], "doc_id long, text string, lang string, source string, _lang int, _Source int, __topic int, _topic int")
+    out = mixing.mix(mixing.with_cells(docs), mixing.TARGETS, share=0.5)
+    assert out.columns == [*docs.columns, "n_tokens", "topic", "probability", "sampled"]
+    assert {tuple(r) for r in out.select("_lang", "_Source", "__topic", "_topic").collect()} == {(1, 2, 3, 4)}
+    plain = mixing.mix(mixing.with_cells(docs.drop("_lang", "_Source", "__topic", "_topic")), mixing.TARGETS, share=0.5)
+    assert sorted(out.select("doc_id", "probability").collect()) == sorted(plain.select("doc_id", "probability").collect())
+
+
+def test_pipeline_stage_keeps_columns_named_as_its_own(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, "one two three four five six", "en", "s", 27, i, i, i) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, _key long, _gone long, _tie long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, sf).collect()
+    assert [tuple(r)[5:] for r in got] == [(0, 0, 0)]

@@ -138,6 +138,15 @@ def test_learning_and_inference_by_brute_force(spark):
         assert np.allclose(share[:, i], out, atol=2e-3), (i, share[:, i], out)
 
 
+def test_as_many_languages_as_are_allowed(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i % 26] + letters[i // 26] + letters[(i * 7) % 26] for i in range(language_id.LANGS)]
+    docs = spark.createDataFrame([(i, f"{w} " * 30, f"l{i}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    names, table = language_id.learn(docs)
+    assert len(names) == language_id.LANGS and table.shape == (language_id.LANGS, language_id.GRAMS) and np.allclose(np.exp(table.astype(float)).sum(axis=1), 1, atol=1e-3)
+    assert {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, (names, table)).collect()} == {(i, f"l{i}") for i in range(language_id.LANGS)}
+
+
 def test_languages_are_few(spark):
     rows = [(i, "abc", f"l{i}") for i in range(language_id.LANGS + 1)]
     with pytest.raises(ValueError, match="languages"):
