@@ -2,11 +2,12 @@
 
 The long table is the index: a term of any frequency is as many rows as it has documents, spread as they come. Lists are built per block of
 document numbers, so no list is longer than a block. A query reads only its own terms' rows and decides each document in one aggregate.
+``postings`` (the module) stores an index and reads it by need.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,15 +59,3 @@ def boolean_query(index: DataFrame, query: str) -> DataFrame:
 def with_snippets(hits: DataFrame, docs: DataFrame, docno: str = "doc_id", text: str = "text") -> DataFrame:
     """(docno, snippet) in ascending document order."""
     return hits.join(docs.select(F.col(docno).alias("docno"), T.snippet(text).alias("snippet")), "docno").orderBy("docno")
-
-
-def write_index(index: DataFrame, path: str) -> None:
-    """Overwrite an index on storage: sorted by term, so a lookup skips files and row groups by their statistics. Files are ranges of
-    (term, docno), so a term that most documents hold is several files and not one task."""
-    index.repartitionByRange("term", "docno").sortWithinPartitions("term", "docno").write.mode("overwrite").parquet(path)
-
-
-def read_index(spark: SparkSession, path: str, term: str | None = None) -> DataFrame:
-    """An index from storage, or one term's rows of it."""
-    index = spark.read.parquet(path)
-    return index if term is None else index.where(F.col("term") == term)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,8 +194,9 @@ def _stored_index(spark: SparkSession, d: str) -> P.Index:
 
 
 def _forget(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session has ended before, and its folders with it
-        remove(spark, path)
+    if spark.sparkContext._jsc is not None:  # else the session has ended before, and can't reach its folders any more
+        with suppress(Exception):
+            remove(spark, path)
 
 
 _DOCS = f"d AS (SELECT doc_id AS docno, text, {_tok('text')} AS t FROM documents)"

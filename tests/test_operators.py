@@ -125,13 +125,6 @@ def test_rpn_refuses():
     assert compile_query("and or").terms == ("and", "or")
 
 
-def test_index_on_storage(spark, lines, tmp_path):
-    index = I.postings(lines.withColumnRenamed("line", "text"), "line_no")
-    for _ in range(2):
-        I.write_index(index, str(tmp_path / "i"))
-    assert I.read_index(spark, str(tmp_path / "i"), "fox").count() == 2
-
-
 def adjacency(spark, rows):
     return files.parse_adjacency(spark.createDataFrame([(r,) for r in rows], "line string"))
 
