@@ -365,3 +365,37 @@ def test_pipeline_stage_keeps_columns_named_as_its_own(spark, sf):
     docs = spark.createDataFrame([(i, "one two three four five six", "en", "s", 27, i, i, i) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, _key long, _gone long, _tie long")
     got = corpus_pipeline.one_of_each_group(spark, docs, sf).collect()
     assert [tuple(r)[5:] for r in got] == [(0, 0, 0)]
+
+
+@pytest.mark.parametrize("shared, own", [(75, 25), (67, 33)])  # alike to 0.60 and 0.50
+def test_loosely_alike_families_fall_apart(spark, shared, own):
+    """Documents of one template, no two of them at the threshold but for planted pairs, are not gathered; all the pairs are."""
+    n, planted = 4000, 60
+    word = lambda i, j: F.concat(F.lit("u"), F.col("id").cast("string"), F.lit(f"x{j}"))
+    template = " ".join(f"t{i}" for i in range(shared + 4))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(template), *[word(None, j) for j in range(own)]).alias("text"))
+    near = docs.where(F.col("doc_id") % (n // planted) == 0).where(F.col("doc_id") < planted * (n // planted)).select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat_ws(" ", "text", F.lit("a b c d e f g")).alias("text"))
+    every = docs.unionByName(near).repartition(8)
+    sk = jaccard_join.sketch(every, "doc_id", "text").withColumns({"rep": F.col("key"), "id": F.xxhash64("d1", "d2"), "weight": F.lit(1).cast("long")})
+    reps = jaccard_join.cut(sk)
+    texts = every.select(F.col("doc_id").alias("rep"), "text", jaccard_join.tie_of("text").alias("tie"))
+    got = jaccard_join.gatherings(texts, reps).select("rep", "root", "blocks").toPandas()
+    assert got.groupby("root").size().max() <= jaccard_join.BLOCK and got["blocks"].max() == 1
+    root = dict(zip(got["rep"], got["root"], strict=True))
+    assert all(root[r["doc_id"]] == root[r["doc_id"] - 1_000_000] for r in near.select("doc_id").collect())
+
+
+def test_recall_in_a_family_larger_than_reach(spark):
+    """All links of 900 near copies, which share nodes of more than REACH rows, against exact Jaccard of every pair."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+    docs = []
+    for i in range(900):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(160)] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    sets = [set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for _, t in docs]
+    want = {i: sum(len(sets[i] & s) >= 0.8 * len(sets[i] | s) - 1e-9 for s in sets) - 1 for i in range(900)}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[i] <= want[i] for i in got) and sum(want.values()) > 100_000
