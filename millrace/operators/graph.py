@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.operators import layout as L
-from millrace.plans.lineage import commit, cut, fresh_path, remove, settings
+from millrace.plans.lineage import commit, cut, fresh_path, settings
 
 ALPHA = 0.15
 SALTS = 8
@@ -146,7 +146,7 @@ def personalized_pagerank(nodes: DataFrame, edges: DataFrame, sources: list[int]
             if tolerance is not None and before["round"] >= 0 and _largest_change(_long(_ranks_of(at, before), sources), _long(_ranks_of(at, facts), sources)) <= tolerance:
                 break
             if not keep and before["round"] >= 0:
-                remove(spark, f"{at.path}/state-{before['round']}")
+                at.forget(f"state-{before['round']}", delete=True)
         if facts["round"] < 0:
             return start if start is not None else spark.createDataFrame([(s, s, 1.0) for s in sources], "source long, id long, rank double")
         return cut(_long(_ranks_of(at, facts), sources))
@@ -252,7 +252,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, alpha: fl
                 if (_uniform_ranks(at, facts).join(old, "id").agg(F.sum(F.abs(F.col("m0") - F.col("old")))).first()[0] or 0.0) <= tolerance:
                     break
             if before and not keep:
-                remove(spark, f"{at.path}/state-{before['round']}")
+                at.forget(f"state-{before['round']}", delete=True)
         if facts is None:
             return cut(at.nodes.select("id", F.lit(1.0 / max(at.n_nodes, 1)).alias("rank")))
         return cut(_uniform_ranks(at, facts).select("id", F.col("m0").alias("rank")))

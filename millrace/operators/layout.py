@@ -21,9 +21,11 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.lineage import commit, committed, exists, remove, settings
+from millrace.plans.lineage import commit, committed, cut, exists, remove, settings
 
 HUB = 1 << 20
+#: Edges of a bucket: as many buckets as give each the first number, but not more than Spark's shuffle partitions until each would have the second.
+FEW, MANY = 1 << 18, 1 << 26
 #: Files of a bucket are sorted; Spark relies on that only when told so.
 SORTED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
@@ -39,7 +41,7 @@ class Layout:
     n_hub_edges: int
     hub: int
     schemas: dict[str, list[str]]
-    tables: list[str] = field(default_factory=list)
+    tables: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.nodes = self.read("nodes")
@@ -49,67 +51,76 @@ class Layout:
     def read(self, name: str) -> DataFrame:
         """A table of the layout, with its buckets and their order."""
         key, schema = self.schemas[name]
-        table = f"millrace_{uuid4().hex}"
-        self.spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
-        self.tables.append(table)
-        return self.spark.table(table)
+        if name not in self.tables:
+            self.tables[name] = f"millrace_{uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {self.tables[name]} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self.tables[name])
 
     def settings(self) -> dict[str, str]:
         """What the jobs of a round run under: sums are dealt to as many partitions as there are buckets."""
         return SORTED | {"spark.sql.shuffle.partitions": str(self.buckets)}
 
-    def write(self, df: DataFrame, name: str, key: str, metrics: dict[str, Column] | None = None) -> dict:
-        """Write ``df`` as the table ``name``, in buckets by ``key``; returns ``metrics`` over its rows, taken as they are written."""
-        got = _write(df, self.path, name, key, self.buckets, metrics, self.settings())
+    def write(self, df: DataFrame, name: str, key: str) -> None:
+        """Write ``df`` as the table ``name``, in buckets by ``key``."""
+        self.forget(name)
+        self.tables[name] = _write(df, self.path, name, key, self.buckets, self.settings())
         self.schemas[name] = [key, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)]
-        return got
+
+    def forget(self, name: str, delete: bool = False) -> None:
+        """Drop a table's name; ``delete`` its files too."""
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
+        if delete:
+            remove(self.spark, f"{self.path}/{name}")
 
     def close(self, delete: bool = False) -> None:
         """Forget the tables; ``delete`` their files too."""
-        for t in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-        self.tables.clear()
+        for name in list(self.tables):
+            self.forget(name)
         if delete:
             remove(self.spark, self.path)
 
 
-def _write(df: DataFrame, path: str, name: str, key: str, buckets: int, metrics: dict[str, Column] | None, conf: dict[str, str]) -> dict:
-    spark, seen = df.sparkSession, Observation()
-    if metrics:
-        # Rows are counted in the stage that writes them, whose tasks count once each, however often one is run.
-        df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
+def _write(df: DataFrame, path: str, name: str, key: str, buckets: int, conf: dict[str, str]) -> str:
+    """Write ``df`` in buckets; returns the name of its table."""
+    spark, table = df.sparkSession, f"millrace_{uuid4().hex}"
     remove(spark, f"{path}/{name}")  # what a run that broke off has left
-    table = f"millrace_{uuid4().hex}"
     with settings(spark, conf):
         df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{name}").saveAsTable(table)
-    spark.sql(f"DROP TABLE {table}")
-    return seen.get if metrics else {}
+    return table
 
 
-def store(nodes: DataFrame, edges: DataFrame, path: str, buckets: int | None = None, hub: int = HUB) -> Layout:
+def _seen(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with metrics over its rows, to be read once it is written. Rows are counted in the stage that writes them, whose tasks count
+    once each, however often one is run."""
+    seen = Observation()
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
+
+
+def store(nodes: DataFrame, edges: DataFrame, path: str, buckets: int | None = None, hub: int | None = None) -> Layout:
     """Lay a graph of nodes(id) and edges(src, dst) out in ``path``. Parallel edges count each; ids that stand twice are one node."""
-    spark = nodes.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    conf = SORTED | {"spark.sql.shuffle.partitions": str(n)}
-    edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    spark, hub = nodes.sparkSession, HUB if hub is None else hub
+    edges = cut(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
+    if buckets is None:
+        e = edges.count()
+        buckets = max(1, -(-e // MANY), min(-(-e // FEW), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    conf = SORTED | {"spark.sql.shuffle.partitions": str(buckets)}
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
     held = nodes.select(F.col("id").cast("long").alias("id")).distinct().join(out, "id", "left").select("id", F.coalesce("deg", F.lit(0)).alias("deg"))
-    some = {"n_nodes": F.count("*"), "n_active": F.count(F.when(F.col("deg") > 0, 1))}
-    facts = _write(held, path, "nodes", "id", n, some, conf)
-    large = out.where(F.col("deg") > hub).select(F.col("id").alias("src"))
-    with settings(spark, conf):
-        hubs = large.limit(1).count()
-    facts["n_hub_edges"] = 0
-    if hubs:
-        apart = edges.join(large, "src", "left_semi")
-        seen = Observation()
-        apart.observe(seen, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/hub_edges")
-        facts["n_hub_edges"] = seen.get["n"]
-        edges = edges.join(large, "src", "left_anti")
-    count = _write(edges.repartition(n, "src"), path, "edges", "src", n, {"n": F.count("*")}, conf)
-    facts |= {"n_edges": count["n"] + facts["n_hub_edges"], "buckets": n, "hub": hub, "schemas": {"nodes": ["id", "id bigint, deg bigint"], "edges": ["src", "src bigint, dst bigint"]}}
+    deg = F.col("deg")
+    held, seen = _seen(held, {"n_nodes": F.count("*"), "n_active": F.count(F.when(deg > 0, 1)), "hubs": F.count(F.when(deg > hub, 1))})
+    tables = {"nodes": _write(held, path, "nodes", "id", buckets, conf)}
+    facts, apart = seen.get, 0
+    if facts.pop("hubs"):
+        large = spark.table(tables["nodes"]).where(deg > hub).select(F.col("id").alias("src"))
+        far, seen = _seen(edges.join(large, "src", "left_semi"), {"n": F.count("*")})
+        far.write.mode("overwrite").parquet(f"{path}/hub_edges")
+        apart, edges = seen.get["n"], edges.join(large, "src", "left_anti")
+    near, seen = _seen(edges.repartition(buckets, "src"), {"n": F.count("*")})
+    tables["edges"] = _write(near, path, "edges", "src", buckets, conf)
+    facts |= {"n_edges": seen.get["n"] + apart, "n_hub_edges": apart, "buckets": buckets, "hub": hub, "schemas": {"nodes": ["id", "id bigint, deg bigint"], "edges": ["src", "src bigint, dst bigint"]}}
     commit(spark, f"{path}/layout", facts)
-    return open_layout(spark, path)
+    return Layout(spark, path, **facts, tables=tables)
 
 
 def open_layout(spark: SparkSession, path: str) -> Layout:

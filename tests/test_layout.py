@@ -76,12 +76,12 @@ def test_a_run_that_broke_off_goes_on(spark, graph, tmp_path, monkeypatch):
     whole = G.personalized_pagerank(nodes, edges, [3, 7], 4)
     real, calls = L.Layout.write, []
 
-    def breaks(self, df, name, key, metrics=None):
+    def breaks(self, df, name, key):
         calls.append(name)
         if name == "state-2" and calls.count(name) == 1:
             df.write.parquet(f"{self.path}/{name}")  # a state that was never committed
             raise RuntimeError("driver lost")
-        return real(self, df, name, key, metrics)
+        return real(self, df, name, key)
 
     monkeypatch.setattr(L.Layout, "write", breaks)
     with pytest.raises(RuntimeError):
