@@ -233,6 +233,16 @@ def _updates(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _recreated(spark: SparkSession, d: str) -> DataFrame:
+    """An index of the labelled documents, dropped for one of all."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), fresh_path(spark, "index")
+    P.create(docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id"), path)
+    out = cut(P.create(docs, path).postings("of"))
+    remove(spark, path)
+    return out
+
+
+register("index_recreated", _recreated, f"WITH {_POST} SELECT * FROM i WHERE term = 'of'")
 _TOXIC = "(SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'replaced ' || text ELSE text END AS text FROM documents)"
 register("index_updates", _updates, f"WITH {_POST.replace('FROM documents', f'FROM {_TOXIC}')} SELECT term, docno, tf FROM i WHERE term IN ('the', 'replaced')")
 
@@ -451,6 +461,19 @@ register(
 register("adjacency_edges", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d, parallel=True), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path))[1]), f"WITH {_PARALLEL} SELECT src, dst FROM e")
 register("adjacency_nodes", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path))[0]), f"WITH {_EDGES} SELECT id FROM v")
 register("adjacency_nodes_tabs", _stored("adjacency", lambda spark, d, path: files.write_adjacency(*trade_graph(spark, d), path), lambda spark, d, path: files.parse_adjacency(_tree(spark, path), tabs_only=True)[0]), f"WITH {_EDGES} SELECT id FROM v")
+def _twice(write: Callable[[DataFrame, str], None]) -> Callable[[SparkSession, str, str], None]:
+    """Writes the customers and then, over them, the suppliers."""
+
+    def go(spark: SparkSession, d: str, path: str) -> None:
+        write(table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("n")), path)
+        write(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("n")), path)
+
+    return go
+
+
+register("table_overwritten", _stored("table", _twice(files.write_table), lambda spark, d, path: spark.read.parquet(path)), "SELECT s_suppkey AS k, s_nationkey::BIGINT AS n FROM supplier")
+register("lines_overwritten", _stored("lines", _twice(files.write_pairs), lambda spark, d, path: files.read_text(spark, path)), "SELECT s_suppkey || chr(9) || s_nationkey AS line FROM supplier")
+register("tuples_overwritten", _stored("tuples", _twice(files.write_tuples), lambda spark, d, path: files.read_text(spark, path)), "SELECT '(' || s_suppkey || ',' || s_nationkey || ')' AS line FROM supplier")
 register(
     "pmi_from_frequency_file",
     _stored(
