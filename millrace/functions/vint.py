@@ -4,9 +4,11 @@ whole Arrow columns of them inside tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST, NEGATIVE = -112, -120
@@ -84,3 +86,27 @@ def unpack(column: pa.Array) -> np.ndarray:
         out[has] = (out[has] << np.uint64(8)) | data[at[has] + 1 + k].astype(np.uint64)
     got = out.view(np.int64)
     return np.where((n > 0) & (lead < NEGATIVE), ~got, got)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def with_bytes(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the bytes of a long column of no nulls as ``name``: a batch of numbers at once."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pack(b.column(column).to_numpy(), np.arange(b.num_rows + 1))], names=[*b.schema.names, name])
+
+    return df.mapInArrow(go, f"{_ddl(df)}, `{name}` binary")
+
+
+def with_number(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with the number that each value of a column of bytes holds as ``name``."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(unpack(b.column(column)), pa.int64())], names=[*b.schema.names, name])
+
+    return df.mapInArrow(go, f"{_ddl(df)}, `{name}` bigint")

@@ -43,13 +43,13 @@ def lines_of_ids(lines: DataFrame, words: DataFrame, line: str = "line") -> Data
 
 
 def _pairs(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ordered pairs of different places within each row of ``ids``."""
+    """All pairs of places within each row of ``ids``, the smaller number first."""
     n = np.diff(off)
-    times = np.repeat(n, n)  # every place meets its row's n places
+    times = np.repeat(off[1:], n) - np.arange(len(ids)) - 1  # every place meets those behind it
     a = np.repeat(np.arange(len(ids)), times)
-    b = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(np.repeat(off[:-1], n), times)
-    other = a != b
-    return ids[a[other]], ids[b[other]]
+    b = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + a + 1
+    x, y = ids[a], ids[b]
+    return np.minimum(x, y), np.maximum(x, y)
 
 
 def _stripes(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -70,7 +70,7 @@ def count_slices(batches: Iterator[pa.RecordBatch], most: int = PAIRS) -> Iterat
         lists = batch.column("ids")
         off = lists.offsets.to_numpy().astype(np.int64)
         ids, off = lists.values.to_numpy()[off[0] : off[-1]], off - off[0]
-        size = np.cumsum(np.diff(off) * (np.diff(off) - 1))
+        size = np.cumsum(np.diff(off) * (np.diff(off) - 1) // 2)
         at = 0
         while at < len(size):
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
@@ -78,6 +78,9 @@ def count_slices(batches: Iterator[pa.RecordBatch], most: int = PAIRS) -> Iterat
             x, y = _pairs(code, off[at : to + 1] - off[at])
             key, n = np.unique(x * len(known) + y, return_counts=True)
             if len(key):
+                key = np.concatenate([key, key % len(known) * len(known) + key // len(known)])  # both orders; the first half is in order
+                order = np.argsort(key, kind="stable")
+                key, n = key[order], np.concatenate([n, n])[order]
                 yield _stripes(known[key // len(known)], known[key % len(known)], n)
             at = to
 

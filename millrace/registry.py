@@ -163,7 +163,7 @@ register("term_df", _index(I.document_frequency), f"WITH {_POST} SELECT term, co
 register("gap_postings", _index(I.gap_postings), f"WITH {_POST} SELECT term, docno, tf, docno - lag(docno, 1, 0) OVER (PARTITION BY term, docno // {I.BLOCK} ORDER BY docno) AS gap FROM i")
 register(
     "gap_bytes",
-    _index(lambda i: I.gap_postings(i).select("term", "docno", F.hex(V.encode("gap")).alias("bytes"), V.decode(V.encode("gap")).alias("gap"))),
+    _index(lambda i: V.with_number(V.with_bytes(I.gap_postings(i).select("term", "docno", F.col("gap").alias("g")), "g", "b"), "b", "gap").select("term", "docno", F.hex("b").alias("bytes"), "gap")),
     f"WITH {_POST}, g AS (SELECT term, docno, docno - lag(docno, 1, 0) OVER (PARTITION BY term, docno // {I.BLOCK} ORDER BY docno) AS gap FROM i) SELECT term, docno, CASE WHEN gap <= 127 THEN printf('%02X', gap) WHEN gap <= 255 THEN '8F' || printf('%02X', gap) WHEN gap <= 65535 THEN '8E' || printf('%04X', gap) ELSE '8D' || printf('%06X', gap) END AS bytes, gap FROM g",
 )
 register("gap_roundtrip", _index(lambda i: I.decode_lists(I.posting_lists(i))), f"WITH {_POST} SELECT * FROM i")
