@@ -14,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: the one the cluster names in ``spark.checkpoint.dir``; where none is named, the
     warehouse's, but only if one machine runs it all: else there is none, and that is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir names no folder that the executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
