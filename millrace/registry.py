@@ -437,11 +437,11 @@ def _write_collection(spark: SparkSession, d: str, path: str) -> None:
 GROUP = 250
 #: Of each file a range of this size is a task.
 RANGE_BYTES = 256 << 10
-_GROUP_OF = F.regexp_extract("file", "grp=([0-9]+)/", 1).cast("long").alias("grp")
+_GROUP_OF = "cast(regexp_extract(file, 'grp=([0-9]+)/', 1) AS bigint) AS grp"
 _COLLECTION = f"l AS (SELECT grp, doc_id, i, line, (coalesce(sum(strlen(line) + 1) OVER (PARTITION BY grp ORDER BY doc_id, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM (SELECT doc_id // {GROUP} AS grp, doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)))"
 register(
     "collection_offsets",
-    _stored("collection", _write_collection, lambda spark, d, path: files.read_collection(spark, path, RANGE_BYTES).select(_GROUP_OF, "offset", F.md5(F.col("line").cast("binary")).alias("md5"))),
+    _stored("collection", _write_collection, lambda spark, d, path: files.read_collection(spark, path, RANGE_BYTES).selectExpr(_GROUP_OF, "offset", "md5(cast(line AS binary)) AS md5")),
     f'WITH {_COLLECTION} SELECT grp, "offset", md5(line) AS md5 FROM l',
 )
 
@@ -450,7 +450,7 @@ def _collection_hits(spark: SparkSession, d: str, path: str) -> DataFrame:
     """Lines of the collection that hold two words, found by an index over (file, offset) and read where they stand."""
     lines = files.read_collection(spark, path, RANGE_BYTES).select(F.struct("file", "offset").alias("at"), "line")
     hits = I.boolean_query(I.postings(lines, "at", "line"), "the of AND").select("docno.file", "docno.offset")
-    return lines_at(hits).select(_GROUP_OF, "offset", T.snippet("line").alias("snippet"))
+    return lines_at(hits).select(F.expr(_GROUP_OF), "offset", T.snippet("line").alias("snippet"))
 
 
 register(
