@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import cut
 from millrace.sources.tables import table
 
 SUPPLIER, CUSTOMER, NATION = 10_000_000_000, 20_000_000_000, 30_000_000_000
@@ -19,5 +20,5 @@ def trade_graph(spark: SparkSession, sf_dir: str, parallel: bool = False) -> tup
     if not parallel:
         bought, made = bought.distinct(), made.distinct()
     home = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + SUPPLIER).alias("src"), (F.col("s_nationkey").cast("long") + NATION).alias("dst"))
-    edges = bought.unionByName(made).unionByName(home)
+    edges = cut(bought.unionByName(made).unionByName(home))  # read three times by most: for sources, destinations and themselves
     return edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "id"), edges
