@@ -196,6 +196,12 @@ def test_spam(spark):
     assert S.train(docs, seed=3).count() == 4 and {r[0] for r in S.train(docs, shards=3).select("model_id").distinct().collect()} <= {0, 1, 2}
 
 
+def test_training_on_one_word_repeated(spark):
+    docs = [("d1", "ham", [1] * 3000), ("d2", "ham", [1] * 3000), ("d3", "spam", [1, 2]), ("d4", "ham", None)]  # d2 scores -9000
+    got = table(S.train(spark.createDataFrame(docs, "docid string, label string, features array<int>")), "feature", "weight")
+    assert {k: round(v, 9) for k, v in got.items()} == {1: -2.998094852, 2: 0.001905148}
+
+
 def test_ensembles(spark):
     docs = spark.createDataFrame([("d", "spam", [1]), ("e", "ham", []), ("f", "ham", [9])], "docid string, label string, features array<int>")
     models = spark.createDataFrame([(0, 1, 1.0), (1, 1, 1.0), (2, 1, -1.0)], "model_id int, feature int, weight double")
