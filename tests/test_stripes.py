@@ -73,3 +73,31 @@ def test_numbers_follow_frequency(spark):
 def test_lines_without_pairs(spark):
     df = spark.createDataFrame([("",), ("one",), ("one one",)], "line string")
     assert C.pmi_pairs(df).count() == 0 and C.pmi_profile(df).count() == 0 and C.cooccurrence(df.limit(0)).count() == 0
+
+
+def test_vectors_hold_what_they_are_given():
+    rng = np.random.default_rng(5)
+    x, y = np.divmod(np.sort(rng.choice(9 << 18, 5000, replace=False)), 1 << 18)  # ranges 0 to 3
+    n = rng.choice([1, 2, 254, 255, 256, 70_000, 2**32 - 1], 5000)
+    got = S._stripes(x, y, n)
+    for part in (got, got.slice(3, 9)):
+        row, a, b, c = S._triples(part)
+        keep = np.isin(np.cumsum(np.concatenate(([0], (x[1:] != x[:-1]) | (y[1:] >> 16 != y[:-1] >> 16)))), np.arange(len(got)) if part is got else np.arange(3, 12))
+        assert (a == x[keep]).all() and (b == y[keep]).all() and (c == n[keep]).all()
+
+
+def test_pairs_of_a_slice_are_written_once_and_merged_over_batches():
+    lines = [[j for j in range(40) if (i * j) % 7 < 4] for i in range(300)]
+    batches = [pa.RecordBatch.from_pydict({"ids": pa.array(lines[i : i + 10], pa.list_(pa.int64()))}) for i in range(0, 300, 10)]
+    out = list(S.count_slices(iter(batches), mirrored=False))
+    want = Counter(p for line in lines for p in permutations(line, 2) if p[0] < p[1])
+    triples = [t for b in out for t in zip(*(v.tolist() for v in S._triples(b)[1:]), strict=True)]
+    assert {(x, y): n for x, y, n in triples} == want and len(triples) == len(want)  # thirty batches are one slice
+
+
+def test_rare_words_take_no_part_in_listings(spark):
+    df = spark.createDataFrame([("a b c",)] * 3 + [("a b d",)], "line string")
+    words = S.numbered(C.line_frequency(df))
+    kept = S.lines_of_ids(df, words, least=3).collect()
+    assert sorted(len(r["ids"]) for r in kept) == [2, 3, 3, 3]  # d stands on one line
+    assert sorted((r["x"], r["y"], r["n"]) for r in C.cooccurrence(df, min_count=3).collect()) == [("a", "b", 4), ("a", "c", 3), ("b", "c", 3)]
