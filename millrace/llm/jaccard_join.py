@@ -3,15 +3,11 @@
 Texts are sets of five-word shingles (lower-cased runs of letters, marks and numbers; a text of one to four words
 has one shingle, all its words). Equal sets form a *class*, and one representative of each goes on.
 
-* Forest: TREES prefix tries of DEPTH MinHash values each, laid out as one table in trie order: by tree, by path, then by the rest
-  of the signature, so a row's neighbours are those it shares the longest prefix with. ``prefix_depth`` is how far a matched
-  prefix may be shortened, the longest at which the predicted recall of a pair at the threshold reaches RECALL; the members
-  that share it are a *node*. Each row is matched from the longest prefix up: with its nearest neighbours first, and with
-  rows of ever shorter common prefix, until the node is exhausted or REACH neighbours on either side are. Nodes of up to
-  REACH rows are thus met whole; in larger ones only longer prefixes count, as they find such pairs in one of the trees.
+* Forest: TREES prefix tries of DEPTH MinHash values each. ``prefix_depth`` is how far a matched prefix may be shortened, the longest at which
+  the predicted recall of a pair at the threshold reaches RECALL; the members that share it are a *node*, and any two of them meet.
 * A node's smallest member is its *head*. Rows whose signature agrees with the head's (``floor_of``) are linked to it, and two such rows
-  aren't compared again; so a node of any size writes at most one link a row. The table is cut into tasks by range, within
-  large nodes too. Links only gather candidates, and a row's links to several heads are drawn together before components
+  aren't compared again; so a group writes at most one link a row. A row that doesn't agree with the head is compared with all
+  others of its node. Nodes of more than REACH rows are dealt to pairs of blocks, so that no task holds a whole one. Links only gather candidates, and a row's links to several heads are drawn together before components
   are found: each row keeps the smallest, and heads are linked among themselves.
 * A gathering of more than one block is looked at more closely before it is verified: its members get signatures of LEVELS[1] values, and are
   matched and gathered once more by these. Families that are only loosely alike, which agree with one another by chance in 120 values, fall apart;
@@ -46,8 +42,9 @@ RECALL = 0.99999
 #: Values of a signature, the first TREES * DEPTH of which make the trees. Gatherings of more than a block are drawn again by the next.
 LEVELS = (TREES * DEPTH, 480)
 DEVIATIONS = 4.9  # of a signature's agreement: a pair at THRESHOLD falls so far below it one time in two million
-REACH = 400
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Rows of a block of a node; larger nodes are dealt to pairs of blocks.
+REACH = 2048
 
 
 def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -234,23 +231,22 @@ def _bytes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[o[0] : o[-1]].reshape(len(column), -1)
 
 
-def _match(tree: np.ndarray, ids: np.ndarray, sig: np.ndarray, head: np.ndarray, head_sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (member, smaller member) between rows in trie order: to heads, and by lag for what no head accounts for."""
+def _match(tree: np.ndarray, ids: np.ndarray, sig: np.ndarray, head: np.ndarray, head_sig: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (member, smaller member) between rows in order of their nodes: to heads, and for what no head accounts for between any two rows of a
+    node, where blocks of it are dealt between those of different sides."""
     n = len(ids)
-    to_head = _near(sig, head_sig)
-    a, b = [np.flatnonzero(to_head)], [np.full(int(to_head.sum()), -1)]
-    at = np.flatnonzero(np.diff(tree) == 0) if n > 1 else np.zeros(0, np.int64)  # rows whose next is in the same node
-    for lag in range(1, REACH + 1):
-        at = at[at + lag < n]
-        at = at[tree[at] == tree[at + lag]]
-        if not len(at):
-            break
-        ask = at[~(to_head[at] & to_head[at + lag])]
-        hit = ask[_near(sig[ask], sig[ask + lag])]
-        a.append(hit + lag), b.append(hit)
     first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]])) if n else np.zeros(0, np.int64)
+    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    node = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    to_head = _near(sig, head_sig)
+    a, b = [np.flatnonzero(to_head)], [n + node[to_head]]  # heads are vertices of their own, after the rows
+    for i in np.flatnonzero(~to_head):  # two rows that agree with the head are gathered by it
+        start = first[node[i]]
+        ask = np.concatenate([start + np.flatnonzero(to_head[start:i]), np.arange(i + 1, end[i])])  # others before it have asked
+        ask = ask if side is None or side[i] < 0 else ask[side[ask] != side[i]]
+        hit = ask[_near(sig[ask], sig[i])]
+        a.append(hit), b.append(np.full(len(hit), i))
     a, b = np.concatenate(a), np.concatenate(b)
-    b = np.where(b < 0, n + np.searchsorted(first, a, "right") - 1, b)  # heads are vertices of their own, after the rows
     name = np.concatenate([ids, head[first]])
     order = np.argsort(name, kind="stable")  # the spanning set hangs each member on its component's smallest id
     rank = np.empty(len(name), np.int64)
@@ -264,27 +260,42 @@ def forest(reps: DataFrame) -> DataFrame:
     """(a, b), b < a: links that gather the candidates among classes (id, keys: one per tree, sig)."""
     flat = reps.select("id", F.posexplode("keys").alias("t", "tree"))
     nodes = flat.groupBy("tree").agg(F.count("*").alias("size"), F.min("id").alias("head")).where("size > 1")
-    nodes = nodes.join(reps.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head")
-    path = F.expr(f"concat(substring(sig, t * {DEPTH} + 1, {DEPTH}), sig)")
-    rows = flat.join(nodes, "tree").join(reps.select("id", "sig"), "id")
-    # a node that is met whole isn't cut; a larger one is, anywhere in its order
-    large = F.col("size") > REACH
-    placed = rows.select("tree", F.when(large, path).alias("path"), F.when(large, F.col("id")).alias("place"), "id", "sig", "head", "head_sig")
-    placed = placed.repartitionByRange("tree", "path", "place").sortWithinPartitions("tree", "path", "place")
+    nodes = nodes.withColumn("blocks", F.ceil(F.col("size") / REACH)).join(reps.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head")
+    rows = flat.join(nodes, "tree").select("tree", "id", "head", "head_sig", "blocks").join(reps.select("id", "sig"), "id")
+    # a node of more than REACH rows is dealt to pairs of its blocks, so that all its rows meet and no task holds more than two
+    rows = dealt(rows, "tree", "id", "blocks").select("tree", "bi", "bj", F.when(F.col("bi") == F.col("bj"), -1).otherwise(F.col("side")).alias("side"), "id", "sig", "head", "head_sig")
+    keys = ["tree", "bi", "bj"]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of the last node, as many rows as the next ones may still meet
+        held: list[pa.RecordBatch] = []  # of the last group, which may go on
+
+        def links(t: pa.RecordBatch) -> pa.RecordBatch:
+            new = _changes(t, keys)
+            x, y = _match(np.cumsum(new), t.column("id").to_numpy(), _bytes(t.column("sig")), t.column("head").to_numpy(), _bytes(t.column("head_sig")), t.column("side").to_numpy())
+            return pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            tree = t.column("tree").to_numpy()
-            x, y = _match(tree, t.column("id").to_numpy(), _bytes(t.column("sig")), t.column("head").to_numpy(), _bytes(t.column("head_sig")))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
-            keep = max(len(tree) - REACH, len(tree) - int((tree == tree[-1]).sum()))
-            held = [t.slice(keep)]
-
-    return drawn_together(placed.mapInArrow(go, "a long, b long"))
+            last = int(np.flatnonzero(_changes(t, keys))[-1])
+            if last:
+                yield links(t.slice(0, last))
+            held = [t.slice(last)]
+        if held:
+            yield links(held[0])
+
+    return drawn_together(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, "a long, b long"))
+
+
+def _changes(t: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; the first one's do."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = t.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 def drawn_together(links: DataFrame) -> DataFrame:

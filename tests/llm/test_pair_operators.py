@@ -79,6 +79,18 @@ def test_links_grow_with_the_group(spark, n):
     assert jaccard_join.forest(classes).count() <= 1.1 * classes.count() + 60
 
 
+@pytest.mark.parametrize("block", [2048, 256])
+def test_rows_of_a_large_node_meet_wherever_they_stand(spark, monkeypatch, block):
+    """Two rows alike at either end of a node of 1,000 that are like nothing else, so that neither its head nor a neighbour leads to them."""
+    monkeypatch.setattr(jaccard_join, "REACH", block)
+    rng = np.random.default_rng(8)
+    sig = rng.integers(0, 256, (1000, 120)).astype(np.uint8)
+    sig[:, 0] = np.arange(1000) * 255 // 999  # trie order
+    sig[999, 1:] = sig[1, 1:]
+    reps = spark.createDataFrame([(i, [77], bytearray(sig[i].tobytes())) for i in range(1000)], "id long, keys array<long>, sig binary")
+    assert [(r["a"], r["b"]) for r in jaccard_join.forest(reps).collect()] == [(999, 1)]
+
+
 def test_matches_in_a_long_node_without_its_head():
     """Two interleaved groups that the head isn't like: each is linked as a whole."""
     rng = np.random.default_rng(4)
