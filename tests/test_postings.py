@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import planes
 from millrace.functions import vint as V
 from millrace.operators import index as I
 from millrace.operators import postings as P
@@ -138,3 +139,41 @@ def test_packed_numbers_are_the_column_expressions_bytes(spark):
     values = [0, 127, 128, -113, 65536, -(2**63), 2**63 - 1]
     got = [bytes(r["b"]) for r in spark.createDataFrame([(v,) for v in values], "v long").select(V.encode("v").alias("b")).collect()]
     assert V.pack(np.array(values), np.arange(len(values) + 1)).to_pylist() == got
+
+
+def shuffled_records(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_build_shuffles_runs_not_postings(spark, tmp_path):
+    docs = spark.range(0, 4000, 1, 2).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 50), x -> concat('w', chr(97 + x % 26), chr(97 + x div 26))), ' ')").alias("text"))
+    before = shuffled_records(spark)
+    index = P.create(docs, str(tmp_path / "i"), buckets=2)
+    assert shuffled_records(spark) - before < 10_000  # of 200,000 postings
+    assert index.postings().count() == 4000 * 50
+
+
+def test_documents_of_one_number_are_one(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "fox owl"), (2, "fox"), (1, "fox"), (-(2**62), "owl owl"), (2**62, None), (None, "fox")], "doc_id long, text string")
+    index = P.create(docs, str(tmp_path / "i"), buckets=2)
+    assert rows(index.postings()) == [("fox", 1, 2), ("fox", 2, 1), ("owl", -(2**62), 2), ("owl", 1, 1)]
+
+
+def test_slices_and_pieces_of_any_size_give_the_same_index(spark, tmp_path, monkeypatch):
+    docs = frame(spark, corpus(5)).repartition(3)
+    want = rows(P.create(docs, str(tmp_path / "a"), buckets=3).table(P.Index(spark, str(tmp_path / "a")).segments[0], "blocks"))
+    monkeypatch.setattr(P, "HOT", 1)
+    index = P.create(docs, str(tmp_path / "b"), buckets=3)
+    assert rows(index.table(index.segments[0], "blocks")) == want
+
+
+def test_planes():
+    rng = random.Random(2)
+    for _ in range(100):
+        rows_ = [[rng.choice([0, 1, 255, 256, 65536, 2**31, 2**63 - 1, -1, rng.randrange(300)]) for _ in range(1 + rng.randrange(6))] for _ in range(1 + rng.randrange(6))]
+        flat, n = np.array([x for r in rows_ for x in r], np.int64), np.array([len(r) for r in rows_])
+        column = planes.pack(flat, np.concatenate(([0], np.cumsum(n))))
+        assert planes.unpack(column, n).tolist() == flat.tolist()
+        assert planes.unpack(column.slice(1), n[1:]).tolist() == flat[n[0] :].tolist()
