@@ -193,3 +193,26 @@ def test_logarithms_and_printed_rows(spark):
     df = spark.createDataFrame([(24, "b", 1), (3, "c", 2), (3, "a", None), (9, "z", 9)], "k int, m string, n int")
     assert [tuple(r) for r in printed(df, ["m", "n"], ["m"]).orderBy("place").collect()] == [(1, "(a,null)"), (2, "(b,1)"), (3, "(c,2)"), (4, "(z,9)")]
     assert [r["line"] for r in printed_groups(df, "k", {3: "CANADA", 24: "USA"}, ["m", "n"], ["m"]).orderBy("place").collect()] == ["CANADA", "(a,null)", "(c,2)", "USA", "(b,1)"]
+
+
+@pytest.mark.parametrize("at_once", [20])
+def test_components_by_rounds_of_contraction(spark, monkeypatch, at_once):
+    monkeypatch.setattr(G, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    raw = [(i, i + 1) for i in range(100, 160)] + [(i, 900) for i in range(200, 260)] + [(7, 7), (5, None)] + [(rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(70)] + [(i, i + 7) for i in range(1000, 1100)]
+    rng.shuffle(raw)
+    root = {x: x for e in raw if None not in e for x in e}
+    while any(root[x] != root[y] for x, y in raw if y is not None):
+        for x, y in raw:
+            if y is not None:
+                root[x] = root[y] = min(root[x], root[y])
+    got = G.components(spark.createDataFrame(raw, "src long, dst long").repartition(3)).collect()
+    assert {r["id"]: r["root"] for r in got} == root and len(got) == len(root)
+
+
+def test_few_links_are_united_in_few_shuffles(spark):
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None).size()
+    edges, before = spark.range(0, 300, 1, 3).selectExpr("id AS src", "id + 1 AS dst"), stages()
+    assert G.components(edges).agg(F.max("root"), F.count("*")).first()[:] == (0, 301)
+    assert stages() - before < 12
