@@ -2,6 +2,7 @@ import math
 from collections import Counter
 from itertools import permutations
 
+from millrace.operators import counts as C
 from millrace import registry
 
 LINES = ["the quick brown fox the", "the lazy dog", "", "fox fox quick", "a dog and the fox"]
@@ -24,3 +25,18 @@ def test_pairs_and_stripes_run_over_documents(spark, tmp_path):
         mine = {y: v for (x, y), v in pmi.items() if x == r["x"]}
         assert (r["size"], r["words"].split(), r["highest"], r["lowest"]) == (len(mine), sorted(mine), max(mine.values()), min(mine.values()))
     assert {r["x"] for r in got["pmi_stripes"]} == {x for x, _ in pair}
+
+
+def test_bigrams_are_counted_once(spark):
+    """Rows of lines are read once, whatever reads their bigrams."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lines = spark.createDataFrame([("a b c a b",), ("b a",), ("",)], "line string").mapInArrow(tell, "line string")
+    got = {(r["w1"], r["w2"]): r["value"] for r in C.bigram_pairs(C.bigrams(lines)).collect()}
+    assert got == {("a", "b"): 1.0, ("b", "c"): 0.5, ("b", "a"): 0.5, ("c", "a"): 1.0, ("a", "*"): 2.0, ("b", "*"): 2.0, ("c", "*"): 1.0}
+    assert seen.value == 3
