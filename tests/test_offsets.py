@@ -84,3 +84,12 @@ def test_a_large_file_is_many_tasks_and_long_lines_cross_ranges(spark, tmp_path)
     assert df.rdd.getNumPartitions() > 200
     got = df.agg(F.count("*").alias("n"), F.countDistinct("offset").alias("d"), F.sum(F.length("line") + 1).alias("bytes"), F.max(F.col("offset") + F.length("line") + 1).alias("last")).first()
     assert got["n"] == got["d"] == 200_000 and got["bytes"] == got["last"] == (tmp_path / "big").stat().st_size
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """However many files there are, they make no more tasks than a few for a core, and every line still comes once."""
+    for i in range(150):
+        (tmp_path / f"f{i:03d}").write_text(f"{i} a\n{i} b\n")
+    got = files.read_collection(spark, str(tmp_path), 4)
+    assert got.rdd.getNumPartitions() <= 2 * O.TASKS * spark.sparkContext.defaultParallelism
+    assert sorted(r["line"] for r in got.collect()) == sorted(f"{i} {x}" for i in range(150) for x in "ab")
