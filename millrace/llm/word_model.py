@@ -33,9 +33,12 @@ from millrace.llm import _kernels as K
 from millrace.plans.lineage import cut, settings
 
 EDGE, CODE_BITS, KEY_BITS = 0, 48, 48
-#: Words of a slice; shards; keys of each shard, and words, that all tasks know; bits that tell which keys there are.
+#: Words of a slice that is counted, of one that asks half as many keys as it sends; shards; keys of each shard, and words, that all tasks know; bits that tell which keys there are.
 TOKENS, V_SHARDS, SHARDS, HOT, HOT_WORDS, BITS = 2 << 20, 1024, 256, 1 << 12, 1 << 16, 27
 STEPS, LEAST = 1024, 1e-6
+#: Texts of a slice that asks, whose numbers stand behind the keys in 64 bits; pieces that a slice's rows are packed in, since packing takes several times their memory.
+PLACE_BITS, PIECES = 64 - KEY_BITS, 8
+TEXTS = 1 << PLACE_BITS
 _U = np.uint64
 #: Of a key, the bits behind its shard.
 INNER = KEY_BITS - 8
@@ -136,14 +139,19 @@ def count_pairs(texts: DataFrame) -> DataFrame:
             held.append((v, w))
             size += len(v)
             if size >= TOKENS:
-                yield of_slice(held)
+                yield from of_slice(held)
                 held, size = [], 0
         if size:
-            yield of_slice(held)
+            yield from of_slice(held)
 
-    def of_slice(held: list) -> pa.RecordBatch:
+    def of_slice(held: list) -> Iterator[pa.RecordBatch]:
         v, w = map(np.concatenate, zip(*held, strict=True))
-        return _rows(*_summed(v, w, np.ones(len(v), np.int64)))
+        held.clear()
+        v, w, n = _summed(v, w, np.ones(len(v), np.int64))
+        ends = np.searchsorted(v, np.arange(1, PIECES) * ((1 << CODE_BITS) // PIECES))
+        for lo, hi in zip([0, *ends], [*ends, len(v)], strict=True):
+            if lo < hi:
+                yield _rows(v[lo:hi], w[lo:hi], n[lo:hi])
 
     return texts.select("text").where("text IS NOT NULL").mapInArrow(go, PAIRS)
 
@@ -345,52 +353,54 @@ def score(rows: DataFrame, shards: DataFrame, facts: dict) -> DataFrame:
     def filled(rows_: int, schema: pa.Schema, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows_, f.type)) for f in schema], schema=schema)
 
-    def of_slice(held: list, schema: pa.Schema, number: int) -> Iterator[pa.RecordBatch]:
-        hot_keys, hot_vals, bits = shared.value
-        size = np.concatenate([h[2] for h in held])
-        v, w = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-        place = np.tile(np.repeat(np.arange(len(size)), size), 2)
-        keys = np.concatenate([word_keys(w), pair_keys(v, w)])
-        at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
-        hot = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
-        sums = np.bincount(place[hot], weights=hot_vals[at[hot]], minlength=len(size)).astype(np.int64) if hot.any() else np.zeros(len(size), np.int64)
-        spot = (keys >> _U(KEY_BITS - BITS)).astype(np.int64)
-        maybe = ~hot & ((bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
-        first = 0
-        for h in held:
-            b, n = h[3], len(h[2])
-            yield filled(n, schema, slice=pa.array([number] * n, pa.int64()), shard=pa.array(((np.arange(first, first + n) + (number >> 24)) % SHARDS).astype(np.int32)), place=pa.array(np.arange(first, first + n, dtype=np.int32)), key=b.column("key"), lang=b.column("lang"), held=b.column("held"), size=pa.array(h[2]), sum=pa.array(sums[first : first + n]))
-            first += n
-        keys, place = keys[maybe], place[maybe]
-        if not len(keys):
-            return
-        order = np.lexsort((place, keys))
-        keys, place = keys[order], place[order]
-        at = _starts(keys, place)
-        times = np.diff(np.append(at, len(keys)))
-        keys, place = keys[at], place[at]
-        one = _starts(keys)  # of each key its first text
-        texts = np.diff(np.append(one, len(keys)))
-        key = keys[one]
-        shard = (key >> _U(INNER)).astype(np.int32)
-        of = _starts(shard)
-        off, far = np.append(of, len(key)), np.append(one[of], len(keys))
-        yield filled(len(of), schema, slice=pa.array([number] * len(of), pa.int64()), shard=pa.array(shard[of]), n=pa.array(np.diff(off)), keys=planes.pack(_gaps((key & _U(_LOW)).astype(np.int64), off), off), texts=planes.pack(texts, off), e=pa.array(np.diff(far)), places=planes.pack(place, far), times=planes.pack(times, far))
+    def requests_of(wait: list, schema: pa.Schema, number: int) -> Iterator[pa.RecordBatch]:
+        packed = np.concatenate(wait)
+        wait.clear()
+        packed.sort()
+        ends = np.searchsorted(packed, np.arange(SHARDS // PIECES, SHARDS, SHARDS // PIECES).astype(_U) << _U(INNER + PLACE_BITS))
+        for lo, hi in zip([0, *ends], [*ends, len(packed)], strict=True):
+            if lo == hi:
+                continue
+            at = _starts(packed[lo:hi])
+            times = np.diff(np.append(at, hi - lo))
+            some = packed[lo:hi][at]
+            keys, place = some >> _U(PLACE_BITS), (some & _U(TEXTS - 1)).astype(np.int64)
+            one = _starts(keys)  # of each key its first text
+            texts = np.diff(np.append(one, len(keys)))
+            key = keys[one]
+            shard = (key >> _U(INNER)).astype(np.int32)
+            of = _starts(shard)
+            off, far = np.append(of, len(key)), np.append(one[of], len(keys))
+            yield filled(len(of), schema, slice=pa.array([number] * len(of), pa.int64()), shard=pa.array(shard[of]), n=pa.array(np.diff(off)), keys=planes.pack(_gaps((key & _U(_LOW)).astype(np.int64), off), off), texts=planes.pack(texts, off), e=pa.array(np.diff(far)), places=planes.pack(place, far), times=planes.pack(times, far))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, schema, number = [], 0, None, TaskContext.get().partitionId() << 24  # the same if a task is run again
-        for part in (p for b in batches for p in K.chunks(b)):
+        hot_keys, hot_vals, bits = shared.value
+        wait, size, first, schema, number = [], 0, 0, None, TaskContext.get().partitionId() << 24  # the same if a task is run again
+        for part in (p.slice(i, TEXTS) for b in batches for p in K.chunks(b) for i in range(0, p.num_rows, TEXTS)):
             if schema is None:
                 types = {"slice": pa.int64(), "shard": pa.int32(), "place": pa.int32(), "key": part.column("key").type, "lang": part.column("lang").type, "held": pa.bool_(), "size": pa.int64(), "sum": pa.int64(), "n": pa.int64(), "e": pa.int64()}
                 schema = pa.schema([(c, types.get(c, pa.binary())) for c in names])
+            rows_ = part.num_rows
+            if size >= 2 * TOKENS or first + rows_ > TEXTS:
+                yield from requests_of(wait, schema, number)
+                size, first, number = 0, 0, number + 1
             v, w, off = pairs(part.column("text"))
-            held.append((v, w, np.diff(off), part))
-            total += len(v)
-            if total >= TOKENS:
-                yield from of_slice(held, schema, number)
-                held, total, number = [], 0, number + 1
-        if held:
-            yield from of_slice(held, schema, number)
+            n = np.diff(off)
+            place, sums = np.repeat(np.arange(rows_), n), np.zeros(rows_, np.int64)
+            for keys in (word_keys(w), pair_keys(v, w)):
+                at = np.minimum(np.searchsorted(hot_keys, keys), max(len(hot_keys) - 1, 0))
+                hot = hot_keys[at] == keys if len(hot_keys) else np.zeros(len(keys), bool)
+                if hot.any():
+                    sums += np.bincount(place[hot], weights=hot_vals[at[hot]], minlength=rows_).astype(np.int64)
+                spot = (keys >> _U(KEY_BITS - BITS)).astype(np.int64)
+                maybe = ~hot & ((bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1).astype(bool)
+                wait.append((keys[maybe] << _U(PLACE_BITS)) | (place[maybe] + first).astype(_U))
+                size += len(wait[-1])
+            at = np.arange(first, first + rows_)
+            yield filled(rows_, schema, slice=pa.array([number] * rows_, pa.int64()), shard=pa.array(((at + (number >> 24)) % SHARDS).astype(np.int32)), place=pa.array(at.astype(np.int32)), key=part.column("key"), lang=part.column("lang"), held=part.column("held"), size=pa.array(n), sum=pa.array(sums))
+            first += rows_
+        if wait:
+            yield from requests_of(wait, schema, number)
 
     asked = rows.select("key", "lang", "held", "text").mapInArrow(go, ask)
 

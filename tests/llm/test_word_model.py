@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import perplexity
 from millrace.llm import word_model as W
+from millrace.plans.lineage import cut
 
 
 def words(text):
@@ -86,3 +88,27 @@ def test_op1_of_odd_rows(spark):
         assert len(got) == 6 and [r["perplexity"] for r in got if r["doc_id"] in (1, 2)] == [None, None]
         assert {r["doc_id"] for r in got if r["kept"]} >= kept
     assert perplexity.classify_by_words(docs.limit(0), keys).count() == 0
+
+
+def test_slices_that_ask_have_few_texts(spark, monkeypatch):
+    """A slice numbers its texts in few bits beside the keys, so it ends at so many texts, however few words they have."""
+    monkeypatch.setattr(W, "HOT", 0)
+    texts = [f"w{i % 7} w{i % 5} w{i}" for i in range(50)]
+    shards, facts = W.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = spark.createDataFrame([(i, "x", True, t) for i, t in enumerate(texts)], "key long, lang string, held boolean, text string").coalesce(1)
+    many = {r["key"]: r["loss"] for r in W.score(rows, shards, facts).collect()}
+    monkeypatch.setattr(W, "TEXTS", 8)
+    assert len(many) == 50 and many == {r["key"]: r["loss"] for r in W.score(rows, shards, facts).collect()}
+
+
+def test_a_cut_leaves_no_shuffle_behind(spark):
+    """What led to a checkpoint is deleted with it: op1 has a dozen shuffles, of which the disk is to hold those of one step."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    kept = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # they are deleted in the background
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and kept.count() == 7
