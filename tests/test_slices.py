@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.grouped import whole_groups
 from millrace.operators import counts as C
+from millrace.operators import index as I
+from millrace.operators import postings as P
 
 
 def test_whole_groups():
@@ -47,3 +49,17 @@ def test_a_slice_shuffles_a_row_a_word(spark):
     held = rows._jdf.queryExecution().optimizedPlan().toString()
     assert {r["w1"]: r["total"] for r in rows.collect()} == {"the": 40 * 300, "sea": 20 * 300, "ship": 20 * 300 - 300}
     assert "Generate" not in held and "Aggregate" not in held  # no place of a word is a row
+
+
+@pytest.mark.parametrize(("slice_", "block"), [(1 << 21, 1 << 20), (9, 10)])
+def test_posting_lists_by_runs(spark, monkeypatch, slice_, block):
+    """Those of plain counts, also of numbers that stand twice, negative ones, texts that are null and documents without a number."""
+    monkeypatch.setattr(P, "SLICE", slice_)
+    monkeypatch.setattr(P, "TOKENS", slice_)
+    rng = random.Random(4)
+    docs = [(rng.randrange(-30, 300), " ".join(rng.choice(["the", "sea", "Ship,", "42", "x" + str(rng.randrange(9)) + "y"]) for _ in range(rng.randrange(0, 12)))) for _ in range(200)]
+    docs = spark.createDataFrame([*docs, (7, None), (None, "the the sea"), (5, "")], "doc_id long, text string").repartition(3)
+    plain, got = I.posting_lists(I.postings(docs), block), P.lists(docs, block=block)
+    assert got.dtypes == plain.dtypes
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(plain)
