@@ -216,3 +216,22 @@ def test_few_links_are_united_in_few_shuffles(spark):
     edges, before = spark.range(0, 300, 1, 3).selectExpr("id AS src", "id + 1 AS dst"), stages()
     assert G.components(edges).agg(F.max("root"), F.count("*")).first()[:] == (0, 301)
     assert stages() - before < 12
+
+
+def test_kept_edges_are_not_written_again(spark, tmp_path, monkeypatch):
+    """Edges that lie in storage are laid out from there; ids that stand twice, that are null or that no edge names keep their degrees."""
+    nodes = spark.createDataFrame([(1,), (1,), (2,), (4,), (None,)], "id long")
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (None, 2)], "src long, dst long")
+    edges.write.parquet(str(tmp_path / "edges"))
+    monkeypatch.setattr(L, "cut", lambda df: pytest.fail("written again"))
+    at = L.store(nodes, spark.read.parquet(str(tmp_path / "edges")), str(tmp_path / "graph"), kept=True)
+    try:
+        assert sorted(map(tuple, at.nodes.collect()), key=str) == [(1, 2), (2, 1), (4, 0), (None, 0)]
+        assert (at.n_nodes, at.n_active, at.n_edges) == (4, 2, 5)
+    finally:
+        at.close(delete=True)
+    at = L.store(None, spark.read.parquet(str(tmp_path / "edges")), str(tmp_path / "named"), kept=True)
+    try:
+        assert sorted(map(tuple, at.nodes.collect()), key=str) == [(1, 2), (2, 1), (3, 1), (None, 0)]
+    finally:
+        at.close(delete=True)
