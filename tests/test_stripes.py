@@ -1,11 +1,13 @@
 """Merged stripes against counting pairs one by one."""
 
 import random
+import tracemalloc
 from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from millrace.operators import counts as C
@@ -101,3 +103,58 @@ def test_rare_words_take_no_part_in_listings(spark):
     kept = S.lines_of_ids(df, words, least=3).collect()
     assert sorted(len(r["ids"]) for r in kept) == [2, 3, 3, 3]  # d stands on one line
     assert sorted((r["x"], r["y"], r["n"]) for r in C.cooccurrence(df, min_count=3).collect()) == [("a", "b", 4), ("a", "c", 3), ("b", "c", 3)]
+
+
+def test_memory_of_a_task_follows_the_pairs_it_holds():
+    rng = np.random.default_rng(3)
+    lines = pa.ListArray.from_arrays(pa.array(np.arange(0, 220_001, 100), pa.int32()), pa.array(rng.integers(0, 50_000, 220_000)))
+    batch = pa.RecordBatch.from_arrays([lines], ["ids"])
+    tracemalloc.start()
+    try:
+        n = sum(int(pa.compute.sum(pa.compute.binary_length(b.column("ys"))).as_py()) for b in S.count_slices(iter([batch]), mirrored=False))
+        assert n > 2 * 10_000_000 and tracemalloc.get_traced_memory()[1] < 400e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rounds", [1, 3, 100])
+def test_slices_of_rounds(rounds, monkeypatch):
+    monkeypatch.setattr(S, "AT_ONCE", 30)
+    rng = random.Random(7)
+    lines = [sorted(rng.sample(range(23), rng.randrange(15))) for _ in range(90)]
+    want, got = Counter(p for line in lines for p in permutations(line, 2) if p[0] < p[1]), Counter()
+    for turn in range(rounds):
+        held = S._Slice(40, 5, rounds, turn)
+        for i in range(0, 90, 9):
+            off = np.cumsum([0, *map(len, lines[i : i + 9])])
+            for b in held.add(np.array([v for line in lines[i : i + 9] for v in line], np.int64), off):
+                got.update({(x, y): n for x, y, n in zip(*(v.tolist() for v in S._triples(b)[1:]), strict=True)})
+        for b in held.flush():
+            got.update({(x, y): n for x, y, n in zip(*(v.tolist() for v in S._triples(b)[1:]), strict=True)})
+    assert got == want
+
+
+def test_rounds_count_every_pair_once(spark, monkeypatch):
+    for name, value in (("ROUND", 60), ("ROUNDS", 3), ("PAIRS", 50), ("WORDS", 40), ("MERGED", 64)):
+        monkeypatch.setattr(S, name, value)
+    lines = [*corpus(6, 40), *["ax by cz"] * 30]
+    df = spark.createDataFrame([(x,) for x in [*lines, None]], "line string").repartition(3)
+    want, freq = brute(lines), Counter(w for line in lines for w in set(line.split()))
+    keep = {k: (n, np.log10(n * (len(lines) + 1) / (freq[k[0]] * freq[k[1]]))) for k, n in want.items() if n >= 3}
+    got = {(r["x"], r["y"]): (r["n"], r["pmi"]) for r in C.pmi_pairs(df, min_count=3).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in keep.items()} and all(abs(got[k][1] - v[1]) < 1e-12 for k, v in keep.items())
+    stripes = C.pmi_stripes_of(df, min_count=3).collect()
+    assert {(r["x"], y): v for r in stripes for y, v in r["stripe"].items()} == {k: v[1] for k, v in got.items()} and len(stripes) == len({x for x, _ in keep})
+
+
+def test_lines_are_split_once(spark):
+    """Counting words and pairs reads the lines once, and no more than one row a slice and word is shuffled."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("a b c",)] * 50, "line string").mapInArrow(tell, "line string")
+    assert C.pmi_pairs(df).count() == 6 and seen.value == 50
